@@ -18,6 +18,7 @@ from floorledger.operators.names import backfill_names
 from floorledger.operators.ordering import sort_report
 from floorledger.operators.replace import batch_bounds, replace_range
 from floorledger.plans import audit, comps, control, marks, options, prizes, summary
+from floorledger.sinks.sections import section_frame
 from floorledger.sources import cleaning
 from floorledger.sources.raw_star import raw_feed
 from floorledger.sources.star import star_frames, star_ledgers, table
@@ -210,11 +211,11 @@ QUERIES: dict[str, Query] = {
     "audit_zero_labels": _report(lambda facts: marks.label_audit(audit.audit_zero_play(facts))),
     "sorted_report": _report(lambda facts: sort_report(prizes.prizes_by_player(facts), "nombre")),
     # export sections
-    "export_comps": _report(comps.export_comps),
-    "export_prizes": _report(prizes.export_prizes),
-    "export_summary": _report(summary.export_summary),
-    "export_control": _report(control.export_control),
-    "export_slots": _report(control.export_slots),
-    "export_tables": _report(control.export_tables),
-    "export_audit": _report(audit.export_audit),
+    "export_comps": _report(section_frame, "cortesias"),
+    "export_prizes": _report(section_frame, "premios"),
+    "export_summary": _report(section_frame, "resumen"),
+    "export_control": _report(section_frame, "control_invitaciones"),
+    "export_slots": _report(section_frame, "invitaciones_mda"),
+    "export_tables": _report(section_frame, "invitaciones_mdj"),
+    "export_audit": _report(section_frame, "auditoria_coinin_cero"),
 }

@@ -14,6 +14,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from floorledger.functions.rounding import round_half_even, round_half_up
+
 MILLIONTH = Decimal("0.000001")
 
 
@@ -42,14 +44,10 @@ def ratio_pct(part: Column, whole: Column) -> Column:
 
 def pct_half_up(part: Column, whole: Column, places: int) -> Column:
     """Rounded percentage, ties away from zero; 0 unless the whole is positive."""
-    return F.when(whole > 0, F.round(part * 100.0 / whole, places)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, round_half_up(part * 100.0 / whole, places)).otherwise(F.lit(0.0))
 
 
 def pct_half_even(part: Column, whole: Column, places: int) -> Column:
     """Rounded percentage, ties to the even digit; 0 unless the whole is positive."""
-    return F.when(whole > 0, F.bround(part * 100.0 / whole, places)).otherwise(F.lit(0.0))
-
+    return F.when(whole > 0, round_half_even(part * 100.0 / whole, places)).otherwise(F.lit(0.0))
 
-def whole_units(column: Column) -> Column:
-    """Nearest whole number, ties to the even one."""
-    return F.rint(column).cast("long")

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.functions.money import amount, or_zero, pct_half_even, total, whole_units
+from floorledger.functions.money import amount, or_zero, pct_half_even, total
+from floorledger.functions.rounding import round_whole
 from floorledger.functions.text import or_text
 from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
@@ -50,8 +51,8 @@ def allowance(players: DataFrame, facts: Facts, days: DataFrame) -> DataFrame:
         pct_cat.alias("pct_cat"),
         coin.alias("coin_in"),
         spent.alias("micros"),
-        whole_units(invited).alias("invitacion"),
-        whole_units(invited - spent).alias("saldo"),
+        round_whole(invited).alias("invitacion"),
+        round_whole(invited - spent).alias("saldo"),
         pct_half_even(F.col("dias").cast("double"), F.col("period_days").cast("double"), 1).alias("asistencia"),
     )
 
