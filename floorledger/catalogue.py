@@ -21,7 +21,7 @@ from floorledger.plans import audit, comps, control, marks, options, prizes, sum
 from floorledger.sinks.sections import section_frame
 from floorledger.sources import cleaning
 from floorledger.sources.raw_star import raw_feed
-from floorledger.sources.star import star_frames, star_ledgers, table
+from floorledger.sources.star import StarFrames, star_ledgers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,7 +87,7 @@ def _points_only(facts: Facts) -> DataFrame:
 
 
 def _normalize_ids(spark: SparkSession, directory: str) -> DataFrame:
-    frames = star_frames(spark, directory)
+    frames = StarFrames(spark, directory)
     prizes_ = frames["prizes_raw"].select(F.lit("prizes").alias("feed"), F.col("client_id").alias("raw_id"))
     comps_ = frames["comps_raw"].select(F.lit("comps").alias("feed"), F.col("user_id").alias("raw_id"))
     ids = prizes_.unionByName(comps_).distinct()

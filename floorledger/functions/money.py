@@ -19,12 +19,23 @@ from floorledger.functions.rounding import round_half_even, round_half_up
 MILLIONTH = Decimal("0.000001")
 
 
+def whole_part(value: Column) -> Column:
+    return F.floor(value)
+
+
+def millionths(value: Column) -> Column:
+    return F.rint((value - F.floor(value)) * 1_000_000).cast("long")
+
+
+def joined(whole_sum: Column, millionth_sum: Column) -> Column:
+    """The two long sums as one decimal with six places."""
+    return whole_sum.cast("decimal(25,6)") + millionth_sum.cast("decimal(19,0)") * F.lit(MILLIONTH)
+
+
 def total(column: str | Column) -> Column:
     """Exact sum of a DOUBLE column as a decimal with six places; null over no rows."""
     value = F.col(column) if isinstance(column, str) else column
-    whole = F.floor(value)
-    millionths = F.rint((value - whole) * 1_000_000).cast("long")
-    return F.sum(whole).cast("decimal(25,6)") + F.sum(millionths).cast("decimal(19,0)") * F.lit(MILLIONTH)
+    return joined(F.sum(whole_part(value)), F.sum(millionths(value)))
 
 
 def or_zero(column: str | Column) -> Column:

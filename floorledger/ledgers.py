@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -32,13 +32,25 @@ MONTH_COLUMN = "ledger_month"
 UNDATED = "undated"
 
 
-@dataclass(frozen=True)
 class Ledgers:
-    """Lazy frames; nothing is read until a report runs."""
-
-    play: DataFrame
-    comps: DataFrame
-    prizes: DataFrame
-    points: DataFrame
-    managers: DataFrame
-    tiers: DataFrame
+    """The six frames by name, from a mapping or from a function that is asked once per name."""
+
+    def __init__(self, source: Mapping[str, DataFrame] | Callable[[str], DataFrame]) -> None:
+        self._source = source if callable(source) else source.__getitem__
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._source(name)
+        return self._frames[name]
+
+    def replaced(self, **frames: DataFrame) -> Ledgers:
+        """The same ledgers with some frames exchanged."""
+        return Ledgers(lambda name: frames[name] if name in frames else self[name])
+
+    play = property(lambda self: self["play"])
+    comps = property(lambda self: self["comps"])
+    prizes = property(lambda self: self["prizes"])
+    points = property(lambda self: self["points"])
+    managers = property(lambda self: self["managers"])
+    tiers = property(lambda self: self["tiers"])

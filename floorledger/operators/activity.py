@@ -3,20 +3,23 @@
 Slot play, table points and prizes are stacked into one narrow frame and aggregated together, so a
 client that appears in only one of them needs no outer or anti join: a count of 0 says so.
 
-Names and levels are MAX over text.  A text buffer would push Spark from hash to sort aggregation on
-the raw rows, so texts are first *grouped by* (fixed-width buffers, combined on the map side, which
-also absorbs a hot client), and only the few remaining rows per client take the maximum.
+Measures and names take separate ways.  Measures are sums of longs and bit sets: fixed-width buffers, so
+they stay in generated hash aggregates that combine on the map side, which also absorbs a hot client.
+Names and levels are MAX over text, which Spark can only do by sorting; the distinct (client, text) rows
+are found first, by hashing, and only those few are sorted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.functions.days import bits_set, day_bits, month_number
-from floorledger.functions.money import total
+from floorledger.functions.money import joined, millionths, whole_part
+from floorledger.ledgers import Ledgers
 
 TEXTS = ("slot_name", "player_level", "table_name")
 COUNTS = ("slot_rows", "table_rows", "prize_rows", "total_games")
@@ -47,53 +50,64 @@ def _sources() -> dict[str, tuple[str, dict[str, Column]]]:
     return {"play": ("player_id", slot), "points": ("client_id", table), "prizes": ("client_id", prize)}
 
 
-def client_activity(ledgers: dict[str, DataFrame], *want: str) -> DataFrame:
+def client_activity(ledgers: Ledgers | Mapping[str, DataFrame], *want: str) -> DataFrame:
     """``client_id`` and the wanted measures; sums are exact decimals, null where a ledger has no row.
 
     Counts (``*_rows``, ``*_days``) are 0 rather than null.  Only columns that ``want`` needs are read.
     """
-    day_columns = {day for name in want for day in DAYS.get(name, ())}
-    needed = set(want) | day_columns
+    needed = set(want) | {day for name in want for day in DAYS.get(name, ())}
+    texts = [name for name in TEXTS if name in needed]
+    measures = [name for name in want if name not in TEXTS]
+    if not texts:
+        return _measured(ledgers, want, needed)
+    rows = _stacked(ledgers, set(texts)).distinct()
+    named = rows.groupBy("client_id").agg(*[F.max(name).alias(name) for name in texts])
+    if not measures:
+        return named.select("client_id", *want)
+    return _measured(ledgers, measures, needed - set(texts)).join(named, "client_id", "left").select("client_id", *want)
+
+
+def _stacked(ledgers: Ledgers | Mapping[str, DataFrame], needed: set[str]) -> DataFrame:
+    """The needed columns of every ledger that has any of them, under one another."""
     parts = []
     for ledger, (client, columns) in _sources().items():
         picked = [column.alias(name) for name, column in columns.items() if name in needed]
         if picked:
             parts.append(ledgers[ledger].select(F.col(client).alias("client_id"), *picked))
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-    texts = [name for name in TEXTS if name in needed]
+
+def _measured(ledgers: Ledgers | Mapping[str, DataFrame], want: list[str] | tuple[str, ...], needed: set[str]) -> DataFrame:
+    rows = _stacked(ledgers, needed)
     counts = [name for name in COUNTS if name in needed]
     money = [name for name in MONEY if name in needed]
-    days = sorted(day_columns)
-
-    keys = ["client_id", *texts]
-    if days:
-        rows = rows.withColumn("month_no", month_number(F.coalesce(*[F.col(day) for day in days])))
-        keys.append("month_no")
-    measures = [
+    days = sorted(day for day in rows.columns if day.endswith("_day"))
+    # Money stays two long sums until the last step: see functions.money.
+    longs = [*counts, *[f"{name}_{part}" for name in money for part in ("whole", "millionths")]]
+    sums = [
         *[F.sum(name).alias(name) for name in counts],
-        *[total(name).alias(name) for name in money],
-        *[day_bits(F.col(day)).alias(day) for day in days],
+        *[F.sum(whole_part(F.col(name))).alias(f"{name}_whole") for name in money],
+        *[F.sum(millionths(F.col(name))).alias(f"{name}_millionths") for name in money],
     ]
-    grouped = rows.groupBy(*keys).agg(*measures) if measures else rows.select(*keys).distinct()
-
-    merged = [F.max(name).alias(name) for name in texts] + [F.sum(name).alias(name) for name in counts + money]
-    if texts and days:
-        # Both remaining steps cluster by client, so one explicit shuffle of the reduced rows serves both.
-        grouped = (
-            grouped.repartition("client_id")
-            .groupBy("client_id", "month_no")
-            .agg(*merged, *[F.bit_or(day).alias(day) for day in days])
-        )
-    if texts or days:
+    if not days:
+        grouped = rows.groupBy("client_id").agg(*sums)
+    else:
+        monthly = rows.groupBy(
+            "client_id", month_number(F.coalesce(*[F.col(day) for day in days])).alias("month_no")
+        ).agg(*sums, *[day_bits(F.col(day)).alias(day) for day in days])
         distinct_days = [
             F.sum(bits_set(reduce(lambda a, b: a.bitwiseOR(b), [_bits(day) for day in DAYS[name]]))).alias(name)
             for name in DAYS
             if name in want
         ]
-        grouped = grouped.groupBy("client_id").agg(*merged, *distinct_days)
-    filled = [F.coalesce(F.col(c), F.lit(0)).alias(c) if c.endswith(("_rows", "_days")) else F.col(c) for c in want]
-    return grouped.select("client_id", *filled)
+        grouped = monthly.groupBy("client_id").agg(*[F.sum(name).alias(name) for name in longs], *distinct_days)
+    return grouped.select("client_id", *[_result(name).alias(name) for name in want])
+
+
+def _result(name: str) -> Column:
+    if name in MONEY:
+        return joined(F.col(f"{name}_whole"), F.col(f"{name}_millionths"))
+    return F.coalesce(F.col(name), F.lit(0)) if name.endswith(("_rows", "_days")) else F.col(name)
 
 
 def _bits(day: str) -> Column:

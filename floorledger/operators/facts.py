@@ -27,12 +27,13 @@ class Facts:
     def __init__(self, ledgers: Ledgers, anio: str | None = "", mes: str | None = "") -> None:
         self.ledgers = ledgers
         self.anio, self.mes = anio or "", mes or ""
-        self.rows = {
-            name: period(getattr(ledgers, name), day, self.anio, self.mes) for name, day in DAY_COLUMN.items()
-        }
+        self.rows = ledgers.replaced() if self.whole_history else Ledgers(self._cut)
         self._clients: DataFrame | None = None
         self._vouchers: DataFrame | None = None
 
+    def _cut(self, name: str) -> DataFrame:
+        return period(self.ledgers[name], DAY_COLUMN[name], self.anio, self.mes)
+
     @property
     def whole_history(self) -> bool:
         return not self.anio and not self.mes
@@ -47,7 +48,7 @@ class Facts:
         """Activity per client over all periods."""
         if self.whole_history:
             return self.clients(*want)
-        return client_activity({name: getattr(self.ledgers, name) for name in DAY_COLUMN}, *want)
+        return client_activity(self.ledgers, *want)
 
     def vouchers(self, *keys: str, area: str | None = "", jefe: str | None = "") -> DataFrame:
         """Voucher count and exact amount per key, after the manager or area filter."""

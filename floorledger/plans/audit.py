@@ -11,6 +11,7 @@ from floorledger.operators.facts import Facts
 from floorledger.operators.filters import authorised_by
 from floorledger.operators.lookup import lookup_join
 from floorledger.operators.names import filled_name
+from floorledger.operators.ordering import ordered
 from floorledger.plans.control import voucher_chart
 
 KEYS = ["client_id", "gaming_date"]
@@ -86,22 +87,19 @@ def _zero_play(facts: Facts, keys: list[str], area: str = "", jefe: str = "") ->
 
 def audit_zero_play(facts: Facts, area: str = "", jefe: str = "") -> DataFrame:
     """One row per (day, client); of several managers the smallest id is shown."""
-    return (
-        _zero_play(facts, KEYS, area, jefe)
-        .select(
-            F.col("gaming_date").alias("jornada"),
-            F.col("client_id").alias("cliente_id"),
-            F.col("client_name").alias("nombre_cliente"),
-            "coin_in",
-            F.col("comp_rows").alias("cant_cortesias"),
-            F.col("comp_amount").alias("monto_cortesias"),
-            F.col("prize_rows").alias("cant_premios"),
-            F.col("prize_amount").alias("monto_premios"),
-            F.col("manager").alias("jefe_nombre"),
-            F.col("area").alias("jefe_area"),
-        )
-        .orderBy(F.desc("jornada"), F.desc("monto_cortesias"), "cliente_id")
+    rows = _zero_play(facts, KEYS, area, jefe).select(
+        F.col("gaming_date").alias("jornada"),
+        F.col("client_id").alias("cliente_id"),
+        F.col("client_name").alias("nombre_cliente"),
+        "coin_in",
+        F.col("comp_rows").alias("cant_cortesias"),
+        F.col("comp_amount").alias("monto_cortesias"),
+        F.col("prize_rows").alias("cant_premios"),
+        F.col("prize_amount").alias("monto_premios"),
+        F.col("manager").alias("jefe_nombre"),
+        F.col("area").alias("jefe_area"),
     )
+    return ordered(rows, "cliente_id", F.desc("jornada"), F.desc("monto_cortesias"), "cliente_id")
 
 
 def export_audit(facts: Facts) -> DataFrame:

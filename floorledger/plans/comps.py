@@ -11,6 +11,7 @@ from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
 from floorledger.operators.filters import authorised_by
 from floorledger.operators.names import filled_name
+from floorledger.operators.ordering import ordered
 
 # Fixed value: shown for a client without a player level.
 NO_LEVEL = "-"
@@ -41,7 +42,7 @@ def comps_by_player(facts: Facts) -> DataFrame:
     rows = _per_player(facts, "promo_in", "total_games")
     coin_in = amount(coin_in_of(rows))
     spent = amount("comp_amount")
-    return rows.select(
+    shown = rows.select(
         F.col("client_id").alias("cliente_id"),
         "nombre_cliente",
         "total_cortesias",
@@ -51,7 +52,8 @@ def comps_by_player(facts: Facts) -> DataFrame:
         or_zero("total_games").alias("total_games"),
         F.coalesce("player_level", F.lit(NO_LEVEL)).alias("player_level"),
         pct_half_up(spent, coin_in, 4).alias("pct_cortesia_coin_in"),
-    ).orderBy(F.desc("monto_cortesias"), "cliente_id")
+    )
+    return ordered(shown, "cliente_id", F.desc("monto_cortesias"), "cliente_id")
 
 
 def export_comps(facts: Facts) -> DataFrame:

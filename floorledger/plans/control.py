@@ -16,6 +16,7 @@ from floorledger.functions.text import or_text
 from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
 from floorledger.operators.filters import with_area
+from floorledger.operators.ordering import ordered
 
 # The base-rate row of the tiers, the two gaming areas, the level of table players.
 BASE_TIER = "Primario"
@@ -120,7 +121,7 @@ def control_rows(facts: Facts, area: str = "", jefe: str = "") -> DataFrame:
 
 
 def _shown(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.orderBy("segmento", F.desc("coin_in"), "client_id").select(
+    return ordered(rows, "client_id", "segmento", F.desc("coin_in"), "client_id").select(
         "nombre",
         "nivel",
         F.col("dias").alias("dias_asistidos"),

@@ -14,7 +14,7 @@ from floorledger.operators.filters import with_area
 
 def _months(ledgers: Ledgers) -> DataFrame:
     """Distinct (year, month) texts of the four ledgers."""
-    parts = [getattr(ledgers, name).select(F.col(day).alias("day")) for name, day in DAY_COLUMN.items()]
+    parts = [ledgers[name].select(F.col(day).alias("day")) for name, day in DAY_COLUMN.items()]
     days = reduce(DataFrame.unionByName, parts).where(F.col("day").isNotNull())
     months = days.select(F.trunc("day", "month").alias("month")).distinct()
     return months.select(F.date_format("month", "yyyy").alias("anio"), F.date_format("month", "MM").alias("mes"))
@@ -57,7 +57,7 @@ def period_labels(ledgers: Ledgers) -> DataFrame:
 
 def table_counts(ledgers: Ledgers) -> DataFrame:
     counts = [
-        getattr(ledgers, name).agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(name).alias("tabla"), "cnt")
+        ledgers[name].agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(name).alias("tabla"), "cnt")
         for name in DAY_COLUMN
     ]
     return reduce(DataFrame.unionByName, counts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from floorledger.functions.money import amount, or_zero, pct_half_up, ratio_pct, total
 from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
+from floorledger.operators.ordering import ordered
 from floorledger.operators.names import NO_NAME
 from floorledger.plans.comps import NO_LEVEL
 
@@ -25,7 +26,7 @@ def prizes_by_player(facts: Facts) -> DataFrame:
     rows = _per_player(facts, "promo_in", "total_games")
     coin_in = amount(coin_in_of(rows))
     won = amount("prize_amount")
-    return rows.select(
+    shown = rows.select(
         F.col("client_id").alias("cliente_id"),
         _name().alias("nombre"),
         F.coalesce("player_level", F.lit(NO_LEVEL)).alias("player_level"),
@@ -35,7 +36,8 @@ def prizes_by_player(facts: Facts) -> DataFrame:
         amount(or_zero("promo_in")).alias("total_promo_in"),
         or_zero("total_games").alias("total_games"),
         pct_half_up(won, coin_in, 4).alias("pct_premio_coin_in"),
-    ).orderBy(F.desc("monto_total"), "cliente_id")
+    )
+    return ordered(shown, "cliente_id", F.desc("monto_total"), "cliente_id")
 
 
 def export_prizes(facts: Facts) -> DataFrame:

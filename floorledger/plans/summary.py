@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from floorledger.functions.money import amount, or_zero, pct_half_even, pct_half_up, ratio_pct, total
 from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
+from floorledger.operators.ordering import ordered
 
 
 def summary_kpis(facts: Facts) -> DataFrame:
@@ -54,7 +55,7 @@ def summary_players(facts: Facts) -> DataFrame:
     """``pct_total_coin_in`` is the player's part of all coin-in of the period."""
     rows = with_scalar(_players(facts), facts.coin_in_total("play", "points"))
     coin_in = amount(coin_in_of(rows))
-    return rows.select(
+    shown = rows.select(
         F.col("client_id").alias("player_id"),
         F.col("slot_name").alias("full_name"),
         "player_level",
@@ -67,7 +68,8 @@ def summary_players(facts: Facts) -> DataFrame:
         F.col("prize_rows").alias("total_premios"),
         amount(or_zero("prize_amount")).alias("monto_premios"),
         pct_half_even(coin_in, amount("period_coin_in"), 3).alias("pct_total_coin_in"),
-    ).orderBy(F.desc("total_coin_in"), "player_id")
+    )
+    return ordered(shown, "player_id", F.desc("total_coin_in"), "player_id")
 
 
 def export_summary(facts: Facts) -> DataFrame:

@@ -80,9 +80,7 @@ class LedgerStore:
         return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/load={loads[-1].load}")
 
     def ledgers(self) -> Ledgers:
-        return Ledgers(
-            **{name: self.ledger(name) if name in DAY_COLUMN else self.dimension(name) for name in SCHEMAS}
-        )
+        return Ledgers(lambda name: self.ledger(name) if name in DAY_COLUMN else self.dimension(name))
 
     def load_log(self) -> DataFrame:
         """Load history, newest first."""

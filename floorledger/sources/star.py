@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from floorledger.ledgers import SCHEMAS, Ledgers
+from floorledger.ledgers import Ledgers
 
 TABLES = ("orders", "customer", "lineitem", "part", "supplier")
 
@@ -68,15 +68,25 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def star_frames(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """Every view by name, each one lazy."""
-    frames = {name: table(spark, directory, name) for name in TABLES}
-    for name, text in VIEWS.items():
-        used = {key: frame for key, frame in frames.items() if "{" + key + "}" in text}
-        frames[name] = spark.sql(text, **used) if used else spark.sql(text)
-    return frames
+class StarFrames:
+    """Tables and views of a directory by name, each one built when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, directory: str) -> None:
+        self.spark, self.directory = spark, directory
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def _build(self, name: str) -> DataFrame:
+        if name not in VIEWS:
+            return table(self.spark, self.directory, name)
+        text = VIEWS[name]
+        used = {key: self[key] for key in (*TABLES, *VIEWS) if "{" + key + "}" in text}
+        return self.spark.sql(text, **used)
 
 
 def star_ledgers(spark: SparkSession, directory: str) -> Ledgers:
-    frames = star_frames(spark, directory)
-    return Ledgers(**{name: frames[name] for name in SCHEMAS})
+    return Ledgers(StarFrames(spark, directory).__getitem__)

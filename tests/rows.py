@@ -24,7 +24,7 @@ def ledgers(spark: SparkSession, play=(), comps=(), prizes=(), points=(), manage
         "managers": list(managers),
         "tiers": list(tiers),
     }
-    return Ledgers(**{name: spark.createDataFrame(rows[name], SCHEMAS[name]) for name in SCHEMAS})
+    return Ledgers({name: spark.createDataFrame(rows[name], SCHEMAS[name]) for name in SCHEMAS})
 
 
 def dicts(frame) -> list[dict]:

@@ -106,7 +106,7 @@ def test_large_category_is_split_into_bounded_arrays(spark):
     books = ledgers(spark, comps=[("1997-03-01", "1", "A", i, "u") for i in range(1, 4)])
     wide = books.comps.crossJoin(spark.range(200).withColumnRenamed("id", "p"))
     wide = wide.withColumn("product", F.concat(F.lit("P"), F.col("p").cast("string"))).drop("p")
-    facts = Facts(type(books)(**{**books.__dict__, "comps": wide}))
+    facts = Facts(books.replaced(comps=wide))
     rows = dicts(comps.comps_products_nested(facts, per_array=10))
     sizes = [len(r["productos"]) for r in rows]
     assert len(rows) > 10 and max(sizes) < 60 and sum(sizes) == 200
