@@ -53,6 +53,15 @@ def ratio_pct(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, F.coalesce(part, F.lit(0.0)) / whole * 100.0).otherwise(F.lit(0.0))
 
 
+def share_pct(part: Column, whole: Column, rows: Column) -> Column:
+    """``part`` of ``whole`` in percent, 0 over no rows or a whole of 0.
+
+    The row count is not needed for the value.  Asking for it makes the plan of the whole need the same
+    partial aggregates as the plan of the parts, so Spark reuses that shuffle and scans the ledger once.
+    """
+    return F.when(rows > 0, ratio_pct(part, whole)).otherwise(F.lit(0.0))
+
+
 def pct_half_up(part: Column, whole: Column, places: int) -> Column:
     """Rounded percentage, ties away from zero; 0 unless the whole is positive."""
     return F.when(whole > 0, round_half_up(part * 100.0 / whole, places)).otherwise(F.lit(0.0))

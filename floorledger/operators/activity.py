@@ -60,7 +60,8 @@ def client_activity(ledgers: Ledgers | Mapping[str, DataFrame], *want: str) -> D
     measures = [name for name in want if name not in TEXTS]
     if not texts:
         return _measured(ledgers, want, needed)
-    rows = _stacked(ledgers, set(texts)).distinct()
+    # Without the shuffle between them the optimizer would drop the distinct and sort the raw rows.
+    rows = _stacked(ledgers, set(texts)).distinct().repartition("client_id")
     named = rows.groupBy("client_id").agg(*[F.max(name).alias(name) for name in texts])
     if not measures:
         return named.select("client_id", *want)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.functions.days import weekday_name
-from floorledger.functions.money import amount, or_zero, pct_half_up, ratio_pct, total
+from floorledger.functions.money import amount, or_zero, pct_half_up, share_pct, total
 from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
 from floorledger.operators.filters import authorised_by
@@ -80,14 +80,14 @@ def _grouped(facts: Facts, *keys: str) -> DataFrame:
 def comps_by_category(facts: Facts) -> DataFrame:
     """With each category's share of the whole amount."""
     groups = _grouped(facts, F.col("category").alias("descripcion_cat"))
-    whole = facts.rows["comps"].agg(total("amount").alias("todo"))
+    whole = groups.agg(F.sum("monto").alias("todo"), F.sum("cantidad").alias("filas"))
     return (
         with_scalar(groups, whole)
         .select(
             "descripcion_cat",
             "cantidad",
             amount("monto").alias("monto_total"),
-            ratio_pct(amount("monto"), amount("todo")).alias("pct_total"),
+            share_pct(amount("monto"), amount("todo"), F.col("filas")).alias("pct_total"),
         )
         .orderBy(F.desc("monto_total"), "descripcion_cat")
     )
@@ -104,7 +104,9 @@ def comps_by_product(facts: Facts) -> DataFrame:
     many products is not one task.
     """
     products = _products(facts)
-    categories = products.groupBy(F.col("descripcion_cat").alias("cat")).agg(F.sum("monto").alias("todo"))
+    categories = products.groupBy(F.col("descripcion_cat").alias("cat")).agg(
+        F.sum("monto").alias("todo"), F.sum("cantidad").alias("filas")
+    )
     return (
         products.join(categories, F.col("descripcion_cat").eqNullSafe(F.col("cat")))
         .select(
@@ -112,7 +114,7 @@ def comps_by_product(facts: Facts) -> DataFrame:
             "descripcion_prod",
             "cantidad",
             amount("monto").alias("monto_total"),
-            ratio_pct(amount("monto"), amount("todo")).alias("pct_categoria"),
+            share_pct(amount("monto"), amount("todo"), F.col("filas")).alias("pct_categoria"),
         )
         .orderBy("descripcion_cat", F.desc("monto_total"), "descripcion_prod")
     )

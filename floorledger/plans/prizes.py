@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.functions.money import amount, or_zero, pct_half_up, ratio_pct, total
+from floorledger.functions.money import amount, or_zero, pct_half_up, share_pct, total
 from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
 from floorledger.operators.ordering import ordered
@@ -59,12 +59,12 @@ def prizes_by_type(facts: Facts) -> DataFrame:
         F.count(F.lit(1)).alias("cantidad"), total("amount").alias("monto")
     )
     return (
-        with_scalar(groups, prizes.agg(total("amount").alias("todo")))
+        with_scalar(groups, groups.agg(F.sum("monto").alias("todo"), F.sum("cantidad").alias("filas")))
         .select(
             "tipo_pago",
             "cantidad",
             amount("monto").alias("monto_total"),
-            ratio_pct(amount("monto"), amount("todo")).alias("pct_total"),
+            share_pct(amount("monto"), amount("todo"), F.col("filas")).alias("pct_total"),
         )
         .orderBy(F.desc("monto_total"), "tipo_pago")
     )

@@ -6,6 +6,7 @@ The text runs unchanged in Spark SQL and in DuckDB; ``{name}`` is a table or ano
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from floorledger.ledgers import Ledgers
 
@@ -64,8 +65,15 @@ VIEWS = {
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    """A table; its schema is inferred from the file once per process, which costs a job each time."""
+    path = f"{directory}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 class StarFrames:
