@@ -22,9 +22,8 @@ from floorledger.sinks.sections import SECTIONS, export_sections, section_frame
 from floorledger.sources.star import star_ledgers
 
 HEADLINE = (
-    "audit_zero_play", "control_all", "control_all_month", "control_slots", "control_tables", "summary_players",
-    "summary_kpis", "comps_by_player", "comps_by_product", "comps_by_day", "prizes_by_player", "chart_by_area",
-    "audit_chart_by_area", "backfill_names", "replace_range", "clean_comps",
+    "audit_zero_play", "control_all", "control_all_month", "control_tables", "summary_players", "comps_by_player",
+    "comps_by_product", "prizes_by_player", "audit_chart_by_area", "backfill_names", "replace_range", "clean_comps",
 )
 
 
