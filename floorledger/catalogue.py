@@ -18,7 +18,7 @@ from floorledger.operators.names import backfill_names
 from floorledger.operators.ordering import sort_report
 from floorledger.operators.replace import batch_bounds, replace_range
 from floorledger.plans import audit, comps, control, marks, options, prizes, summary
-from floorledger.sinks.sections import section_frame
+from floorledger.sinks.sections import json_rows, section_frame
 from floorledger.sources import cleaning
 from floorledger.sources.raw_star import raw_feed
 from floorledger.sources.star import StarFrames, star_ledgers, table
@@ -111,10 +111,6 @@ def _tier_label(ledgers: Ledgers) -> DataFrame:
     return marks.short_levels(levels.select(dressed.alias("nivel")))
 
 
-def _json_rows(df: DataFrame) -> DataFrame:
-    return df.select(F.to_json(F.struct("*")).alias("fila"))
-
-
 def _flat_products(facts: Facts) -> DataFrame:
     """The nested product arrays as text, so that two engines can compare them."""
     rows = comps.comps_products_nested(facts)
@@ -167,7 +163,7 @@ QUERIES: dict[str, Query] = {
     "comps_with_manager": _report(comps.comps_with_manager),
     "comps_in_area": _ledgers(lambda ledgers: authorised_by(ledgers.comps, ledgers.managers, area=AREA)),
     "comps_by_manager": _ledgers(lambda ledgers: authorised_by(ledgers.comps, ledgers.managers, AREA, MANAGER)),
-    "daily_comps_json": _report(lambda facts: _json_rows(comps.daily_comps(facts))),
+    "daily_comps_json": _report(lambda facts: json_rows(comps.daily_comps(facts))),
     "daily_play": _report(comps.daily_play),
     # prizes
     "prizes_by_player": _report(prizes.prizes_by_player),

@@ -73,3 +73,8 @@ def export_sections(facts: Facts, names: Iterable[str], root: str) -> list[str]:
             finally:
                 rows.unpersist()
     return written
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """Each row of a report as one JSON object, for ``write.text`` or a caller that serves it."""
+    return df.select(F.to_json(F.struct("*")).alias("fila"))
