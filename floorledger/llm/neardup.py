@@ -7,8 +7,9 @@
 3. Each band of a signature is a bucket.  Inside a bucket only the links to its smallest member, the star's centre,
    are candidates, so a bucket of n classes gives n - 1 pairs.
 4. Candidates are confirmed on the full sets; confirmed links are joined into components.
-5. A star can miss a link between two members that are both unlike the centre.  So for buckets that still hold more
-   than one component, the pairs that cross components are confirmed too, unless their signatures rule them out.
+5. A star can miss a link between two members that are both unlike the centre.  So members of buckets that still hold
+   more than one component are compared across components wherever they share one of their rarest shingles, which
+   every similar pair does, and what sizes and signatures allow is confirmed too.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SIMILARITY_PERCENT = 75
 BANDS, BAND_BINS = 32, 4
 # Equal bins, of all, below which a pair is not fetched for confirmation: 6.5 standard deviations below the threshold.
 LEAST_EQUAL_BINS = 64
+# Size of the table that ranks shingles by how often they occur.
+COUNT_SLOTS = 2**20
 
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -60,6 +63,11 @@ def shingles(text: str | None, words_each: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(total)
 
 
+def set_key(hashes: np.ndarray) -> str | None:
+    """A 128-bit name of the set, null for an empty one."""
+    return xxhash.xxh3_128_hexdigest(hashes.tobytes()) if len(hashes) else None
+
+
 def probes(bins: int, tries: int = 64) -> np.ndarray:
     """For each bin, the bins it borrows from while empty, in turn."""
     numbers = np.arange(bins * tries, dtype=np.uint64) * _STEP + np.uint64(1)
@@ -101,7 +109,7 @@ def classes(documents: DataFrame, bands: int = BANDS, band_bins: int = BAND_BINS
                 total = salt.copy()
                 for column in sketch.reshape(bands, band_bins).T:
                     total = mixed(total + column + _STEP)
-                keys.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
+                keys.append(set_key(own))
                 hashes.append(total.view(np.int64))
                 bins.append(sketch.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
@@ -119,19 +127,22 @@ def classes(documents: DataFrame, bands: int = BANDS, band_bins: int = BAND_BINS
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, hashes`` of the wanted nodes: the shingle set, taken from the text again."""
+    """``node, hashes`` of the wanted nodes (node, set_key): the shingle set, taken from the text again.
+
+    The ids alone are joined to the texts, so that a list short enough for Spark to broadcast saves their shuffle.
+    """
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            hashes = [shingles(text.as_py()).tobytes() for text in part.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(hashes, pa.binary())], ["node", "set_key", "hashes"]
-            )
+            found = [shingles(text.as_py()) for text in part.column(1)]
+            keys = pa.array([set_key(own) for own in found], pa.string())
+            hashes = pa.array([own.tobytes() for own in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), keys, hashes], ["node", "set_key", "hashes"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    chosen = texts.join(wanted, "node").select("node", "set_key", "text")
-    sets = chosen.mapInArrow(rows, "node long, set_key string, hashes binary")
-    return sets
+    chosen = texts.join(stored(wanted.select("node").distinct()), "node", "left_semi")
+    found = chosen.mapInArrow(rows, "node long, set_key string, hashes binary")
+    return found.join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node"]).select("node", "hashes")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -153,13 +164,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _equal_bins(left: str, right: str) -> F.Column:
-    """Bins on which two signatures agree: zero bytes of the difference would need a lambda, so bytes are compared."""
+    """On how many bins two signatures agree, by their bytes."""
     return F.expr(
         f"aggregate(sequence(1, length({left})), 0, "
         f"(n, i) -> n + int(substring({left}, i, 1) = substring({right}, i, 1)))"
     )
 
 
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, least_equal_bins: int) -> DataFrame:
+    """The pairs that sizes allow and signatures do not rule out."""
+    one, two = (
+        nodes.select(F.col("node").alias(side), F.col("bins").alias(f"bins_{side}"), F.col("size").alias(f"size_{side}"))
+        for side in ("a", "b")
+    )
+    known = pairs.join(one, "a").join(two, "b")
+    sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    return known.where(sizes).where(_equal_bins("bins_a", "bins_b") >= least_equal_bins).select("a", "b")
+
+
+def _often(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in the sets, by the lowest bits of their hash: a table of fixed size."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_SLOTS, dtype=np.int64)
+        for part in parts:
+            for own in part.column(0):
+                total += np.bincount(_slot(np.frombuffer(own.as_py(), dtype=np.uint64)), minlength=COUNT_SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
+
+    found = sets.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNT_SLOTS, dtype=np.int64)
+    often[found["slot"].to_numpy(dtype=np.int64)] = found["n"]
+    return often
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)
+
+
+def _crossing(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that share one of their rarest shingles; ``members`` has node, component, hashes.
+
+    Two similar sets of n and m shingles share at least one of the n - ceil(n * percent / 100) + 1 that come first in
+    one, in any order that holds for all sets.  With the rarest first, a shingle that very many texts share is only
+    reached by texts that hold little else.
+    """
+    often = members.sparkSession.sparkContext.broadcast(_often(members))
+
+    def rarest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            nodes, component, hashes = part.columns
+            found, sizes = [], []
+            for own in hashes:
+                own = np.frombuffer(own.as_py(), dtype=np.uint64)
+                counts = often.value[_slot(own)]
+                first = len(own) + percent * len(own) // -100 + 1
+                order = np.lexsort((own, counts))[:first]
+                found.append(own[order][counts[order] > 1])  # one that occurs once is shared with nobody
+                sizes.append(len(own))
+            each = [len(own) for own in found]
+            repeat = np.repeat(np.arange(len(found)), each)
+            shingle = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [nodes.take(repeat), component.take(repeat), pa.array(np.array(sizes, dtype=np.int64)[repeat]), pa.array(shingle.view(np.int64))],
+                ["node", "component", "size", "shingle"],
+            )
+
+    rows = stored(members.select("node", "component", "hashes").mapInArrow(rarest, "node long, component long, size long, shingle long"))
+    mixed_ = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    rows = rows.join(mixed_.select("shingle"), "shingle", "left_semi")
+    one, two = (
+        rows.select("shingle", *[F.col(name).alias(f"{name}_{side}") for name in ("node", "component", "size")]) for side in "ab"
+    )
+    sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
+    met = one.join(two, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & sizes)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicates(
     documents: DataFrame,
     percent: int = SIMILARITY_PERCENT,
@@ -174,46 +256,38 @@ def near_duplicates(
     repeat a doc_id keep one row each, and all texts of one doc_id count as linked.  Other columns do not matter.
     """
     rows = stored(classes(documents, bands, band_bins))
-    nodes = rows.where("doc_id is not null and set_key is not null")
-    # One class per distinct set, named by its smallest doc_id.
-    distinct = stored(
-        nodes.groupBy("set_key").agg(
-            F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("bins", "doc_id").alias("bins")
+    # One node per distinct set, named by its smallest doc_id.
+    nodes = stored(
+        rows.where("doc_id is not null and set_key is not null")
+        .groupBy("set_key")
+        .agg(
+            F.min("doc_id").alias("node"),
+            F.min_by("bands", "doc_id").alias("bands"),
+            F.min_by("bins", "doc_id").alias("bins"),
+            F.max("n_shingles").alias("size"),
         )
     )
-    members = distinct.select("node", "set_key", F.posexplode("bands").alias("band", "bucket"))
-    stars = members.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size"))
-    shared = stored(
-        members.select("node", "band", "bucket").join(stars.where("size > 1"), ["band", "bucket"]).select("node", "band", "bucket", "centre")
-    )
-    wanted = stored(shared.select("node").distinct().join(distinct.select("node", "set_key"), "node"))
-    sets = stored(_sets(documents, wanted).dropDuplicates(["node", "set_key"]).join(wanted, ["node", "set_key"], "left_semi").select("node", "hashes"))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    stars = members.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(members.join(stars.drop("n"), ["band", "bucket"]))
     pairs = shared.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_confirmed(pairs, sets, percent))
+    pairs = stored(_likely(pairs, nodes, percent, least_equal_bins))
+    keys = nodes.select("node", "set_key")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node")
+    links = stored(_confirmed(pairs, stored(_sets(documents, wanted)), percent))
     found = components(links)
 
-    # Buckets that hold several components: the pairs that no star has looked at.
+    # Buckets that still hold several components: some pairs there have not been looked at.
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    left = stored(placed.join(open_.select("band", "bucket"), ["band", "bucket"]).join(distinct.select("node", "bins"), "node"))
-    one, two = (
-        left.select("band", "bucket", *[F.col(name).alias(f"{name}_{side}") for name in ("node", "component", "centre", "bins")])
-        for side in ("a", "b")
-    )
-    crossing = (
-        one.join(two, ["band", "bucket"])
-        .where("node_a < node_b and component_a <> component_b and node_a <> centre_a")
-        .where(_equal_bins("bins_a", "bins_b") >= least_equal_bins)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        .distinct()
-    )
+    undecided = stored(placed.join(open_.select("band", "bucket"), ["band", "bucket"]).select("node", "component").distinct())
+    sets = stored(_sets(documents, undecided.select("node").join(keys, "node")))
+    crossing = _likely(_crossing(undecided.join(sets, "node"), percent), nodes, percent, least_equal_bins)
     more = stored(_confirmed(crossing, sets, percent))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    of_set = distinct.select("set_key", "node").join(found, "node", "left").select(
-        "set_key", F.coalesce("component", "node").alias("component")
-    )
+    of_set = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select(
