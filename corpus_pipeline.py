@@ -5,33 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from floorledger.llm.decontamination import contamination
 from floorledger.llm.neardup import near_duplicates
 from floorledger.llm.packing import pack_documents
+from floorledger.llm.quality import score_quality
 from floorledger.llm.queries import vocabulary
 from floorledger.llm.scratch import stored
+from floorledger.llm.secrets import redacted
 from floorledger.llm.tables import corpus
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not in ``gone``; rows without an id stay.  The list is written first, so Spark knows its
+    size when it chooses how to join it."""
+    return docs.join(stored(gone.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    scores = score_quality(docs, corpus(spark, sf_dir, "labels"))
+    return _without(docs, scores.where("predicted = 0"))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows without an id stay."""
-    groups = near_duplicates(docs)
-    gone = groups.where(~groups["kept"]).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The document with the smallest id of each group of near-duplicates."""
+    return _without(docs, near_duplicates(docs).where("not kept"))
+
+
+def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return _without(docs, contamination(docs, corpus(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark; n_chars follows the text where it changes."""
+    clean = redacted(docs)
+    n_chars = F.when(F.col("redactions") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars.cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of the documents' tokens."""
     return pack_documents(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("near_dedup", one_of_each_group),
-    ("packing", packed),
+    ("quality_classifier", good_quality),
+    ("minhash_near_dedup", one_of_each_group),
+    ("benchmark_decontamination", not_in_benchmark),
+    ("secret_scans", without_secrets),
+    ("best_fit_packing", packed),
 ]
 
-# Classifier, signatures and packing have no SQL form; tests compare the pipeline with a plain version.
+# Classifier, sketches and packing have no SQL form; a test compares the pipeline with a plain version.
 ORACLE_SQL = None
 
 

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floorledger.llm.scratch import stored
+
 REACH = 200
 
 
@@ -166,3 +168,34 @@ def secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
     )
     columns = ["doc_id", *[f"n_{name}" for name in STRONG], "base_sha256", "spans"]
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)
+
+
+def redacted(documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
+    """All rows and columns, every reported part of ``text`` replaced by ``mark``, and the column ``redactions``.
+
+    Parts that overlap or touch are replaced as one.  Only texts with parts are joined; the list of parts is written
+    first, so Spark knows its size when it chooses how to join it.
+    """
+    parts = secret_parts(documents, reach).where("reported").select(*_ROW, "start", "end").distinct()
+    before = Window.partitionBy(*_ROW).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    islands = parts.withColumn("so_far", F.max("end").over(before)).withColumn(
+        "island", F.sum(F.when(F.col("start") <= F.col("so_far"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    spans = islands.groupBy(*_ROW, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    listed = stored(
+        spans.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
+        .select(F.col("doc_id").alias("part_id"), F.col("key").alias("part_key"), "parts")
+    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = documents.withColumn("part_key_", F.xxhash64(text)).join(
+        listed, F.col("doc_id").cast("long").eqNullSafe(F.col("part_id")) & (F.col("part_key_") == F.col("part_key")), "left"
+    )
+    ends = F.concat(F.array(F.lit(0)), F.transform("parts", lambda part: part["end"].cast("int")))
+    starts = F.concat(F.transform("parts", lambda part: part["start"].cast("int")), F.array(F.length("text")))
+    between = F.transform(
+        F.arrays_zip(ends.alias("from"), starts.alias("to")),
+        lambda gap: F.substring(F.col("text"), gap["from"] + 1, gap["to"] - gap["from"]),
+    )
+    cleaned = F.when(F.col("parts").isNull(), F.col("text")).otherwise(F.array_join(between, mark))
+    kept = [name for name in documents.columns if name not in ("text", "redactions")]
+    return joined.select(*kept, cleaned.alias("text"), F.coalesce(F.size("parts"), F.lit(0)).alias("redactions"))
