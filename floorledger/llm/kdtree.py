@@ -201,7 +201,7 @@ def top_k(
             return out.empty_table()
         size, ids = key[0].as_py(), asking.column("query_id").to_numpy()
         rows = [
-            (np.array(own.as_py(), dtype=np.int64), np.array(flat.as_py(), dtype=np.int64).reshape(-1, size))
+            (np.array(own.as_py(), dtype=np.int64), np.array(flat.as_py(), dtype=np.int64).reshape(len(own), size))
             for own, flat in zip(leaves.column("ids"), leaves.column("rows"), strict=True)
         ]
         least = asking.column("least").to_numpy()

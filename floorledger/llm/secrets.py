@@ -184,12 +184,12 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -
     spans = islands.groupBy(*_ROW, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     listed = stored(
         spans.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
-        .select(F.col("doc_id").alias("part_id"), F.col("key").alias("part_key"), "parts")
-    )
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = documents.withColumn("part_key_", F.xxhash64(text)).join(
-        listed, F.col("doc_id").cast("long").eqNullSafe(F.col("part_id")) & (F.col("part_key_") == F.col("part_key")), "left"
-    )
+    ).toDF("part_id", "part_key", "parts")
+    # The row travels as one column, so that its columns may have any names.
+    rows = documents.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")
+    ).withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = rows.join(listed, F.expr("row_id <=> part_id and row_key = part_key"), "left")
     ends = F.concat(F.array(F.lit(0)), F.transform("parts", lambda part: part["end"].cast("int")))
     starts = F.concat(F.transform("parts", lambda part: part["start"].cast("int")), F.array(F.length("text")))
     between = F.transform(
@@ -197,5 +197,7 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -
         lambda gap: F.substring(F.col("text"), gap["from"] + 1, gap["to"] - gap["from"]),
     )
     cleaned = F.when(F.col("parts").isNull(), F.col("text")).otherwise(F.array_join(between, mark))
-    kept = [name for name in documents.columns if name not in ("text", "redactions")]
-    return joined.select(*kept, cleaned.alias("text"), F.coalesce(F.size("parts"), F.lit(0)).alias("redactions"))
+    return joined.select(
+        *[cleaned.alias(name) if name == "text" else F.col(f"row.`{name}`") for name in documents.columns if name != "redactions"],
+        F.coalesce(F.size("parts"), F.lit(0)).alias("redactions"),
+    )
