@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from floorledger.functions.days import gaming_day
 from floorledger.functions.text import without_float_tail, without_marks
-from floorledger.ledgers import Ledgers
+from floorledger.ledgers import DAY_COLUMN, MONTH_COLUMN, Ledgers
 from floorledger.operators.activity import client_activity
 from floorledger.operators.facts import Facts
 from floorledger.operators.filters import authorised_by, period
@@ -18,7 +18,9 @@ from floorledger.operators.names import backfill_names
 from floorledger.operators.ordering import sort_report
 from floorledger.operators.replace import batch_bounds, replace_range
 from floorledger.plans import audit, comps, control, marks, options, prizes, summary
+from floorledger.session import scratch_folder
 from floorledger.sinks.sections import json_rows, section_frame
+from floorledger.sinks.store import LedgerStore
 from floorledger.sources import cleaning
 from floorledger.sources.raw_star import raw_feed
 from floorledger.sources.star import StarFrames, star_ledgers, table
@@ -58,6 +60,27 @@ def _bounds(ledgers: Ledgers) -> DataFrame:
     return batch_bounds(_voucher_batch(ledgers.comps), "gaming_date")
 
 
+def _stored(spark: SparkSession, directory: str, *tables: str) -> LedgerStore:
+    """A new store with some of the ledgers."""
+    ledgers, store = star_ledgers(spark, directory), LedgerStore(spark, scratch_folder(spark))
+    for name in tables:
+        (store.replace_range if name in DAY_COLUMN else store.refresh)(name, ledgers[name])
+    return store
+
+
+def _store_replace(spark: SparkSession, directory: str) -> DataFrame:
+    """The range replace as a load: all vouchers, then the standing batch over them."""
+    store = _stored(spark, directory, "comps")
+    store.replace_range("comps", _voucher_batch(star_ledgers(spark, directory).comps))
+    return store.ledger("comps").drop(MONTH_COLUMN)
+
+
+def _store_month(spark: SparkSession, directory: str) -> DataFrame:
+    """A month report on stored ledgers."""
+    store = _stored(spark, directory, "play", "points", "comps")
+    return comps.comps_by_player(Facts(store.ledgers(), YEAR, MONTH))
+
+
 def _play_period(anio: str = "", mes: str = "") -> Query:
     return _ledgers(lambda ledgers: period(ledgers.play, "gaming_date", anio, mes))
 
@@ -111,22 +134,6 @@ def _tier_label(ledgers: Ledgers) -> DataFrame:
     return marks.short_levels(levels.select(dressed.alias("nivel")))
 
 
-def _flat_products(facts: Facts) -> DataFrame:
-    """The nested product arrays as text, so that two engines can compare them."""
-    rows = comps.comps_products_nested(facts)
-    return rows.select(
-        "descripcion_cat",
-        "parte",
-        F.array_join(
-            F.transform(
-                "productos",
-                lambda p: F.concat_ws(":", p["descripcion_prod"], p["cantidad"], p["monto_total"].cast("bigint")),
-            ),
-            "|",
-        ).alias("productos"),
-    )
-
-
 QUERIES: dict[str, Query] = {
     # feeds and identifiers
     **{f"clean_{feed}": _clean(feed) for feed in cleaning.CLEANERS},
@@ -135,6 +142,8 @@ QUERIES: dict[str, Query] = {
     "backfill_names": _ledgers(lambda ledgers: backfill_names(ledgers.comps, ledgers.play)),
     # loads
     "replace_range": _ledgers(_replace),
+    "store_replace_range": _store_replace,
+    "store_comps_by_player_month": _store_month,
     "batch_bounds": _ledgers(_bounds),
     "table_counts": _ledgers(options.table_counts),
     # filters
@@ -156,7 +165,7 @@ QUERIES: dict[str, Query] = {
     "comps_by_player_month": _report(comps.comps_by_player, anio=YEAR, mes=MONTH),
     "comps_by_category": _report(comps.comps_by_category),
     "comps_by_product": _report(comps.comps_by_product),
-    "comps_products_nested": _report(_flat_products),
+    "comps_products_nested": _report(comps.comps_products_nested),
     "comps_by_day": _report(comps.comps_by_day),
     "comps_totals": _report(comps.comps_totals),
     "comps_totals_month": _report(comps.comps_totals, anio=YEAR, mes=MONTH),

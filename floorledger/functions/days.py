@@ -17,7 +17,7 @@ EVERY = "Todos"
 DAY_START_HOUR = 9
 
 ISO_DAY = r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})([ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"
-DAY_FIRST = r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$"
+NUMBERED_DAY = r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$"
 DAY_FIRST_MINUTE = r"^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4}) ([0-9]{1,2}):([0-9]{1,2})$"
 
 
@@ -26,11 +26,15 @@ def gaming_day(timestamp: Column) -> Column:
     return F.to_date(timestamp - F.make_dt_interval(hours=F.lit(DAY_START_HOUR)))
 
 
-def parse_day(text: Column) -> Column:
-    """Day from ``yyyy-MM-dd`` with or without a time, or day-first with ``/`` or ``-``; else null."""
+def parse_day(text: Column, day_first: bool = False) -> Column:
+    """Day from ``yyyy-MM-dd`` with or without a time, or from three numbers with ``/`` or ``-``; else null.
+
+    ``03/04/2024`` is 4 March, as the feeds have always been read, or with ``day_first`` 3 April.
+    """
     iso = F.when(text.rlike(ISO_DAY), text.try_cast("timestamp_ntz"))
-    day_first = F.when(text.rlike(DAY_FIRST), F.regexp_replace(text, DAY_FIRST, "$3-$2-$1").try_cast("date"))
-    return F.coalesce(F.to_date(iso), day_first)
+    order = "$3-$2-$1" if day_first else "$3-$1-$2"
+    numbered = F.when(text.rlike(NUMBERED_DAY), F.regexp_replace(text, NUMBERED_DAY, order).try_cast("date"))
+    return F.coalesce(F.to_date(iso), numbered)
 
 
 def parse_minute(text: Column) -> Column:

@@ -12,7 +12,8 @@ WHITESPACE = " \t\n\r\x0b\x0c\u00a0"
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 # Label shortening of player levels.
-LONG_LEVEL, SHORT_LEVEL = "DREAMS", "D."
+LONG_LEVELS = ("DREAMS ", "DREAMS")
+SHORT_LEVEL = "D."
 
 
 def stripped(column: Column) -> Column:
@@ -46,5 +47,6 @@ def number_or_zero(column: Column) -> Column:
 
 def level_label(column: Column) -> Column:
     """Short form of a player level for narrow tables."""
-    shortened = F.replace(column, F.lit(LONG_LEVEL + " "), F.lit(SHORT_LEVEL))
-    return F.replace(shortened, F.lit(LONG_LEVEL), F.lit(SHORT_LEVEL))
+    for long_level in LONG_LEVELS:
+        column = F.replace(column, F.lit(long_level), F.lit(SHORT_LEVEL))
+    return column

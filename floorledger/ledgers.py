@@ -14,6 +14,9 @@ PRIZES = "gaming_date DATE, client_id STRING, amount DOUBLE, pay_type STRING"
 POINTS = "op_date DATE, client_id STRING, client_name STRING, points DOUBLE, coin_in_points DOUBLE"
 MANAGERS = "user_id STRING, name STRING, area STRING"
 TIERS = "category STRING, pct DOUBLE"
+# Kept beside slot play: what reports show for a client, over all of it.
+NAMES = "client_id STRING, slot_name STRING, player_level STRING"
+CLIENT_NAMES = "client_names"
 
 SCHEMAS = {
     "play": PLAY,
@@ -24,6 +27,9 @@ SCHEMAS = {
     "tiers": TIERS,
 }
 
+# The column that tells rows of a dimension apart.
+KEY_COLUMN = {"managers": "user_id", "tiers": "category"}
+
 # The column each ledger is dated by.
 DAY_COLUMN = {"play": "gaming_date", "comps": "gaming_date", "prizes": "gaming_date", "points": "op_date"}
 
@@ -33,11 +39,19 @@ UNDATED = "undated"
 
 
 class Ledgers:
-    """The six frames by name, from a mapping or from a function that is asked once per name."""
+    """The six frames by name, from a mapping or from a function that is asked once per name.
+
+    ``client_names`` gives stored names and levels of all clients, where there are any.
+    """
 
-    def __init__(self, source: Mapping[str, DataFrame] | Callable[[str], DataFrame]) -> None:
+    def __init__(
+        self,
+        source: Mapping[str, DataFrame] | Callable[[str], DataFrame],
+        client_names: Callable[[], DataFrame] | None = None,
+    ) -> None:
         self._source = source if callable(source) else source.__getitem__
         self._frames: dict[str, DataFrame] = {}
+        self.client_names = client_names
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -46,7 +60,8 @@ class Ledgers:
 
     def replaced(self, **frames: DataFrame) -> Ledgers:
         """The same ledgers with some frames exchanged."""
-        return Ledgers(lambda name: frames[name] if name in frames else self[name])
+        names = None if "play" in frames else self.client_names
+        return Ledgers(lambda name: frames[name] if name in frames else self[name], names)
 
     play = property(lambda self: self["play"])
     comps = property(lambda self: self["comps"])

@@ -45,19 +45,26 @@ class Facts:
         return client_activity(self.rows, *want)
 
     def history(self, *want: str) -> DataFrame:
-        """Activity per client over all periods."""
+        """Activity per client over all periods; names and levels are read from the store where it keeps them."""
+        if self.ledgers.client_names and set(want) <= {"slot_name", "player_level"}:
+            return self.ledgers.client_names().select("client_id", *want)
         if self.whole_history:
             return self.clients(*want)
         return client_activity(self.ledgers, *want)
 
     def vouchers(self, *keys: str, area: str | None = "", jefe: str | None = "") -> DataFrame:
         """Voucher count and exact amount per key, after the manager or area filter."""
-        rows = self.rows["comps"] if self._vouchers is None else self._vouchers
-        rows = authorised_by(rows, self.ledgers.managers, area, jefe)
-        if self._vouchers is None:
-            return rows.groupBy(*keys).agg(
+        groups = self._vouchers
+        if groups is None:
+            # With an area, vouchers are grouped by manager too, so that groups and not vouchers meet the managers.
+            grain = dict.fromkeys([*keys, "user_id"] if area and not jefe else keys)
+            rows = authorised_by(self.rows["comps"], self.ledgers.managers, jefe=jefe)
+            groups = rows.groupBy(*grain).agg(
                 F.count(F.lit(1)).alias("comp_rows"), total("amount").alias("comp_amount")
             )
+            if not area or jefe:
+                return groups
+        rows = authorised_by(groups, self.ledgers.managers, area, jefe)
         return rows.groupBy(*keys).agg(
             F.sum("comp_rows").alias("comp_rows"), F.sum("comp_amount").alias("comp_amount")
         )
@@ -69,6 +76,20 @@ class Facts:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return rows.agg(F.coalesce(total("coin"), F.lit(0)).alias("period_coin_in"))
 
+    def period_total(self, *ledgers: str) -> DataFrame:
+        """One row: exact coin-in and distinct days of the named ledgers, in one scan of each."""
+        column = {"play": "coin_in", "points": "coin_in_points"}
+        parts = [
+            self.rows[name].select(F.col(column[name]).alias("coin"), F.col(DAY_COLUMN[name]).alias("day"))
+            for name in ledgers
+        ]
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        days = F.count_distinct("day")
+        return rows.agg(
+            F.coalesce(total("coin"), F.lit(0)).alias("period_coin_in"),
+            F.when(days == 0, F.lit(1).cast("long")).otherwise(days).alias("period_days"),
+        )
+
     def day_total(self, *ledgers: str) -> DataFrame:
         """One row: distinct days of the named ledgers, 1 if there are none."""
         parts = [self.rows[name].select(F.col(DAY_COLUMN[name]).alias("day")) for name in ledgers]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +22,10 @@ def period(df: DataFrame, day: str, anio: str | None = "", mes: str | None = "")
     if (anio and not re.fullmatch(r"(?!0000)\d{4}", anio)) or (mes and not re.fullmatch(r"0[1-9]|1[0-2]", mes)):
         return df.where(F.lit(False))
     if anio:
-        first = date(int(anio), int(mes or 1), 1)
+        first = f"{anio}-{mes or '01'}-01"
         last_month = int(mes or 12)
         past_end = f"{int(anio) + 1:04d}-01-01" if last_month == 12 else f"{anio}-{last_month + 1:02d}-01"
-        wanted = (F.col(day) >= F.lit(first)) & (F.col(day) < F.lit(past_end).cast("date"))
+        wanted = (F.col(day) >= F.lit(first).cast("date")) & (F.col(day) < F.lit(past_end).cast("date"))
     else:
         wanted = F.month(day) == int(mes)
     if MONTH_COLUMN in df.columns:

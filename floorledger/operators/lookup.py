@@ -22,18 +22,17 @@ def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of raw rows to a lookup with at most one row per key.
 
-    Rows of hot keys, and rows whose key is null, never meet a shuffle: their lookup rows are bounded
-    in number (see ``hot_keys``) and are broadcast.  All others go through an ordinary join.
+    Rows are tagged once by a broadcast of the hot keys, whose number is bounded (see ``hot_keys``).  Rows of hot keys,
+    and rows whose key is null, are spread over salts; the lookup rows of hot keys are repeated for each salt.  So
+    ``rows`` is read twice, once to count, and ``lookup`` once.
     """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     added = [name for name in lookup.columns if name not in keys]
     keyed = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
-    hot = hot_keys(rows, keys)
-    hot_found = lookup.join(F.broadcast(hot), keys, "left_semi")
-    hot_lookup = hot.join(hot_found, keys, "left").withColumn("is_hot", F.lit(True))
-    spread = (
-        rows.join(F.broadcast(hot_lookup), keys, "left")
-        .where(F.col("is_hot") | ~keyed)
-        .select(*rows.columns, *added)
-    )
-    rest = rows.where(keyed).join(F.broadcast(hot), keys, "left_anti").join(lookup, keys, "left")
-    return rest.select(*rows.columns, *added).unionByName(spread)
+    hot = hot_keys(rows, keys).withColumn("is_hot", F.lit(True))
+    spread = F.when(F.col("is_hot") | ~keyed, F.monotonically_increasing_id() % salts).otherwise(0)
+    tagged = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", spread)
+    every = F.sequence(F.lit(0).cast("long"), F.when(F.col("is_hot"), salts - 1).otherwise(0).cast("long"))
+    salted = lookup.join(F.broadcast(hot), keys, "left").withColumn("salt", F.explode(every))
+    joined = tagged.drop("is_hot").join(salted.drop("is_hot"), [*keys, "salt"], "left")
+    return joined.select(*rows.columns, *added)

@@ -25,4 +25,4 @@ def sort_report(df: DataFrame, column: str, ascending: bool = True) -> DataFrame
     key = F.col(column)
     if isinstance(df.schema[column].dataType, StringType):
         key = F.collate(key, TEXT_COLLATION)
-    return df.orderBy(key.asc() if ascending else key.desc())
+    return ordered(df, df.columns[0], key.asc() if ascending else key.desc())

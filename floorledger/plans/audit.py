@@ -56,17 +56,21 @@ def _day_facts(facts: Facts) -> DataFrame:
 def _zero_play(facts: Facts, keys: list[str], area: str = "", jefe: str = "") -> DataFrame:
     """Voucher groups of days without play, with coin-in, prizes and a shown name.
 
-    Vouchers are reduced to the report's grain before any join, so neither a hot client nor a hot
-    manager reaches a join as raw rows.
+    Vouchers are first counted per day, client, shown name and manager, which needs no sort; only those groups
+    meet the managers and are sorted for the largest name.  A group whose manager granted very many is one row by
+    then; where a manager has a large part of the groups, the join is left to the planner's size check and AQE.
     """
-    rows = authorised_by(facts.rows["comps"], facts.ledgers.managers, area, jefe)
     own_name = F.when(~is_blank(F.col("client_name")), F.col("client_name"))
+    vouchers = authorised_by(facts.rows["comps"], facts.ledgers.managers, jefe=jefe)
+    counted = vouchers.groupBy(*KEYS, "user_id", own_name.alias("client_name")).agg(
+        F.count(F.lit(1)).alias("comp_rows"), total("amount").alias("comp_amount")
+    )
     granted = [] if "user_id" in keys else [F.min("user_id").alias("user_id")]
-    groups = rows.groupBy(*keys).agg(
-        F.max(own_name).alias("client_name"),
+    groups = authorised_by(counted, facts.ledgers.managers, area, jefe).groupBy(*keys).agg(
+        F.max("client_name").alias("client_name"),
         *granted,
-        F.count(F.lit(1)).alias("comp_rows"),
-        total("amount").alias("comp_amount"),
+        F.sum("comp_rows").alias("comp_rows"),
+        F.sum("comp_amount").alias("comp_amount"),
     )
     idle = groups.join(_day_facts(facts), KEYS, "left").where(~F.coalesce("active", F.lit(False)))
     managers = facts.ledgers.managers.select("user_id", "name", "area")

@@ -15,8 +15,6 @@ from floorledger.operators.ordering import ordered
 
 # Fixed value: shown for a client without a player level.
 NO_LEVEL = "-"
-# Products of one category go into arrays of about this many entries.
-PRODUCTS_PER_ARRAY = 1000
 
 
 def _per_player(facts: Facts, *extra: str) -> DataFrame:
@@ -120,31 +118,13 @@ def comps_by_product(facts: Facts) -> DataFrame:
     )
 
 
-def comps_products_nested(facts: Facts, per_array: int = PRODUCTS_PER_ARRAY) -> DataFrame:
-    """Products as arrays inside their category, dearest first.
+def comps_products_nested(facts: Facts) -> DataFrame:
+    """The products of each category, dearest first: one row per product at any size.
 
-    A category of ordinary size is one row, ``parte`` 0.  A larger one is spread by product over several
-    rows, so no array grows without bound; together they hold every product.
+    Rows rather than arrays, so that a category with very many products is neither one row nor one task.
     """
-    products = _products(facts)
-    sizes = products.groupBy(F.col("descripcion_cat").alias("cat")).agg(
-        F.ceil(F.count(F.lit(1)) / per_array).alias("partes")
-    )
-    row = F.struct(
-        (-amount("monto")).alias("menos_monto"),
-        "descripcion_prod",
-        "cantidad",
-        amount("monto").alias("monto_total"),
-    )
-    spread = products.join(sizes, F.col("descripcion_cat").eqNullSafe(F.col("cat"))).withColumn(
-        "parte", F.pmod(F.xxhash64("descripcion_prod"), F.col("partes"))
-    )
-    nested = spread.groupBy("descripcion_cat", "parte").agg(F.array_sort(F.collect_list(row)).alias("filas"))
-    return nested.select(
-        "descripcion_cat",
-        "parte",
-        F.transform("filas", lambda r: r.dropFields("menos_monto")).alias("productos"),
-    ).orderBy("descripcion_cat", "parte")
+    rows = _products(facts).select("descripcion_cat", "descripcion_prod", "cantidad", amount("monto").alias("monto_total"))
+    return ordered(rows, "descripcion_prod", "descripcion_cat", F.desc("monto_total"), "descripcion_prod")
 
 
 def comps_by_day(facts: Facts) -> DataFrame:

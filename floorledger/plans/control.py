@@ -230,7 +230,7 @@ def _kpis(facts: Facts, *ledgers: str) -> DataFrame:
     comps = facts.rows["comps"].agg(or_zero(total("amount")).alias("comps"))
     one = reduce(
         with_scalar,
-        [facts.coin_in_total(*ledgers), comps, facts.day_total(*ledgers), base_rate(facts.ledgers.tiers)],
+        [facts.period_total(*ledgers), comps, base_rate(facts.ledgers.tiers)],
     )
     given, coin_in = amount("comps"), amount("period_coin_in")
     return one.select(

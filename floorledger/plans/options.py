@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.functions.days import period_label
-from floorledger.ledgers import DAY_COLUMN, Ledgers
+from floorledger.ledgers import DAY_COLUMN, MONTH_COLUMN, UNDATED, Ledgers
 from floorledger.operators.filters import with_area
 
 
 def _months(ledgers: Ledgers) -> DataFrame:
-    """Distinct (year, month) texts of the four ledgers."""
-    parts = [ledgers[name].select(F.col(day).alias("day")) for name, day in DAY_COLUMN.items()]
-    days = reduce(DataFrame.unionByName, parts).where(F.col("day").isNotNull())
-    months = days.select(F.trunc("day", "month").alias("month")).distinct()
-    return months.select(F.date_format("month", "yyyy").alias("anio"), F.date_format("month", "MM").alias("mes"))
+    """Distinct (year, month) texts of the four ledgers; a stored ledger has them as partition values, so that no
+    column of it is read."""
+    parts = [_month_texts(ledgers[name], day) for name, day in DAY_COLUMN.items()]
+    months = reduce(DataFrame.unionByName, parts).distinct()
+    return months.select(F.split_part("month", F.lit("-"), F.lit(1)).alias("anio"), F.split_part("month", F.lit("-"), F.lit(2)).alias("mes"))
+
+
+def _month_texts(ledger: DataFrame, day: str) -> DataFrame:
+    if MONTH_COLUMN in ledger.columns:
+        return ledger.where(F.col(MONTH_COLUMN) != UNDATED).select(F.col(MONTH_COLUMN).alias("month")).distinct()
+    days = ledger.where(F.col(day).isNotNull()).select(F.trunc(day, "month").alias("first")).distinct()
+    return days.select(F.date_format("first", "yyyy-MM").alias("month"))
 
 
 def filter_years(ledgers: Ledgers) -> DataFrame:

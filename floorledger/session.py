@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +27,16 @@ def local_session(
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``.
+
+    Only where the session names no such folder, as in tests on one machine, a local temporary one is set.
+    """
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="floorledger-")
+        context.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/floorledger-{uuid.uuid4().hex}"

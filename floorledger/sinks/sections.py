@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorledger.functions.days import EVERY, MONTHS
 from floorledger.operators.facts import Facts
+from floorledger.operators.ordering import ordered
 from floorledger.plans import audit, comps, control, prizes, summary
 
 
@@ -17,6 +19,7 @@ from floorledger.plans import audit, comps, control, prizes, summary
 class Section:
     plan: Callable[[Facts], DataFrame]
     order: Callable[[], list[Column]]
+    key: str = "ID"
 
 
 def _by_amount(column: str) -> Callable[[], list[Column]]:
@@ -32,9 +35,9 @@ SECTIONS = {
     "cortesias": Section(comps.export_comps, _by_amount("Monto_Cortesias")),
     "premios": Section(prizes.export_prizes, _by_amount("Monto_Premios")),
     "resumen": Section(summary.export_summary, _by_amount("Coin_In")),
-    "control_invitaciones": Section(control.export_control, _by_segment),
-    "invitaciones_mda": Section(control.export_slots, _by_segment),
-    "invitaciones_mdj": Section(control.export_tables, _by_segment),
+    "control_invitaciones": Section(control.export_control, _by_segment, "client_id"),
+    "invitaciones_mda": Section(control.export_slots, _by_segment, "client_id"),
+    "invitaciones_mdj": Section(control.export_tables, _by_segment, "client_id"),
     "auditoria_coinin_cero": Section(audit.export_audit, lambda: [F.desc("Jornada"), F.col("ID")]),
 }
 ORDER_ONLY = ("segmento", "client_id")
@@ -42,8 +45,11 @@ ORDER_ONLY = ("segmento", "client_id")
 
 def section_frame(facts: Facts, name: str) -> DataFrame:
     """A section as it is written: ordered, without the columns that only order it."""
-    section = SECTIONS[name]
-    return section.plan(facts).orderBy(*section.order()).drop(*ORDER_ONLY)
+    return _in_order(SECTIONS[name], SECTIONS[name].plan(facts))
+
+
+def _in_order(section: Section, rows: DataFrame) -> DataFrame:
+    return ordered(rows, section.key, *section.order()).drop(*ORDER_ONLY)
 
 
 def period_name(anio: str | None, mes: str | None) -> str:
@@ -56,25 +62,41 @@ def export_sections(facts: Facts, names: Iterable[str], root: str) -> list[str]:
     """Write the chosen sections under ``root/period=<label>/section=<name>``; returns those written.
 
     Six of the seven sections come from two shared aggregates (activity per client, voucher groups),
-    so each ledger is scanned once for them.  A section without rows is skipped.
+    so each ledger is scanned once for them.  A section without rows is skipped; what an earlier export of the
+    same period left there is emptied, so that no old rows stand beside new ones.
     """
-    chosen = [name for name in SECTIONS if name in set(names)]
+    wanted = set(names)
+    unknown = sorted(wanted - set(SECTIONS))
+    if unknown:
+        raise ValueError(f"no such section: {', '.join(unknown)}")
+    chosen = [name for name in SECTIONS if name in wanted]
     written = []
     with facts.shared() as shared:
         for name in chosen:
             rows = SECTIONS[name].plan(shared).persist()
             try:
+                target = f"{root}/period={period_name(facts.anio, facts.mes)}/section={name}"
                 if rows.isEmpty():
+                    if _exists(rows.sparkSession, target):
+                        rows.drop(*ORDER_ONLY).write.mode("overwrite").parquet(target)
                     continue
-                target = f"{root}/period={period_name(facts.anio, facts.mes)}/section={name}"
-                ordered = rows.orderBy(*SECTIONS[name].order()).drop(*ORDER_ONLY)
-                ordered.write.mode("overwrite").parquet(target)
+                _in_order(SECTIONS[name], rows).write.mode("overwrite").parquet(target)
                 written.append(name)
             finally:
                 rows.unpersist()
     return written
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Each row of a report as one JSON object, for ``write.text`` or a caller that serves it."""
     return df.select(F.to_json(F.struct("*")).alias("fila"))

@@ -4,31 +4,49 @@ Layout under the store's root::
 
     <ledger>/load=<id>/ledger_month=<yyyy-MM|undated>/part-*.parquet
     <dimension>/load=<id>/part-*.parquet
-    loads/part-*.parquet            one row per finished load
+    client_names/load=<id>/part-*.parquet      names and levels of all clients in slot play
+    loads/number=<n>/part-*.parquet            one file per finished load
 
-A load writes its files under a fresh ``load=<id>`` and then appends its row to ``loads``.  That one-file
-append publishes it: readers list only loads named there, so a failed or repeated job changes nothing,
-and a reader never sees half a batch.  A load of a ledger rewrites only the first and the last month of
-its day range (to keep the stored days outside the range); months between are superseded without being
-read, other months are not touched, and undated rows only ever accumulate.
+A load writes its files under a fresh ``load=<id>`` and then writes ``loads/number=<n>``: a row about itself, and
+a row for every piece (table, load, month) that is current from then on.  That one-file write publishes it:
+readers take the pieces from the newest number, so a failed or repeated job changes nothing, a reader never sees
+half a batch, and a read opens one file of the log however many loads there were.
 
-One writer per ledger at a time is assumed.
+A load of a ledger rewrites only the first and the last month of its day range (to keep the stored days outside
+the range); months between are superseded without being read, and other months are not touched.  Undated rows only
+accumulate; their pieces are put together when there are many.  Months and bounds are compared as Spark writes
+them, so that a mistyped year below 1000 sorts where it belongs.
+
+One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorledger.ledgers import DAY_COLUMN, MONTH_COLUMN, SCHEMAS, UNDATED, Ledgers
+from floorledger.ledgers import CLIENT_NAMES, DAY_COLUMN, KEY_COLUMN, MONTH_COLUMN, NAMES, SCHEMAS, UNDATED, Ledgers
+from floorledger.operators.activity import client_activity
+
+LOADS = """kind STRING, table_name STRING, file_name STRING, source STRING, rows BIGINT, loaded_at TIMESTAMP,
+           load STRING, month STRING"""
+LOAD, LIVE = "load", "live"
+
+# Pieces of undated rows from which they are written as one.
+UNDATED_PIECES = 20
 
-LOADS = """number BIGINT, table_name STRING, file_name STRING, rows BIGINT, loaded_at TIMESTAMP,
-           load STRING, months ARRAY<STRING>, replaced_from STRING, replaced_to STRING"""
+# A piece: load id and month, which is null for a table without months.
+Piece = tuple[str, str | None]
+
+
+class DuplicateKeys(ValueError):
+    """A dimension that names a key twice."""
 
 
 @dataclass
@@ -38,88 +56,122 @@ class LedgerStore:
 
     # ---- reading ----------------------------------------------------------------------------------
 
-    def _loads(self, table: str | None = None) -> list[Row]:
-        """Finished loads, oldest first: a few rows of metadata per month of operation."""
+    def _newest(self) -> int:
+        """Number of the last finished load, 0 before the first.  File names are listed, no file is opened."""
         try:
-            loads = self.spark.read.schema(LOADS).parquet(f"{self.root}/loads")
+            files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/loads")
+            number = F.regexp_extract("path", "/number=([0-9]+)/[^/]*[.]parquet$", 1)
+            return files.where(number != "").agg(F.max(number.cast("long"))).first()[0] or 0
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return []
+                return 0
             raise
-        if table:
-            loads = loads.where(F.col("table_name") == table)
-        return loads.orderBy("number").collect()
-
-    def _live(self, table: str) -> list[tuple[str, str]]:
-        """(load, month) pairs that hold the current rows of a ledger."""
-        live: list[tuple[str, str]] = []
-        for load in self._loads(table):
-            if load.replaced_from:
-                live = [p for p in live if p[1] == UNDATED or not load.replaced_from <= p[1] <= load.replaced_to]
-            live += [(load.load, month) for month in load.months]
-        return live
-
-    def _read(self, table: str, live: list[tuple[str, str]]) -> DataFrame:
+
+    def _pieces(self, number: int | None = None) -> dict[str, list[Piece]]:
+        """Current pieces of every table: at most a few per month of operation."""
+        number = self._newest() if number is None else number
+        if not number:
+            return {}
+        state = self.spark.read.schema(LOADS).parquet(f"{self.root}/loads/number={number}")
+        pieces: dict[str, list[Piece]] = {}
+        for row in state.where(F.col("kind") == LIVE).orderBy("table_name", "load", "month").collect():
+            pieces.setdefault(row.table_name, []).append((row.load, row.month))
+        return pieces
+
+    def _read(self, table: str, pieces: list[Piece]) -> DataFrame:
         schema = f"{SCHEMAS[table]}, {MONTH_COLUMN} STRING"
-        if not live:
+        if not pieces:
             return self.spark.createDataFrame([], schema)
         base = f"{self.root}/{table}"
-        paths = [f"{base}/load={load}/{MONTH_COLUMN}={month}" for load, month in live]
+        paths = [f"{base}/load={load}/{MONTH_COLUMN}={month}" for load, month in pieces]
         # The load id is given as text: an all-digit one must not be taken for a number.
         stored = self.spark.read.schema(f"{schema}, load STRING").option("basePath", base).parquet(*paths)
         return stored.drop("load")
 
     def ledger(self, table: str) -> DataFrame:
         """Current rows; the month column prunes partitions when a period filter is applied."""
-        return self._read(table, self._live(table))
+        return self._read(table, self._pieces().get(table, []))
 
     def dimension(self, table: str) -> DataFrame:
-        loads = self._loads(table)
-        if not loads:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/load={loads[-1].load}")
+        pieces, schema = self._pieces().get(table), NAMES if table == CLIENT_NAMES else SCHEMAS[table]
+        if not pieces:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/load={pieces[0][0]}")
 
     def ledgers(self) -> Ledgers:
-        return Ledgers(lambda name: self.ledger(name) if name in DAY_COLUMN else self.dimension(name))
+        read = lambda name: self.ledger(name) if name in DAY_COLUMN else self.dimension(name)
+        return Ledgers(read, client_names=lambda: self.dimension(CLIENT_NAMES))
+
+    def _history(self) -> DataFrame:
+        if not self._newest():
+            return self.spark.createDataFrame([], f"{LOADS}, number BIGINT")
+        log = self.spark.read.schema(f"{LOADS}, number BIGINT").parquet(f"{self.root}/loads")
+        return log.where(F.col("kind") == LOAD)
 
     def load_log(self) -> DataFrame:
         """Load history, newest first."""
-        log = self.spark.createDataFrame(self._loads(), LOADS)
-        return log.orderBy(F.desc("loaded_at"), F.desc("number")).select(
-            "table_name", "file_name", "rows", "loaded_at"
-        )
+        log = self._history().orderBy(F.desc("loaded_at"), F.desc("number"))
+        return log.select("table_name", "file_name", "rows", "loaded_at")
+
+    def has_loaded(self, table: str, source: str) -> bool:
+        """Whether a delivery of that name has been loaded into the table."""
+        return not self._history().where((F.col("table_name") == table) & (F.col("source") == source)).isEmpty()
 
     # ---- writing ----------------------------------------------------------------------------------
 
-    def _publish(self, table: str, file_name: str, rows: int, load: str, months=(), replaced=(None, None)) -> None:
-        number = max((row.number for row in self._loads()), default=0) + 1
+    def _publish(
+        self, table: str, file_name: str, source: str | None, rows: int, load: str, new: dict[str, list[Piece]]
+    ) -> None:
+        """Make the new pieces of some tables current; those of the others stay."""
+        number = self._newest()
+        pieces = {**self._pieces(number), **new}
         loaded_at = datetime.now(timezone.utc)
-        entry = (number, table, file_name, rows, loaded_at, load, list(months), *replaced)
-        self.spark.createDataFrame([entry], LOADS).coalesce(1).write.mode("append").parquet(f"{self.root}/loads")
+        entries = [(LOAD, table, file_name, source, rows, loaded_at, load, None)]
+        entries += [(LIVE, name, None, None, None, None, *piece) for name, own in pieces.items() for piece in own]
+        frame = self.spark.createDataFrame(entries, LOADS).coalesce(1)
+        frame.write.mode("append").parquet(f"{self.root}/loads/number={number + 1}")
 
-    def replace_range(self, table: str, batch: DataFrame, file_name: str = "") -> int:
+    def replace_range(self, table: str, batch: DataFrame, file_name: str = "", source: str | None = None) -> int:
         """Replace the stored days that a cleaned batch spans by the batch; returns its row count."""
         day = DAY_COLUMN[table]
-        live = self._live(table)
+        live = self._pieces().get(table, [])
         load = uuid.uuid4().hex
         target = f"{self.root}/{table}/load={load}"
         self._write_months(batch, day, target)
 
-        # The batch is cleaned once; its bounds and months come from the written files.
-        written = self._written(table, target)
-        bounds = written.agg(F.min(day).alias("lo"), F.max(day).alias("hi"), F.count(F.lit(1)).alias("rows")).first()
-        replaced = (None, None)
-        if bounds.lo is not None:
-            replaced = (f"{bounds.lo:%Y-%m}", f"{bounds.hi:%Y-%m}")
-            edges = [pair for pair in live if pair[1] in replaced]
+        # The batch is cleaned once; its bounds and months come from the written files, as text.
+        low, high = F.min(day), F.max(day)
+        bounds = self._written(table, target).agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[text.cast("string").alias(name) for name, text in (("low", low), ("high", high))],
+            *[F.date_format(text, "yyyy-MM").alias(name) for name, text in (("first", low), ("last", high))],
+        ).first()
+        rewritten: list[Piece] = []
+        if bounds.low is not None:
+            edges = [piece for piece in live if piece[1] in (bounds.first, bounds.last)]
             if edges:
                 kept = self._read(table, edges).drop(MONTH_COLUMN)
-                outside = (F.col(day) < F.lit(bounds.lo)) | (F.col(day) > F.lit(bounds.hi))
+                outside = (F.col(day) < F.lit(bounds.low).cast("date")) | (F.col(day) > F.lit(bounds.high).cast("date"))
                 self._write_months(kept.where(outside), day, target)
+            rewritten += [piece for piece in live if piece[1] != UNDATED and bounds.first <= piece[1] <= bounds.last]
+        undated = [piece for piece in live if piece[1] == UNDATED]
+        if len(undated) >= UNDATED_PIECES:
+            self._write_months(self._read(table, undated).drop(MONTH_COLUMN), day, target)
+            rewritten += undated
         months = self._written(table, target).select(MONTH_COLUMN).distinct().collect()
-        self._publish(table, file_name, bounds.rows, load, [row[0] for row in months], replaced)
+        pieces = [piece for piece in live if piece not in rewritten] + [(load, row[0]) for row in months]
+        new = {table: pieces}
+        if table == "play":
+            new[CLIENT_NAMES] = self._write_names(pieces, load)
+        self._publish(table, file_name, source, bounds.rows, load, new)
         return bounds.rows
 
+    def _write_names(self, pieces: list[Piece], load: str) -> list[Piece]:
+        """Names and levels over all of slot play, worked out once per load instead of in every report."""
+        names = client_activity({"play": self._read("play", pieces)}, "slot_name", "player_level")
+        names.write.mode("append").parquet(f"{self.root}/{CLIENT_NAMES}/load={load}")
+        return [(load, None)]
+
     def _written(self, table: str, target: str) -> DataFrame:
         return self.spark.read.schema(f"{SCHEMAS[table]}, {MONTH_COLUMN} STRING").parquet(target)
 
@@ -129,11 +181,35 @@ class LedgerStore:
         balanced = rows.withColumn(MONTH_COLUMN, month).hint("rebalance", MONTH_COLUMN)
         balanced.write.mode("append").partitionBy(MONTH_COLUMN).parquet(target)
 
-    def refresh(self, table: str, rows: DataFrame, file_name: str = "") -> int:
-        """Replace a whole dimension."""
+    def refresh(self, table: str, rows: DataFrame, file_name: str = "", source: str | None = None) -> int:
+        """Replace a whole dimension; refused when a key occurs twice, which would double report rows."""
         load = uuid.uuid4().hex
         target = f"{self.root}/{table}/load={load}"
         rows.write.parquet(target)
-        count = self.spark.read.schema(SCHEMAS[table]).parquet(target).count()
-        self._publish(table, file_name, count, load)
+        written, key = self.spark.read.schema(SCHEMAS[table]).parquet(target), KEY_COLUMN[table]
+        twice = written.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").orderBy(key).limit(20).collect()
+        if twice:
+            raise DuplicateKeys(f"{table}: {key} occurs more than once: {', '.join(row[0] for row in twice)}")
+        count = written.count()
+        self._publish(table, file_name, source, count, load, {table: [(load, None)]})
         return count
+
+    def superseded(self) -> DataFrame:
+        """``table_name, load`` of loads that no current piece names: their folders can be deleted."""
+        current = [(table, load) for table, own in self._pieces().items() for load in {piece[0] for piece in own}]
+        named = self.spark.createDataFrame(current, "table_name STRING, load STRING")
+        known = self._history().select("table_name", "load").distinct()
+        names = known.where(F.col("table_name") == "play").select(F.lit(CLIENT_NAMES).alias("table_name"), "load")
+        return known.unionByName(names).join(named, ["table_name", "load"], "left_anti")
+
+    def clean_up(self, loads: Iterable[tuple[str, str]] | None = None) -> int:
+        """Delete the folders of superseded loads; call it while no report reads the store.  Returns their number.
+
+        Without a list, all superseded loads go: their names, one per load since the last call, come to the driver.
+        """
+        chosen = [(row.table_name, row.load) for row in self.superseded().collect()] if loads is None else list(loads)
+        gone = 0
+        for table, load in chosen:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/load={load}")
+            gone += path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return gone

@@ -146,10 +146,8 @@ COMPS_BY_PRODUCT = f"""{PRODUCT_GROUPS}
            g.amount AS monto_total, g.amount / c.amount * 100.0::DOUBLE AS pct_categoria
     FROM g JOIN c ON g.category IS NOT DISTINCT FROM c.category"""
 COMPS_NESTED = f"""{PRODUCT_GROUPS}
-    SELECT category AS descripcion_cat, CAST(0 AS BIGINT) AS parte,
-           STRING_AGG(product || ':' || n || ':' || CAST(amount AS BIGINT), '|'
-                      ORDER BY amount DESC, product) AS productos
-    FROM g GROUP BY category"""
+    SELECT category AS descripcion_cat, product AS descripcion_prod, n AS cantidad, {dbl('amount')} AS monto_total
+    FROM g"""
 WEEKDAY = """CASE isodow(d) - 1 WHEN 0 THEN 'Lunes' WHEN 1 THEN 'Martes' WHEN 2 THEN 'Miércoles'
     WHEN 3 THEN 'Jueves' WHEN 4 THEN 'Viernes' WHEN 5 THEN 'Sábado' ELSE 'Domingo' END"""
 COMPS_BY_DAY = f"""
@@ -375,13 +373,15 @@ AUDIT_LABELS = """SELECT gaming_date AS jornada, client_id AS cliente_id, name A
 # ---- feeds ----------------------------------------------------------------------------------------
 
 NUMBER = "COALESCE(TRY_CAST({0} AS DOUBLE), 0.0::DOUBLE)"
+DAY = """CASE WHEN regexp_matches({0}, '^[0-9]{{4}}-') THEN TRY_CAST({0} AS DATE)
+    ELSE CAST(try_strptime({0}, ['%m/%d/%Y', '%m-%d-%Y']) AS DATE) END"""
 ID = "REGEXP_REPLACE(TRIM({0}), '[.]0$', '')"
 CLEAN = {
-    "play": f"""SELECT TRY_CAST(_c1 AS DATE) AS gaming_date, {ID.format('_c2')} AS player_id, _c3 AS full_name,
+    "play": f"""SELECT {DAY.format('_c1')} AS gaming_date, {ID.format('_c2')} AS player_id, _c3 AS full_name,
         _c4 AS player_level, {NUMBER.format('_c5')} AS coin_in,
         CAST({NUMBER.format('_c16')} AS BIGINT) AS total_games, {NUMBER.format('_c10')} AS promo_in
-        FROM raw WHERE _c2 IS NOT NULL AND TRY_CAST(_c1 AS DATE) IS NOT NULL""",
-    "comps": f"""SELECT TRY_CAST(_c6 AS DATE) AS gaming_date, {ID.format('_c7')} AS client_id, _c10 AS client_name,
+        FROM raw WHERE _c2 IS NOT NULL AND {DAY.format('_c1')} IS NOT NULL""",
+    "comps": f"""SELECT {DAY.format('_c6')} AS gaming_date, {ID.format('_c7')} AS client_id, _c10 AS client_name,
         _c14 AS category, _c16 AS product, {NUMBER.format('_c19')} AS amount, _c22 AS status,
         REGEXP_REPLACE(_c28, '[.]0$', '') AS user_id, COALESCE(_c29, '') AS user_name
         FROM raw WHERE _c22 = 'QUEMADO' AND _c7 IS NOT NULL""",
@@ -390,7 +390,7 @@ CLEAN = {
         _c11 AS pay_type
         FROM raw WHERE _c11 IN ('Jackpot HP', 'Progressive Jackpot HP') AND _c3 IS NOT NULL
         AND try_strptime(_c0, '%d-%m-%Y %H:%M') IS NOT NULL""",
-    "points": f"""SELECT TRY_CAST(_c1 AS DATE) AS op_date, {ID.format('_c5')} AS client_id, _c6 AS client_name,
+    "points": f"""SELECT {DAY.format('_c1')} AS op_date, {ID.format('_c5')} AS client_id, _c6 AS client_name,
         {NUMBER.format('_c11')} AS points, {NUMBER.format('_c11')} * 1000 AS coin_in_points
         FROM raw WHERE _c5 IS NOT NULL""",
     "managers": f"""SELECT {ID.format('_c0')} AS user_id, COALESCE(_c1, '') AS name, COALESCE(_c2, '') AS area
@@ -422,6 +422,10 @@ def with_months(select: str) -> str:
     return f"{views_used(ALL_MONTHS)} {select}"
 
 
+REPLACE_RANGE = plain(f"""SELECT {COMP_COLUMNS} FROM comps WHERE gaming_date IS NULL OR NOT ({BATCH_RANGE})
+    UNION ALL SELECT * REPLACE (amount * 2 AS amount) FROM (SELECT {COMP_COLUMNS} FROM comps) WHERE {BATCH_RANGE}""")
+
+
 STATEMENTS: dict[str, str] = {
     **{f"clean_{feed}": clean(feed) for feed in CLEAN},
     "normalize_ids": plain("""SELECT DISTINCT 'prizes' AS feed, client_id AS raw_id, TRIM(client_id, 'x') AS clean_id
@@ -431,8 +435,8 @@ STATEMENTS: dict[str, str] = {
     "backfill_names": f"""{views_used(NAMED)} SELECT gaming_date, client_id,
         {shown_name('client_name', 'play_name')} AS client_name, category, product, amount, status, user_id, user_name
         FROM comps LEFT JOIN play_names ON player_id = client_id""",
-    "replace_range": plain(f"""SELECT {COMP_COLUMNS} FROM comps WHERE gaming_date IS NULL OR NOT ({BATCH_RANGE})
-        UNION ALL SELECT * REPLACE (amount * 2 AS amount) FROM (SELECT {COMP_COLUMNS} FROM comps) WHERE {BATCH_RANGE}"""),
+    "replace_range": REPLACE_RANGE,
+    "store_replace_range": REPLACE_RANGE,
     "batch_bounds": plain(f"""SELECT MIN(gaming_date) AS first_day, MAX(gaming_date) AS last_day
         FROM comps WHERE {BATCH_RANGE}"""),
     "table_counts": plain(" UNION ALL ".join(f"SELECT '{t}' AS tabla, COUNT(*) AS cnt FROM {t}" for t in LEDGER_DAYS)),
@@ -458,6 +462,7 @@ STATEMENTS: dict[str, str] = {
         WHERE client_id NOT IN (SELECT player_id FROM play)"""),
     "comps_by_player": comps_player(COMPS_BY_PLAYER),
     "comps_by_player_month": comps_player(COMPS_BY_PLAYER, YEAR, MONTH),
+    "store_comps_by_player_month": comps_player(COMPS_BY_PLAYER, YEAR, MONTH),
     "comps_by_category": over_comps(COMPS_BY_CATEGORY),
     "comps_by_product": over_comps(COMPS_BY_PRODUCT),
     "comps_products_nested": over_comps(COMPS_NESTED),

@@ -19,9 +19,17 @@ def test_gaming_day_cut(spark):
 
 
 def test_parse_day(spark):
-    texts = ["2024-02-01", "2024-02-01 23:10:00", "2024-2-1", "01/02/2024", "1-2-2024", "2024-02-30", "45000", "Fecha", None]
+    texts = ["2024-02-01", "2024-02-01 23:10:00", "2024-2-1", "2024-02-30", "45000", "Fecha", None]
     first = date(2024, 2, 1)
-    assert column(spark, texts, "STRING", days.parse_day) == [first] * 5 + [None] * 4
+    assert column(spark, texts, "STRING", days.parse_day) == [first] * 3 + [None] * 4
+
+
+def test_order_of_numbered_days(spark):
+    texts = ["03/04/2024", "3-4-2024", "13/04/2024", "04/13/2024"]
+    april, march = date(2024, 4, 3), date(2024, 3, 4)
+    assert column(spark, texts, "STRING", days.parse_day) == [march, march, None, date(2024, 4, 13)]
+    found = column(spark, texts, "STRING", lambda c: days.parse_day(c, day_first=True))
+    assert found == [april, april, date(2024, 4, 13), None]
 
 
 def test_id_marks(spark):

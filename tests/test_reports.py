@@ -102,16 +102,53 @@ def test_empty_ledgers(spark):
     assert prizes.prizes_by_player(Facts(books)).count() == 0
 
 
-def test_large_category_is_split_into_bounded_arrays(spark):
-    books = ledgers(spark, comps=[("1997-03-01", "1", "A", i, "u") for i in range(1, 4)])
-    wide = books.comps.crossJoin(spark.range(200).withColumnRenamed("id", "p"))
-    wide = wide.withColumn("product", F.concat(F.lit("P"), F.col("p").cast("string"))).drop("p")
-    facts = Facts(books.replaced(comps=wide))
-    rows = dicts(comps.comps_products_nested(facts, per_array=10))
-    sizes = [len(r["productos"]) for r in rows]
-    assert len(rows) > 10 and max(sizes) < 60 and sum(sizes) == 200
-    flat = {(r["descripcion_prod"], r["cantidad"], r["monto_total"]) for r in dicts(comps.comps_by_product(facts))}
-    assert {(p.descripcion_prod, p.cantidad, p.monto_total) for r in rows for p in r["productos"]} == flat
+def test_products_of_a_large_category_are_rows_dearest_first(spark):
+    books = ledgers(spark, comps=[("1997-03-01", "1", "A", 1, "5")])
+    wide = books.comps.drop("product", "amount").crossJoin(spark.range(3000).withColumnRenamed("id", "p")).select(
+        "*", F.concat(F.lit("P"), F.col("p").cast("string")).alias("product"), (F.col("p") % 700).cast("double").alias("amount")
+    )
+    rows = dicts(comps.comps_products_nested(Facts(books.replaced(comps=wide.drop("p")))))
+    assert len(rows) == 3000
+    order = [(-r["monto_total"], r["descripcion_prod"]) for r in rows]
+    assert order == sorted(order)
+
+
+def test_order_of_reports_with_ties(spark):
+    books = ledgers(
+        spark,
+        play=[("1997-03-01", str(n), f"N{n}", "GOLD", 100) for n in range(6)],
+        comps=[("1997-03-02", str(n), f"N{n}", 5, "5") for n in (3, 1, 2)],
+        prizes=[("1997-03-01", str(n), 7) for n in (5, 4, 3)],
+        managers=[("5", "M", "MDA")],
+        tiers=[("Primario", 0.1), ("GOLD", 0.2)],
+    )
+    facts = Facts(books)
+    assert [r["cliente_id"] for r in dicts(comps.comps_by_player(facts))] == ["1", "2", "3"]
+    assert [r["cliente_id"] for r in dicts(prizes.prizes_by_player(facts))] == ["3", "4", "5"]
+    assert [r["player_id"] for r in dicts(summary.summary_players(facts))] == ["1", "2", "3", "4", "5"]
+    assert [r["nombre"] for r in dicts(control.control_all(facts))] == ["N1", "N2", "N3"]
+    assert [r["cliente_id"] for r in dicts(audit.audit_zero_play(facts))] == ["1", "2", "3"]
+    assert [r["ID"] for r in dicts(section_frame(facts, "cortesias"))] == ["1", "2", "3"]
+
+
+def scans(frame, directory="orders"):
+    """Scans of a file in the plan as first laid out."""
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    return sum("FileScan" in line and f"/{directory}.parquet" in line for line in plan.splitlines())
+
+
+def test_totals_scan_each_ledger_once(spark, star):
+    # orders stands behind play and points, and once behind vouchers
+    assert scans(control.control_kpis(Facts(star))) == 3
+    assert scans(control.control_slots_kpis(Facts(star))) == 2
+
+
+def test_audit_sorts_no_raw_vouchers(spark, star):
+    """Below the first exchange over vouchers, aggregates are hashed."""
+    plan = audit._zero_play(Facts(star), audit.KEYS)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    sorts = [n for n, line in enumerate(plan) if "SortAggregate" in line]
+    vouchers = [n for n, line in enumerate(plan) if "HashAggregate(keys=[client_id" in line and "user_id" in line]
+    assert vouchers and all(n < max(vouchers) for n in sorts if "client_name" in plan[n])
 
 
 def test_categories_add_up(star):

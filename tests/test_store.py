@@ -1,15 +1,17 @@
+import gzip
+import shutil
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from floorledger.operators.facts import Facts
-from floorledger.plans import comps
+from floorledger.plans import comps, options
 from floorledger.operators.filters import period
 from floorledger.operators.replace import replace_range
-from floorledger.sinks.loading import load_feeds
+from floorledger.sinks.loading import FeedsRefused, load_feeds
 from floorledger.sinks.sections import SECTIONS, export_sections, period_name, section_frame
-from floorledger.sinks.store import LedgerStore
+from floorledger.sinks.store import DuplicateKeys, LedgerStore
 from floorledger.sources.feeds import read_feed
 from floorledger.sources.star import star_ledgers
 from floorledger.streaming.landing import load_landing
@@ -51,9 +53,9 @@ def test_replace_range_in_the_store(spark, tmp_path):
 def test_months_outside_the_range_are_not_rewritten(spark, tmp_path):
     store = LedgerStore(spark, f"{tmp_path}/s")
     store.replace_range("points", points(spark, [(f"1997-{m:02d}-05", "a") for m in range(1, 7)]))
-    before = dict((month, load) for load, month in store._live("points"))
+    before = dict((month, load) for load, month in store._pieces()["points"])
     store.replace_range("points", points(spark, [("1997-03-05", "b")]))
-    after = dict((month, load) for load, month in store._live("points"))
+    after = dict((month, load) for load, month in store._pieces()["points"])
     assert {m for m in before if before[m] != after[m]} == {"1997-03"}
 
 
@@ -130,7 +132,7 @@ def test_load_any_subset_of_feeds(spark, tmp_path):
     write(tmp_path / "tiers.csv", 1, [{0: "Primario", 1: "0.1"}, {1: "3"}], 2)
     store = LedgerStore(spark, f"{tmp_path}/s")
     files = {f: f"{tmp_path}/{f}.csv" for f in ("play", "comps", "prizes", "managers", "tiers")}
-    loaded = load_feeds(store, {**files, "points": f"{tmp_path}/points.pdf"})
+    loaded = load_feeds(store, files)
     assert loaded == {"play": 1, "comps": 2, "prizes": 2, "managers": 1, "tiers": 1}
     books = store.ledgers()
     play = books.play.first()
@@ -144,14 +146,22 @@ def test_load_any_subset_of_feeds(spark, tmp_path):
     assert (row.nombre_cliente, row.total_cortesias, row.monto_cortesias) == ("Ana", 1, 10.0)
 
 
+def points_file(path, client, day="1997-03-01", extra=()):
+    write(path, 2, [{1: day, 5: client, 11: "2"}, *extra], 12)
+
+
+def clients(store):
+    return sorted(r.client_id for r in store.ledger("points").collect())
+
+
 def test_landing_directory_loads_each_file_once(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
     store = LedgerStore(spark, f"{tmp_path}/s")
     run = lambda: load_landing(store, "points", str(landing), f"{tmp_path}/cp").awaitTermination(120)
-    write(landing / "one.csv", 2, [{1: "1997-03-01", 5: "1", 11: "2"}, {5: "9", 11: "2"}], 12)
+    points_file(landing / "one.csv", "1", extra=[{5: "9", 11: "2"}])
     run()
-    write(landing / "two.csv", 2, [{1: "1997-03-01", 5: "2", 11: "3"}], 12)
+    points_file(landing / "two.csv", "2")
     run()
     run()
     assert sorted((str(r.op_date), r.client_id) for r in store.ledger("points").collect()) == [
@@ -159,6 +169,155 @@ def test_landing_directory_loads_each_file_once(spark, tmp_path):
     assert store.load_log().count() == 2
 
 
+def test_equal_names_and_new_checkpoints_neither_lose_nor_repeat(spark, tmp_path):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    for n, place in enumerate(("a", "b"), 1):
+        (tmp_path / place).mkdir()
+        points_file(tmp_path / place / "points.csv", str(n), f"1997-0{n}-01", [{5: f"undated{n}"}])
+    for place, checkpoint in (("a", "1"), ("b", "2"), ("a", "3")):
+        load_landing(store, "points", f"{tmp_path}/{place}", f"{tmp_path}/cp{checkpoint}").awaitTermination(120)
+    assert clients(store) == ["1", "2", "undated1", "undated2"]
+
+
+def test_a_refused_file_fails_the_landing_and_is_not_forgotten(spark, tmp_path):
+    store, landing = LedgerStore(spark, f"{tmp_path}/s"), tmp_path / "in"
+    landing.mkdir()
+    points_file(landing / "points.dat", "1")
+    for _ in range(2):
+        with pytest.raises(Exception, match="points.dat"):
+            load_landing(store, "points", str(landing), f"{tmp_path}/cp").awaitTermination(120)
+    assert clients(store) == []
+
+
+def test_feeds_as_directories_compressed_and_columnar(spark, tmp_path):
+    store, parts = LedgerStore(spark, f"{tmp_path}/s"), tmp_path / "parts"
+    parts.mkdir()
+    points_file(parts / "part-0.csv", "1")
+    points_file(parts / "part-1.csv", "2")
+    assert load_feeds(store, {"points": str(parts)}) == {"points": 2}
+    packed = tmp_path / "points.csv.gz"
+    packed.write_bytes(gzip.compress((parts / "part-0.csv").read_bytes()))
+    assert load_feeds(store, {"points": str(packed)}) == {"points": 1}
+    cells = [None, "1997-03-01", *[None] * 3, "3", "line\nbreak", *[None] * 4, "NaN"]
+    spark.createDataFrame([cells], ", ".join(f"c{n} STRING" for n in range(12))).write.parquet(f"{tmp_path}/columnar")
+    assert load_feeds(store, {"points": f"{tmp_path}/columnar"}) == {"points": 1}
+    row = store.ledger("points").first()
+    assert (row.client_id, row.client_name, row.points) == ("3", "line\nbreak", 0.0)
+
+
+def test_refused_feeds_are_named_and_the_others_loaded(spark, tmp_path):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    points_file(tmp_path / "points.csv", "1")
+    write(tmp_path / "tiers.csv", 1, [{0: "GOLD", 1: "1"}], 3)  # a column too many
+    write(tmp_path / "managers.csv", 1, [{0: "17"}], 2)  # one too few
+    write(tmp_path / "play.pdf", 0, [], 1)
+    (tmp_path / "prizes.csv").write_text('a,"open\nquote"' + "," * 11 + "\n", encoding="utf-8")
+    names = {"points": "points.csv", "tiers": "tiers.csv", "managers": "managers.csv", "play": "play.pdf", "prizes": "none.csv"}
+    with pytest.raises(FeedsRefused) as refused:
+        load_feeds(store, {feed: f"{tmp_path}/{name}" for feed, name in names.items()})
+    assert refused.value.loaded == {"points": 1}
+    assert set(refused.value.refused) == {"tiers", "managers", "play", "prizes"}
+    assert all(names[feed] in why for feed, why in refused.value.refused.items())
+    assert clients(store) == ["1"] and store.load_log().count() == 1
+    with pytest.raises(ValueError, match="no such feed"):
+        load_feeds(store, {"poinst": f"{tmp_path}/points.csv"})
+
+
+def test_a_cell_over_two_lines_is_refused(spark, tmp_path):
+    (tmp_path / "tiers.csv").write_text('t,t\n"GO\nLD",1\n', encoding="utf-8")
+    with pytest.raises(Exception, match="end of the line"):
+        read_feed(spark, "tiers", f"{tmp_path}/tiers.csv").collect()
+
+
+def test_lines_of_a_feed_are_not_shuffled(spark, tmp_path):
+    points_file(tmp_path / "points.csv", "1")
+    plan = read_feed(spark, "points", f"{tmp_path}/points.csv")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # the title rows, one per file
+
+
+def test_doubled_keys_of_a_dimension_are_refused(spark, tmp_path):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    write(tmp_path / "managers.csv", 1, [{0: "17", 1: "A"}, {0: "17.0", 1: "B"}, {0: ""}, {0: ""}], 3)
+    with pytest.raises(DuplicateKeys, match="17"):
+        load_feeds(store, {"managers": f"{tmp_path}/managers.csv"})
+    assert store.dimension("managers").count() == 0
+
+
+@pytest.mark.parametrize("stored", [["2024-02-01", "2024-02-03"], ["0024-02-01", "2024-02-01", "2024-02-03"]])
+def test_a_mistyped_year_still_replaces(spark, tmp_path, stored):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    text = lambda days: spark.createDataFrame(
+        [(d, "1", "a", 1.0, 1.0) for d in days], "d STRING, client_id STRING, client_name STRING, points DOUBLE, coin_in_points DOUBLE"
+    ).select(F.col("d").cast("date").alias("op_date"), "client_id", "client_name", "points", "coin_in_points")
+    store.replace_range("points", text(stored))
+    batch = ["0024-02-01", "2024-02-01", "2024-03-03"]
+    assert store.replace_range("points", text(batch)) == 3
+    found = store.ledger("points").select(F.col("op_date").cast("string")).collect()
+    assert sorted(r[0] for r in found) == batch
+    assert period(store.ledger("points"), "op_date", "0024", "02").count() == 1
+
+
+def test_a_read_opens_one_log_file_after_many_loads(spark, tmp_path):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    store.replace_range("points", points(spark, [("1997-03-05", "a"), (None, "a")]))
+    entry = spark.read.parquet(f"{store.root}/loads/number=1")
+    for number in range(2, 201):
+        shutil.copytree(f"{store.root}/loads/number=1", f"{store.root}/loads/number={number}")
+    assert entry.count() == 3 and store._newest() == 200
+    assert len(store.spark.read.parquet(f"{store.root}/loads/number=200").inputFiles()) == 1
+    assert pairs(store.ledger("points")) == [("1997-03-05", "a"), ("None", "a")]
+    assert len(store._pieces()["points"]) == 2
+
+
+def test_undated_pieces_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("floorledger.sinks.store.UNDATED_PIECES", 3)
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    for n in range(5):
+        store.replace_range("points", points(spark, [(None, f"u{n}")]))
+    assert [name for _, name in pairs(store.ledger("points"))] == [f"u{n}" for n in range(5)]
+    assert len(store._pieces()["points"]) <= 3
+
+
+def test_superseded_loads_can_be_deleted(spark, tmp_path):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    for tag in "abc":
+        store.replace_range("points", points(spark, [("1997-03-05", tag)]))
+    assert store.superseded().count() == 2 and store.clean_up() == 2
+    assert pairs(store.ledger("points")) == [("1997-03-05", "c")] and store.load_log().count() == 3
+
+
+def test_a_month_report_on_a_store_reads_that_month_of_play(spark, tmp_path):
+    books = ledgers(
+        spark,
+        play=[(f"1997-{m:02d}-05", "1", f"N{m}", f"L{m}", 10) for m in range(1, 13)],
+        comps=[("1997-03-05", "1", " ", 5, "5")],
+        points=[("1997-03-05", "1", "N", 1)],
+    )
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    for name in ("play", "comps", "points"):
+        store.replace_range(name, books[name])
+    report = comps.comps_by_player(Facts(store.ledgers(), "1997", "03"))
+    assert [(r.nombre_cliente, r.player_level, r.total_coin_in) for r in report.collect()] == [("N9", "L3", 1010.0)]
+    plan = report._jdf.queryExecution().sparkPlan().toString().splitlines()
+    play = [line for line in plan if "FileScan" in line and "player_id" in line]
+    assert play and all("ledger_month" in line and "= 1997-03" in line for line in play)
+    months = options.filter_months(store.ledgers())
+    assert [r.mes for r in months.collect()] == [f"{m:02d}" for m in range(1, 13)]
+    scans = [line for line in months._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in line]
+    assert all("ReadSchema: struct<>" in line for line in scans)
+
+
+def test_sections_from_an_iterator_and_no_stale_rows(spark, tmp_path):
+    facts = Facts(star_ledgers(spark, "/root/testdata/sf0.001"), "1997", "03")
+    assert export_sections(facts, iter(["premios", "cortesias"]), str(tmp_path)) == ["cortesias", "premios"]
+    empty = Facts(facts.ledgers.replaced(comps=facts.ledgers.comps.limit(0)), "1997", "03")
+    assert export_sections(empty, ["cortesias"], str(tmp_path)) == []
+    assert spark.read.parquet(f"{tmp_path}/period=1997-Marzo/section=cortesias").count() == 0
+    with pytest.raises(ValueError, match="cortesia"):
+        export_sections(facts, ["cortesia"], str(tmp_path))
+
+
 def test_export(spark, tmp_path):
     facts = Facts(star_ledgers(spark, "/root/testdata/sf0.001"), "1997", "03")
     written = export_sections(facts, list(SECTIONS), str(tmp_path))
