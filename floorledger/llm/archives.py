@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from floorledger.llm.scratch import shared_folder, stored
+from floorledger.llm.scratch import stored
+from floorledger.session import scratch_folder
 
 # The skippable frame of a dictionary, the other skippable frames, a raw dictionary, a Zstandard frame.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -329,4 +330,4 @@ def read_archives(manifest: DataFrame, payloads: bool = True, strict: bool = Tru
 
 def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes ``pages`` to archives in ``folder`` (default: a new shared one) and reads them back, without payloads."""
-    return read_archives(write_archives(pages, folder or f"{shared_folder(spark)}/archives"), payloads=False)
+    return read_archives(write_archives(pages, folder or f"{scratch_folder(spark)}/archives"), payloads=False)

@@ -117,12 +117,12 @@ def learn_languages(training: DataFrame, least_share: float = LEAST_SHARE) -> La
     languages = sorted(sizes)
     # Two slots are counted per trigram, so a slot's hits are at least those of each of its trigrams.
     held = counts.where("slot >= 0").join(totals, "lang").where(F.col("hits") >= least_share * F.col("all"))
-    chosen = held.select("lang", "slot").toPandas()
+    chosen = held.select("lang", "slot").toArrow()
     number = {lang: at for at, lang in enumerate(languages)}
     words = max(1, -(-len(languages) // 64))
     masks = np.zeros((1 << SLOT_BITS, words), dtype=np.uint64)
-    at = chosen["lang"].map(number).to_numpy(dtype=np.int64)
-    slots = chosen["slot"].to_numpy(dtype=np.int64)
+    at = np.array([number[lang] for lang in chosen.column("lang").to_pylist()], dtype=np.int64)
+    slots = chosen.column("slot").to_numpy().astype(np.int64)
     np.bitwise_or.at(masks, (slots, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
     full = np.bincount(at, minlength=len(languages)) / (1 << SLOT_BITS)
     default = max(languages, key=lambda lang: (sizes[lang], lang), default=UNKNOWN)

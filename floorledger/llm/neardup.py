@@ -33,7 +33,7 @@ BANDS, BAND_BINS = 32, 4
 # Equal bins, of all, below which a pair is not fetched for confirmation: 6.5 standard deviations below the threshold.
 LEAST_EQUAL_BINS = 64
 # Size of the table that ranks shingles by how often they occur.
-COUNT_SLOTS = 2**20
+COUNT_SLOTS = 2**18
 
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -193,9 +193,9 @@ def _often(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
 
-    found = sets.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = sets.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     often = np.zeros(COUNT_SLOTS, dtype=np.int64)
-    often[found["slot"].to_numpy(dtype=np.int64)] = found["n"]
+    often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
     return often
 
 

@@ -174,8 +174,8 @@ def _sample(rows: DataFrame, fit_rows: int, salt: int) -> np.ndarray:
     if n > fit_rows:
         slots = 2**31
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(slots)) < int(slots * fit_rows / n))
-    found = rows.select("features").toPandas()["features"]
-    return np.array(found.to_list(), dtype=np.float64).reshape(-1, len(FEATURES))
+    found = rows.select("features").toArrow().column("features").combine_chunks()
+    return found.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
 
 def learn_quality(table: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel | None:

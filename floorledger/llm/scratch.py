@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from floorledger.session import scratch_folder
+
 # Rows of whole texts in one Arrow batch: what a Python worker holds at a time.
 TEXTS_PER_BATCH = 256
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``.
-
-    Only where the session names none, as in tests on one machine, a local temporary folder is set.
-    """
-    context = spark.sparkContext
-    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="floorledger-")
-        context.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def batches(spark: SparkSession, rows: int = TEXTS_PER_BATCH) -> Iterator[None]:
     before = spark.conf.get(_BATCH)
@@ -41,7 +28,7 @@ def batches(spark: SparkSession, rows: int = TEXTS_PER_BATCH) -> Iterator[None]:
 def stored(frame: DataFrame, rows_per_batch: int = TEXTS_PER_BATCH) -> DataFrame:
     """The frame written once as Parquet in the shared folder and read again: its lineage ends there."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/table"
+    path = f"{scratch_folder(spark)}/table"
     with batches(spark, rows_per_batch):
         frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
