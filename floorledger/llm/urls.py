@@ -94,8 +94,9 @@ def _generalised(paths: DataFrame, level: int, settings: TreeSettings) -> DataFr
     varying = nodes.where(
         (F.col("kinds") >= settings.least_kinds) & (F.col("kinds") >= settings.kinds_per_path * F.col("all"))
     )
+    # Written first: it is small, and beside a plain shuffle Spark can split the children of a hot node.
     stars = (
-        children.join(varying, node)
+        children.join(stored(varying), node)
         .where(F.col("own") < F.greatest(F.lit(2.0), settings.own_share * F.col("all")))
         .select(*node, "segment", F.lit(True).alias("star"))
     )
