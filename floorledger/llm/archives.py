@@ -324,8 +324,9 @@ def read_archives(manifest: DataFrame, payloads: bool = True, strict: bool = Tru
                             rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    spread = manifest.select("archive").distinct().repartition("archive")
-    return spread.mapInArrow(read, RECORDS)
+    # A task per archive: by the size of their names alone Spark would put them into one.
+    names = manifest.select("archive").distinct()
+    return names.repartition(max(1, names.count()), "archive").mapInArrow(read, RECORDS)
 
 
 def archived(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
