@@ -10,6 +10,7 @@ order of their start, so each part meets the nearest one on either side and no p
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,10 @@ REACH = 200
 
 @dataclass(frozen=True)
 class Kind:
-    """A match counts when its group has at least ``least`` characters.  Roles: identifier, secret, endpoint."""
+    """A match counts when its group has at least ``least`` characters and the match finds all of ``also``.
+
+    Roles: identifier, secret, endpoint.
+    """
 
     name: str
     pattern: str
@@ -29,6 +33,7 @@ class Kind:
     least: int
     role: str
     strong: bool
+    also: tuple[str, ...] = ()
 
 
 # The strong patterns.
@@ -43,8 +48,8 @@ KINDS = (
     Kind("hex", HEX + "{%d,}" % LEAST_HEX, 0, LEAST_HEX, "secret", True),
     Kind("ident", r"""((?i:user|username|login|account|client_id|access_key_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
          2, 3, "identifier", False),
-    Kind("blob", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/]{0,63}[0-9])(?=[a-z0-9+/]{0,63}[A-Z])(?=[A-Z0-9+/]{0,63}[a-z])"
-         r"[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/=_-])", 0, 32, "secret", False),
+    Kind("blob", r"[A-Za-z0-9+/=_-]{32,}", 0, 32, "secret", False,
+         (r"^[A-Za-z0-9+/]{32,64}={0,2}$", "[0-9]", "[A-Z]", "[a-z]")),
     Kind("endpoint", r"""https?://[^\x00-\x20"'<>]+""", 0, 12, "endpoint", False),
 )
 STRONG = tuple(kind.name for kind in KINDS if kind.strong)
@@ -65,13 +70,19 @@ def _matches(text: Column, number: int, kind: Kind) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pattern, F.lit(kind.group)).alias("value"),
     )
+
+    def counting(step: Column) -> Column:
+        """Length of the group, 0 where the match does not count."""
+        fits = reduce(lambda a, b: a & b, [step["match"].rlike(extra) for extra in kind.also], F.lit(True))
+        return F.when(fits, F.length(step["value"])).otherwise(0) if kind.also else F.length(step["value"])
+
     lengths = F.transform(
         F.filter(steps, lambda step: step["match"].isNotNull()),
         lambda step: F.struct(
             F.lit(number).alias("kind"),
             F.length(step["gap"]).alias("gap"),
             F.length(step["match"]).alias("size"),
-            F.length(step["value"]).alias("value"),
+            counting(step).alias("value"),
         ),
     )
     return F.when(text.rlike(kind.pattern), lengths)

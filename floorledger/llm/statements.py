@@ -1,3 +1,297 @@
-"""Expected results of the numbered queries that SQL can express, as DuckDB statements."""
+"""Expected results of the numbered queries that SQL can express, as DuckDB statements.
 
-LLM_STATEMENTS: dict[str, str] = {}
+Packing, language and quality have none: they search, or learn from data.
+"""
+
+from __future__ import annotations
+
+from floorledger.llm import secrets
+from floorledger.llm.licenses import TEMPLATES
+from floorledger.llm.urls import RULES, SETTINGS
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def lowered(text: str) -> str:
+    return f"translate({text}, '{UPPER}', '{LOWER}')"
+
+
+def words(text: str) -> str:
+    return f"regexp_extract_all({lowered(f'COALESCE({text}, {chr(39) * 2})')}, '{WORD}')"
+
+
+def text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def texts(values) -> str:
+    return "[" + ", ".join(map(text, values)) + "]"
+
+
+# ---- licenses -----------------------------------------------------------------------------------------------------
+
+_STRIDE = max(len(template.words) for template in TEMPLATES)
+_TEMPLATES = ", ".join(
+    f"({text(t.label)}, {str(t.base).upper()}, {t.needed}, {texts(t.words)}, {texts(sorted(t.tokens))})" for t in TEMPLATES
+)
+LICENSES = f"""
+WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+t(label, base, needed, phrase, tokens) AS (VALUES {_TEMPLATES}),
+b AS (
+    SELECT doc_id, unnest(range(0, len(w), {_STRIDE})) AS pos,
+           unnest(list_transform(range(0, len(w), {_STRIDE}), lambda i: w[i + 1:i + {2 * _STRIDE}])) AS block FROM d),
+met AS (
+    SELECT doc_id, pos, label, base, phrase, block, len(list_intersect(tokens, block)) / CAST(len(tokens) AS DOUBLE) AS share
+    FROM b JOIN t ON len(list_intersect(tokens, block)) >= needed),
+placed AS (
+    SELECT *, CASE WHEN base THEN list_transform(list_filter(range(0, least({_STRIDE}, len(block))),
+        lambda i: block[i + 1:i + len(phrase)] = phrase), lambda i: pos + i) END AS places FROM met),
+hits AS (SELECT * FROM placed WHERE NOT base OR len(places) > 0),
+found AS (
+    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels, MAX(share) AS score,
+           flatten(list(places) FILTER (base)) AS places
+    FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(len(places), 0) AS BIGINT) AS n_base,
+       CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
+       COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels, COALESCE(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN found USING (doc_id)"""
+
+
+# ---- URLs ---------------------------------------------------------------------------------------------------------
+
+_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+
+
+def _rule(column: str) -> str:
+    cases = " ".join(
+        f"WHEN (host = {text(r.host)} OR ends_with(host, {text('.' + r.host)})) AND starts_with(path, {text(r.path)}) "
+        f"THEN {text(r.name if column == 'rule' else r.verdict)}"
+        for r in sorted(RULES, key=lambda r: -len(r.name))
+    )
+    return f"CASE {cases} END"
+
+
+def _tree() -> str:
+    s, parts = SETTINGS, []
+    parts.append(f"""tree0 AS (
+        SELECT host, path, paths, labelled, bad, '' AS template, CASE WHEN len(named) <= {s.levels} THEN named
+            ELSE list_append(named[1:{s.levels - 1}], array_to_string(named[{s.levels}:], '\\')) END AS segments
+        FROM (SELECT *, list_filter(string_split(replace(path, '*', '%2A'), '/'), lambda x: x <> '') AS named FROM paths))""")
+    for n in range(s.levels):
+        parts.append(f"""child{n} AS (
+            SELECT host, template, segments[{n + 1}] AS segment, SUM(paths) AS own FROM tree{n}
+            WHERE segments[{n + 1}] IS NOT NULL GROUP BY ALL)""")
+        parts.append(f"""node{n} AS (
+            SELECT host, template, SUM(own) AS whole, COUNT(*) AS kinds FROM child{n} GROUP BY ALL
+            HAVING COUNT(*) >= {s.least_kinds} AND COUNT(*) >= {s.kinds_per_path}::DOUBLE * SUM(own))""")
+        parts.append(f"""star{n} AS (
+            SELECT host, template, segment, TRUE AS star FROM child{n} JOIN node{n} USING (host, template)
+            WHERE own < greatest(2.0::DOUBLE, {s.own_share}::DOUBLE * whole))""")
+        parts.append(rf"""tree{n + 1} AS (
+            SELECT t.host, path, segments, paths, labelled, bad,
+                CASE WHEN segments[{n + 1}] IS NULL THEN t.template
+                     WHEN star THEN t.template || '/*' || regexp_extract(segments[{n + 1}], '(\.[A-Za-z][A-Za-z0-9]{{0,4}})$', 1)
+                     ELSE t.template || '/' || segments[{n + 1}] END AS template
+            FROM tree{n} t LEFT JOIN star{n} s
+                ON s.host = t.host AND s.template = t.template AND s.segment = segments[{n + 1}])""")
+    parts.append(f"""merge{s.levels} AS (
+        SELECT host, template, SUM(labelled) AS labelled, SUM(bad) AS bad, template AS merged
+        FROM tree{s.levels} GROUP BY host, template)""")
+    for n in reversed(range(s.levels)):
+        parts.append(f"""branch{n} AS (
+            SELECT host, merged, SUM(labelled) AS labelled, SUM(bad) AS bad,
+                CASE WHEN len(string_split(substr(merged, 2), '/')) > {n} THEN '/' || array_to_string(list_transform(
+                    string_split(substr(merged, 2), '/'),
+                    lambda p, i: CASE WHEN i = {n + 1} AND NOT starts_with(p, '*') THEN '*' ELSE p END), '/')
+                ELSE merged END AS grp
+            FROM merge{n + 1} GROUP BY host, merged)""")
+        parts.append(f"""grp{n} AS (
+            SELECT host, grp, SUM(labelled) AS all_labelled, SUM(bad) AS all_bad FROM branch{n} GROUP BY ALL
+            HAVING COUNT(*) > 1)""")
+        parts.append(f"""alike{n} AS (
+            SELECT host, merged, grp FROM (
+                SELECT *, CASE WHEN labelled > 0 AND all_labelled - labelled > 0 THEN
+                    abs(CAST(bad AS DOUBLE) / labelled - CAST(all_bad - bad AS DOUBLE) / (all_labelled - labelled))
+                    > {s.merge_errors}::DOUBLE * sqrt((CAST(all_bad AS DOUBLE) / all_labelled)
+                        * (1 - CAST(all_bad AS DOUBLE) / all_labelled)
+                        * (1.0::DOUBLE / labelled + 1.0::DOUBLE / (all_labelled - labelled))) END AS apart
+                FROM branch{n} JOIN grp{n} USING (host, grp)) WHERE NOT COALESCE(apart, FALSE))""")
+        parts.append(f"""named{n} AS (
+            SELECT * FROM alike{n} WHERE (host, grp) IN (SELECT (host, grp) FROM alike{n} GROUP BY host, grp HAVING COUNT(*) > 1))""")
+        parts.append(f"""merge{n} AS (
+            SELECT m.host, template, labelled, bad, COALESCE(grp, m.merged) AS merged
+            FROM merge{n + 1} m LEFT JOIN named{n} x ON x.host = m.host AND x.merged = m.merged)""")
+    k = f"{s.smoothing}::DOUBLE"
+    parts.append(f"""whole AS (SELECT CASE WHEN SUM(labelled) > 0 THEN CAST(SUM(bad) AS DOUBLE) / SUM(labelled) ELSE 0.0 END AS rate
+        FROM merge0)""")
+    parts.append(f"""host_rate AS (
+        SELECT host, (SUM(bad) + {k} * any_value(rate)) / (SUM(labelled) + {k}) AS host_rate FROM merge0, whole GROUP BY host)""")
+    parts.append(f"""judged AS (
+        SELECT host, merged, (SUM(bad) + {k} * any_value(host_rate)) / (SUM(labelled) + {k}) AS purity
+        FROM merge0 JOIN host_rate USING (host) GROUP BY host, merged)""")
+    return ", ".join(parts)
+
+
+URLS = rf"""
+WITH parsed AS (
+    SELECT page_id, {lowered(f"COALESCE(regexp_extract(url, '{_URL}', 1), '')")} AS host,
+           COALESCE(regexp_extract(url, '{_URL}', 2), '') AS path FROM pages),
+marks AS (
+    SELECT p.page_id, quality = 0 OR toxic = 1 AS bad FROM parsed p
+    JOIN labels l ON l.doc_id = TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1) AS BIGINT)),
+marked AS (SELECT page_id, COUNT(*) AS labelled, SUM(CAST(bad AS BIGINT)) AS bad FROM marks WHERE bad IS NOT NULL GROUP BY page_id),
+paths AS (
+    SELECT host, path, COUNT(*) AS paths, COALESCE(SUM(labelled), 0) AS labelled, COALESCE(SUM(bad), 0) AS bad
+    FROM parsed LEFT JOIN marked USING (page_id) GROUP BY host, path),
+{_tree()}
+SELECT page_id, p.host, p.path, {_rule('rule').replace('host', 'p.host').replace('path,', 'p.path,')} AS rule,
+       COALESCE({_rule('verdict').replace('host', 'p.host').replace('path,', 'p.path,')},
+                CASE WHEN purity >= {SETTINGS.reject}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, m.merged AS template
+FROM parsed p JOIN tree{SETTINGS.levels} t ON t.host = p.host AND t.path = p.path
+JOIN merge0 m ON m.host = t.host AND m.template = t.template
+JOIN judged j ON j.host = m.host AND j.merged = m.merged"""
+
+
+# ---- archives -----------------------------------------------------------------------------------------------------
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_LETTERS = " || ".join(f"substr('{_BASE32}', ((v >> {shift}) & 31) + 1, 1)" for shift in (15, 10, 5, 0))
+_FIVE_HEX = "list_reduce(list_transform(range(1, 6), lambda j: instr('0123456789abcdef', substr(sha, 5 * i + j, 1)) - 1), lambda a, b: 16 * a + b)"
+ARCHIVES = f"""
+WITH p AS (SELECT page_id, COALESCE(html, '') AS payload FROM pages),
+s AS (SELECT page_id, octet_length(encode(payload)) AS bytes, sha1(encode(payload)) AS sha,
+             MIN(page_id) OVER (PARTITION BY payload) AS original FROM p)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(list_transform(range(0, 8), lambda i: {_FIVE_HEX}), lambda v: {_LETTERS}), '') AS payload_digest,
+       CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM s"""
+
+
+# ---- search -------------------------------------------------------------------------------------------------------
+
+TOP_K = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+
+# ---- decontamination ----------------------------------------------------------------------------------------------
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+    SELECT DISTINCT item, least(len(w), 10) AS n,
+        unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS terms
+    FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+    SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS pos,
+        unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS terms
+    FROM d, sizes WHERE len(w) >= n),
+met AS (SELECT doc_id, pos, n, item FROM places JOIN windows USING (n, terms)),
+hit AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM met) GROUP BY doc_id),
+named AS (
+    SELECT doc_id, COUNT(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM met GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(listed, '')) AS items_sha256,
+       COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+# ---- secrets ------------------------------------------------------------------------------------------------------
+
+
+def _kind(number: int, kind: secrets.Kind) -> str:
+    pattern = text(kind.pattern)
+    extra = "".join(f" AND regexp_matches(matches[i], {text(also)})" for also in kind.also)
+    return f"""SELECT doc_id, {number} AS kind, i,
+            len(array_to_string(gaps[1:i], '')) + len(array_to_string(matches[1:i - 1], '')) AS start, len(matches[i]) AS size
+        FROM (SELECT *, unnest(range(1, len(matches) + 1)) AS i FROM (
+            SELECT doc_id, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}, 0) AS matches,
+                   regexp_extract_all(t, {pattern}, {kind.group}) AS vals FROM d WHERE regexp_matches(t, {pattern})))
+        WHERE len(vals[i]) >= {kind.least}{extra}"""
+
+
+def _numbers(test) -> str:
+    return ", ".join(str(n) for n, kind in enumerate(secrets.KINDS) if test(kind))
+
+
+def _sides(name: str, test) -> str:
+    inside = f"kind IN ({_numbers(test)})"
+    return f"""MAX(CASE WHEN {inside} THEN finish END) OVER before AS {name}_before,
+        MIN(CASE WHEN {inside} THEN start END) OVER after AS {name}_after"""
+
+
+def _beside(name: str, most: int) -> str:
+    return f"(COALESCE(start - {name}_before <= {most}, FALSE) OR COALESCE({name}_after - finish <= {most}, FALSE))"
+
+
+_NAMES = texts(kind.name for kind in secrets.KINDS)
+_STRONG = _numbers(lambda kind: kind.strong)
+_REACH = secrets.REACH
+_LISTED = f"string_agg({_NAMES}[kind + 1] || ':' || start || ':' || finish, ',' ORDER BY start, kind, finish)"
+SECRETS = f"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+parts AS (SELECT doc_id, kind, start, start + size AS finish FROM (
+    {' UNION ALL '.join(_kind(n, kind) for n, kind in enumerate(secrets.KINDS))})),
+swept AS (
+    SELECT *, {_sides('identifier', lambda kind: kind.role == 'identifier')},
+        {_sides('secret', lambda kind: kind.role == 'secret')}, {_sides('strong', lambda kind: kind.strong)}
+    FROM parts WINDOW
+        before AS (PARTITION BY doc_id ORDER BY start, kind, finish ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+        after AS (PARTITION BY doc_id ORDER BY start, kind, finish ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+judged AS (
+    SELECT *, kind IN ({_STRONG}) OR (NOT {_beside('strong', -1)} AND CASE
+        WHEN kind IN ({_numbers(lambda kind: kind.role == 'identifier')}) THEN {_beside('secret', _REACH)}
+        WHEN kind IN ({_numbers(lambda kind: kind.role == 'secret')}) THEN {_beside('identifier', _REACH)}
+        ELSE {_beside('secret', _REACH)} AND {_beside('identifier', _REACH)} END) AS reported
+    FROM swept),
+listed AS (
+    SELECT doc_id, {_LISTED} FILTER (kind IN ({_STRONG})) AS base, {_LISTED} FILTER (reported) AS spans,
+        {', '.join(f'COUNT(*) FILTER (kind = {n}) AS n_{kind.name}' for n, kind in enumerate(secrets.KINDS) if kind.strong)}
+    FROM judged GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'COALESCE(n_{name}, 0) AS n_{name}' for name in secrets.STRONG)},
+       sha256(COALESCE(base, '')) AS base_sha256, COALESCE(spans, '') AS spans
+FROM d LEFT JOIN listed USING (doc_id)"""
+
+
+# ---- near-duplicates ----------------------------------------------------------------------------------------------
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all({lowered("COALESCE(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+        lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles FROM d),
+classes AS (SELECT list_sort(shingles) AS shingles, MIN(doc_id) AS node FROM sets WHERE len(shingles) > 0 GROUP BY 1),
+postings AS (SELECT node, len(shingles) AS n, unnest(shingles) AS shingle FROM classes),
+links AS (
+    SELECT a.node AS one, b.node AS two FROM postings a JOIN postings b ON a.shingle = b.shingle AND a.node <> b.node
+    GROUP BY a.node, b.node, a.n, b.n HAVING 100 * COUNT(*) >= 75 * (a.n + b.n - COUNT(*))),
+reach(node, other) AS (
+    SELECT node, node FROM classes UNION SELECT reach.node, links.two FROM reach JOIN links ON links.one = reach.other),
+components AS (SELECT node, MIN(other) AS component FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, COALESCE(component, s.doc_id) AS component_id,
+       COALESCE(component, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN classes c ON c.shingles = list_sort(s.shingles) LEFT JOIN components USING (node)"""
+
+
+LLM_STATEMENTS: dict[str, str] = {
+    "op1_license_scans": LICENSES,
+    "op3_url_filters": URLS,
+    "op4_warc_archives": ARCHIVES,
+    "op5_exact_top_k": TOP_K,
+    "op6_benchmark_decontamination": DECONTAMINATION,
+    "op7_secret_scans": SECRETS,
+    "op8_minhash_near_dedup": NEAR_DUPLICATES,
+}
