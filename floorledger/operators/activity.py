@@ -3,10 +3,10 @@
 Slot play, table points and prizes are stacked into one narrow frame and aggregated together, so a
 client that appears in only one of them needs no outer or anti join: a count of 0 says so.
 
-Measures and names take separate ways.  Measures are sums of longs and bit sets: fixed-width buffers, so
-they stay in generated hash aggregates that combine on the map side, which also absorbs a hot client.
-Names and levels are MAX over text, which Spark can only do by sorting; the distinct (client, text) rows
-are found first, by hashing, and only those few are sorted.
+Every ledger is read once.  Measures are sums of longs and bit sets: fixed-width buffers, so the first
+aggregate stays in generated hashing that combines on the map side, which also absorbs a hot client.
+Names and levels are MAX over text, which Spark can only do by sorting; they are keys of the first
+aggregate, and only the few rows that it leaves are sorted.
 """
 
 from __future__ import annotations
@@ -56,30 +56,8 @@ def client_activity(ledgers: Ledgers | Mapping[str, DataFrame], *want: str) -> D
     Counts (``*_rows``, ``*_days``) are 0 rather than null.  Only columns that ``want`` needs are read.
     """
     needed = set(want) | {day for name in want for day in DAYS.get(name, ())}
-    texts = [name for name in TEXTS if name in needed]
-    measures = [name for name in want if name not in TEXTS]
-    if not texts:
-        return _measured(ledgers, want, needed)
-    # Without the shuffle between them the optimizer would drop the distinct and sort the raw rows.
-    rows = _stacked(ledgers, set(texts)).distinct().repartition("client_id")
-    named = rows.groupBy("client_id").agg(*[F.max(name).alias(name) for name in texts])
-    if not measures:
-        return named.select("client_id", *want)
-    return _measured(ledgers, measures, needed - set(texts)).join(named, "client_id", "left").select("client_id", *want)
-
-
-def _stacked(ledgers: Ledgers | Mapping[str, DataFrame], needed: set[str]) -> DataFrame:
-    """The needed columns of every ledger that has any of them, under one another."""
-    parts = []
-    for ledger, (client, columns) in _sources().items():
-        picked = [column.alias(name) for name, column in columns.items() if name in needed]
-        if picked:
-            parts.append(ledgers[ledger].select(F.col(client).alias("client_id"), *picked))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-
-def _measured(ledgers: Ledgers | Mapping[str, DataFrame], want: list[str] | tuple[str, ...], needed: set[str]) -> DataFrame:
     rows = _stacked(ledgers, needed)
+    texts = [name for name in TEXTS if name in needed]
     counts = [name for name in COUNTS if name in needed]
     money = [name for name in MONEY if name in needed]
     days = sorted(day for day in rows.columns if day.endswith("_day"))
@@ -90,21 +68,40 @@ def _measured(ledgers: Ledgers | Mapping[str, DataFrame], want: list[str] | tupl
         *[F.sum(whole_part(F.col(name))).alias(f"{name}_whole") for name in money],
         *[F.sum(millionths(F.col(name))).alias(f"{name}_millionths") for name in money],
     ]
-    if not days:
-        grouped = rows.groupBy("client_id").agg(*sums)
-    else:
-        monthly = rows.groupBy(
-            "client_id", month_number(F.coalesce(*[F.col(day) for day in days])).alias("month_no")
-        ).agg(*sums, *[day_bits(F.col(day)).alias(day) for day in days])
+    again = [*[F.sum(name).alias(name) for name in longs], *[F.max(name).alias(name) for name in texts]]
+    keys, month = ["client_id"], []
+    if days:
+        rows = rows.withColumn("month_no", month_number(F.coalesce(*[F.col(day) for day in days])))
+        month = ["month_no"]
+    first = [*sums, *[day_bits(F.col(day)).alias(day) for day in days]]
+    grouped = rows.groupBy(*keys, *month, *texts).agg(*first) if first else rows.distinct()
+    if texts:
+        # From here on all of a client is in one place, and no further shuffle is needed.
+        grouped = grouped.repartition("client_id")
+    if days:
+        if texts:
+            grouped = grouped.groupBy(*keys, *month).agg(*again, *[F.bit_or(day).alias(day) for day in days])
         distinct_days = [
             F.sum(bits_set(reduce(lambda a, b: a.bitwiseOR(b), [_bits(day) for day in DAYS[name]]))).alias(name)
             for name in DAYS
             if name in want
         ]
-        grouped = monthly.groupBy("client_id").agg(*[F.sum(name).alias(name) for name in longs], *distinct_days)
+        grouped = grouped.groupBy("client_id").agg(*again, *distinct_days)
+    elif texts:
+        grouped = grouped.groupBy("client_id").agg(*again)
     return grouped.select("client_id", *[_result(name).alias(name) for name in want])
 
 
+def _stacked(ledgers: Ledgers | Mapping[str, DataFrame], needed: set[str]) -> DataFrame:
+    """The needed columns of every ledger that has any of them, under one another."""
+    parts = []
+    for ledger, (client, columns) in _sources().items():
+        picked = [column.alias(name) for name, column in columns.items() if name in needed]
+        if picked:
+            parts.append(ledgers[ledger].select(F.col(client).alias("client_id"), *picked))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _result(name: str) -> Column:
     if name in MONEY:
         return joined(F.col(f"{name}_whole"), F.col(f"{name}_millionths"))

@@ -190,3 +190,10 @@ def test_no_report_needs_a_single_task_window(spark, star):
     facts = Facts(star)
     for report in (comps.comps_by_category, comps.comps_by_product, prizes.prizes_by_type, control.control_chart):
         assert "Window" not in report(facts)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clients_are_read_once(spark, star):
+    want = ("slot_rows", "slot_name", "player_level", "coin_in", "any_days", "table_name", "table_coin", "prize_amount")
+    frame = Facts(star).clients(*want)
+    assert scans(frame) == 3  # play, points, and below prizes
+    assert scans(frame, "lineitem") == 1
