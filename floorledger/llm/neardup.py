@@ -142,7 +142,7 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     chosen = texts.join(stored(wanted.select("node").distinct()), "node", "left_semi")
     found = chosen.mapInArrow(rows, "node long, set_key string, hashes binary")
-    return found.join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node"]).select("node", "hashes")
+    return found.join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]).select("node", "hashes")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
