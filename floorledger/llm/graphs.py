@@ -28,22 +28,23 @@ def _star(links: DataFrame, larger: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node is either a centre or linked to a single one."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("member")).unionByName(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("member"))
+    )
+    roles = ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("member").alias("member"))
+    return roles.where(F.col("centre") + F.col("member") > 1).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node on a link; the component is its smallest node.
 
-    ``links`` has the columns a and b.  Each round is written to the shared folder; it ends when a round changes
-    nothing, after about log(nodes) rounds.
+    ``links`` has the columns a and b.  Each round is written to the shared folder; it ends when all links are stars
+    around the smallest node, after about log(nodes) rounds.
     """
     now = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    mark = _mark(now)
-    while True:
+    while not _all_stars(now):
         now = stored(_star(_star(now, larger=True), larger=False))
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
     found = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorledger.llm.graphs import components
@@ -32,8 +32,6 @@ SIMILARITY_PERCENT = 75
 BANDS, BAND_BINS = 32, 4
 # Equal bins, of all, below which a pair is not fetched for confirmation: 6.5 standard deviations below the threshold.
 LEAST_EQUAL_BINS = 64
-# Size of the table that ranks shingles by how often they occur.
-COUNT_SLOTS = 2**18
 
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -127,9 +125,9 @@ def classes(documents: DataFrame, bands: int = BANDS, band_bins: int = BAND_BINS
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, hashes`` of the wanted nodes (node, set_key): the shingle set, taken from the text again.
+    """``node, set_key, hashes`` of all texts of the wanted nodes: their shingle sets, taken from the text again.
 
-    The ids alone are joined to the texts, so that a list short enough for Spark to broadcast saves their shuffle.
+    The list of nodes is written first, so that one short enough for Spark to broadcast saves the shuffle of the texts.
     """
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +140,11 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
     chosen = texts.join(stored(wanted.select("node").distinct()), "node", "left_semi")
     found = chosen.mapInArrow(rows, "node long, set_key string, hashes binary")
-    return found.join(wanted, ["node", "set_key"], "left_semi").dropDuplicates(["node", "set_key"]).select("node", "hashes")
+    return stored(found.dropDuplicates(["node", "set_key"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    """The pairs (a, key_a, b, key_b) whose full sets are similar enough."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -157,10 +155,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(one) + len(two) - shared))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return both.mapInArrow(rows, "a long, b long")
+    left, right = (
+        sets.select(F.col("node").alias(side), F.col("set_key").alias(f"key_{side}"), F.col("hashes").alias(f"hashes_{side}"))
+        for side in "ab"
+    )
+    both = pairs.join(right, ["b", "key_b"]).join(left, ["a", "key_a"]).select("a", "b", "hashes_a", "hashes_b")
+    return both.mapInArrow(rows, "a long, b long").distinct()
 
 
 def _equal_bins(left: str, right: str) -> F.Column:
@@ -172,74 +172,65 @@ def _equal_bins(left: str, right: str) -> F.Column:
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, least_equal_bins: int) -> DataFrame:
-    """The pairs that sizes allow and signatures do not rule out."""
+    """The pairs that sizes allow and signatures do not rule out, with the names of their sets."""
     one, two = (
-        nodes.select(F.col("node").alias(side), F.col("bins").alias(f"bins_{side}"), F.col("size").alias(f"size_{side}"))
-        for side in ("a", "b")
+        nodes.select(F.col("node").alias(side), *[F.col(name).alias(f"{name}_{side}") for name in ("set_key", "bins", "size")])
+        for side in "ab"
     )
     known = pairs.join(one, "a").join(two, "b")
     sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    return known.where(sizes).where(_equal_bins("bins_a", "bins_b") >= least_equal_bins).select("a", "b")
+    return known.where(sizes).where(_equal_bins("bins_a", "bins_b") >= least_equal_bins).select(
+        "a", F.col("set_key_a").alias("key_a"), "b", F.col("set_key_b").alias("key_b")
+    )
 
 
-def _often(sets: DataFrame) -> np.ndarray:
-    """How often shingles occur in the sets, by the lowest bits of their hash: a table of fixed size."""
+def _occurrences(members: DataFrame) -> DataFrame:
+    """``node, component, size, shingle``: a row per shingle of each set."""
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNT_SLOTS, dtype=np.int64)
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for own in part.column(0):
-                total += np.bincount(_slot(np.frombuffer(own.as_py(), dtype=np.uint64)), minlength=COUNT_SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "n"])
-
-    found = sets.select("hashes").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(COUNT_SLOTS, dtype=np.int64)
-    often[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    return often
-
+            own = [np.frombuffer(hashes.as_py(), dtype=np.int64) for hashes in part.column(2)]
+            sizes = np.array([len(each) for each in own], dtype=np.int64)
+            repeat = np.repeat(np.arange(len(own)), sizes)
+            shingle = np.concatenate(own) if own else np.empty(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(repeat)), part.column(1).take(pa.array(repeat)), pa.array(sizes[repeat]), pa.array(shingle)],
+                ["node", "component", "size", "shingle"],
+            )
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(COUNT_SLOTS - 1)).astype(np.int64)
+    chosen = members.select("node", "component", "hashes")
+    return chosen.mapInArrow(rows, "node long, component long, size long, shingle long")
 
 
 def _crossing(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share one of their rarest shingles; ``members`` has node, component, hashes.
 
-    Two similar sets of n and m shingles share at least one of the n - ceil(n * percent / 100) + 1 that come first in
-    one, in any order that holds for all sets.  With the rarest first, a shingle that very many texts share is only
-    reached by texts that hold little else.
+    Two similar sets share at least one of the shingles that come first in both, in any order that holds for all sets,
+    and from their first common one on, both must have enough left.  First come shingles that only one component has,
+    then the others, rarest first: one that very many texts share is only reached by texts that hold little else.
     """
-    often = members.sparkSession.sparkContext.broadcast(_often(members))
-
-    def rarest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            nodes, component, hashes = part.columns
-            found, sizes = [], []
-            for own in hashes:
-                own = np.frombuffer(own.as_py(), dtype=np.uint64)
-                counts = often.value[_slot(own)]
-                first = len(own) + percent * len(own) // -100 + 1
-                order = np.lexsort((own, counts))[:first]
-                found.append(own[order][counts[order] > 1])  # one that occurs once is shared with nobody
-                sizes.append(len(own))
-            each = [len(own) for own in found]
-            repeat = np.repeat(np.arange(len(found)), each)
-            shingle = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [nodes.take(repeat), component.take(repeat), pa.array(np.array(sizes, dtype=np.int64)[repeat]), pa.array(shingle.view(np.int64))],
-                ["node", "component", "size", "shingle"],
-            )
-
-    rows = stored(members.select("node", "component", "hashes").mapInArrow(rarest, "node long, component long, size long, shingle long"))
-    mixed_ = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    rows = rows.join(mixed_.select("shingle"), "shingle", "left_semi")
+    rows = _occurrences(members)
+    mixed_ = stored(
+        rows.groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
+        .drop("high")
+    )
+    shared = rows.join(mixed_, "shingle")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("often", "shingle")) - 1
+    placed = shared.withColumn("left", F.count(F.lit(1)).over(own) - place)
+    # ``left`` shingles remain from this one on; similar sets share at least percent / 100 of the smaller one.
+    placed = stored(placed.where(100 * F.col("left") >= percent * F.col("size")).drop("often"))
     one, two = (
-        rows.select("shingle", *[F.col(name).alias(f"{name}_{side}") for name in ("node", "component", "size")]) for side in "ab"
+        placed.select("shingle", "low", *[F.col(name).alias(f"{name}_{side}") for name in ("node", "component", "size", "left")])
+        for side in "ab"
     )
-    sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    met = one.join(two, "shingle").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & sizes)
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    # Every pair across components has an end outside a shingle's lowest one.
+    met = one.where("component_a <> low").drop("low").join(two.drop("low"), "shingle")
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("size_a") + F.col("size_b"))
+    met = met.where((F.col("component_a") != F.col("component_b")) & enough)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -272,20 +263,21 @@ def near_duplicates(
     shared = stored(members.join(stars.drop("n"), ["band", "bucket"]))
     pairs = shared.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(_likely(pairs, nodes, percent, least_equal_bins))
-    keys = nodes.select("node", "set_key")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node")
-    links = stored(_confirmed(pairs, stored(_sets(documents, wanted)), percent))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links = stored(_confirmed(pairs, _sets(documents, ends), percent))
     found = components(links)
 
     # Buckets that still hold several components: some pairs there have not been looked at.
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    undecided = stored(placed.join(open_.select("band", "bucket"), ["band", "bucket"]).select("node", "component").distinct())
-    sets = stored(_sets(documents, undecided.select("node").join(keys, "node")))
-    crossing = _likely(_crossing(undecided.join(sets, "node"), percent), nodes, percent, least_equal_bins)
-    more = stored(_confirmed(crossing, sets, percent))
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    undecided = placed.join(open_.select("band", "bucket"), ["band", "bucket"], "left_semi").select("node", "component").distinct()
+    undecided = stored(undecided.join(nodes.select("node", "set_key"), "node"))
+    if not undecided.isEmpty():
+        sets = _sets(documents, undecided)
+        crossing = stored(_crossing(undecided.join(sets, ["node", "set_key"]), percent))
+        more = stored(_confirmed(_likely(crossing, nodes, percent, least_equal_bins), sets, percent))
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
 
     of_set = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
