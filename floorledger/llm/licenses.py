@@ -68,12 +68,14 @@ def rarest_first(documents: DataFrame, chosen: tuple[Template, ...]) -> list[str
     known = sorted(set().union(*(template.tokens for template in chosen)))
     vocabulary = documents.sparkSession.createDataFrame([(word,) for word in known], "word string")
     occurring = documents.select(F.explode(words(F.col("text"))).alias("word"))
-    counts = {row["word"]: row["count"] for row in occurring.join(vocabulary, "word").groupBy("word").count().collect()}
+    # Broadcast: the vocabulary is that of the templates, whatever the corpus.
+    found = occurring.join(F.broadcast(vocabulary), "word").groupBy("word").count()
+    counts = {row["word"]: row["count"] for row in found.collect()}
     return sorted(known, key=lambda word: (counts.get(word, 0), word))
 
 
 def prefix_index(spark: SparkSession, chosen: tuple[Template, ...], order: list[str]) -> DataFrame:
-    """A row per template and word of its prefix: ``rank, place, template, size, needed, ranks, words, base, label``."""
+    """As many rows as the templates have prefix words; a row per template and word of its prefix: ``rank, place, template, size, needed, ranks, words, base, label``."""
     rank = {word: at for at, word in enumerate(order, 1)}
     rows = []
     for number, template in enumerate(chosen):
@@ -129,7 +131,7 @@ def license_blocks(documents: DataFrame, chosen: tuple[Template, ...] = TEMPLATE
     ).select("*", F.posexplode_outer("shared").alias("at", "rank"))
     left = F.least(F.col("size") - F.col("place"), F.size("shared") - F.col("at"))
     overlap = F.size(F.array_intersect("shared", "ranks"))
-    met = probing.join(index, "rank", "left").withColumn(
+    met = probing.join(F.broadcast(index), "rank", "left").withColumn(
         "met",
         F.coalesce(
             (F.size("shared") >= F.col("needed")) & (left >= F.col("needed")) & (overlap >= F.col("needed")), F.lit(False)
