@@ -22,7 +22,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose doc_id is not in ``gone``; rows without an id stay.  The list is written first, so Spark knows its
     size when it chooses how to join it."""
-    return docs.join(stored(gone.select("doc_id").where("doc_id is not null").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    listed = stored(gone.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(listed, "doc_id", "left_anti").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,8 @@ def _originals(pages: DataFrame, least_bytes: int) -> DataFrame:
         .drop("times")
     )
     refers_to = F.when(F.col("original") != F.coalesce("page_id", F.col("original") - 1), F.col("original"))
-    return keyed.join(stored(twice), ["sha", "bytes"], "left").select("page_id", "url", "payload", refers_to.alias("refers_to"))
+    found = keyed.join(stored(twice), ["sha", "bytes"], "left")
+    return found.select("page_id", "url", "payload", refers_to.alias("refers_to"))
 
 
 def write_archives(

@@ -72,12 +72,9 @@ def products(one: np.ndarray, two: np.ndarray) -> np.ndarray:
 
 def bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """For each query and box, the largest inner product that a point of the box can have."""
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    most = 2.0 * queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(max(np.abs(low).max(initial=0), np.abs(high).max(initial=0)))
-    if most < _EXACT:
-        return (up.astype(np.float64) @ high.astype(np.float64).T + down.astype(np.float64) @ low.astype(np.float64).T).astype(np.int64)
-    exact = up.astype(object) @ high.astype(object).T + down.astype(object) @ low.astype(object).T
-    return np.clip(exact, *_LONG).astype(np.int64)
+    # Positive components meet the upper side of the box, negative ones the lower side.
+    signed = np.concatenate([np.maximum(queries, 0), np.minimum(queries, 0)], axis=1)
+    return products(signed, np.concatenate([high, low], axis=1))
 
 
 def search(
@@ -193,7 +190,8 @@ def top_k(
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     asked = queries.select("size", block, "query_id", "least", "v", everywhere)
-    offered = index.select("size", "shard", "ids", "rows", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    offered = index.select("size", "shard", "ids", "rows", every_block)
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def meet(key: tuple, leaves: pa.Table, asking: pa.Table) -> pa.Table:
@@ -209,7 +207,8 @@ def top_k(
         return pa.table([ids[who], found, scores], schema=out)
 
     keys = ["size", "shard", "block"]
-    met = offered.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
+    pairs = offered.groupBy(*keys).cogroup(asked.groupBy(*keys))
+    met = pairs.applyInArrow(meet, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

@@ -81,9 +81,8 @@ def prefix_index(spark: SparkSession, chosen: tuple[Template, ...], order: list[
     for number, template in enumerate(chosen):
         ranks = sorted(rank[word] for word in template.tokens)
         for place in range(len(ranks) - template.needed + 1):
-            rows.append(
-                (ranks[place], place, number, len(ranks), template.needed, ranks, list(template.words), template.base, template.label)
-            )
+            fixed = (number, len(ranks), template.needed, ranks, list(template.words), template.base, template.label)
+            rows.append((ranks[place], place, *fixed))
     return spark.createDataFrame(
         rows,
         "rank int, place int, template int, size int, needed int, ranks array<int>, words array<string>, "
@@ -105,15 +104,13 @@ def license_blocks(documents: DataFrame, chosen: tuple[Template, ...] = TEMPLATE
     spark = documents.sparkSession
     order = rarest_first(documents, chosen)
     index = prefix_index(spark, chosen, order)
-    rank = {word: at for at, word in enumerate(order, 1)}
-    prefixes = [
-        order[at - 1]
-        for at in sorted({rank_ for t in chosen for rank_ in sorted(rank[w] for w in t.tokens)[: len(t.tokens) - t.needed + 1]})
-    ]
+    first = [sorted(template.tokens, key=order.index)[: len(template.tokens) - template.needed + 1] for template in chosen]
+    prefixes = sorted(set().union(*first))
     stride = max(len(template.words) for template in chosen)
 
     text = F.col("text").cast("string")
-    texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), words(text).alias("words"))
+    key = F.xxhash64(F.coalesce(text, F.lit(""))).alias("key")
+    texts = documents.select(F.col("doc_id").cast("long"), key, words(text).alias("words"))
     starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / stride).cast("int"))
     blocks = F.transform(
         starts, lambda at: F.struct(at.alias("block"), F.slice("words", at * stride + 1, 2 * stride).alias("words"))
@@ -123,28 +120,26 @@ def license_blocks(documents: DataFrame, chosen: tuple[Template, ...] = TEMPLATE
     held = F.when(F.arrays_overlap("words", _literal(prefixes)), F.concat(mark, likely)).otherwise(mark)
     cut = texts.select("doc_id", "key", F.size("words").alias("n_words"), F.explode(held).alias("held"))
 
-    shared = F.array_sort(
-        F.transform(F.array_intersect("held.words", _literal(order)), lambda word: F.array_position(_literal(order), word).cast("int"))
-    )
+    common = F.array_intersect("held.words", _literal(order))
+    shared = F.array_sort(F.transform(common, lambda word: F.array_position(_literal(order), word).cast("int")))
     probing = cut.select(
-        "doc_id", "key", "n_words", F.col("held.block").alias("block"), F.col("held.words").alias("block_words"), shared.alias("shared")
+        "doc_id", "key", "n_words",
+        F.col("held.block").alias("block"), F.col("held.words").alias("block_words"), shared.alias("shared"),
     ).select("*", F.posexplode_outer("shared").alias("at", "rank"))
     left = F.least(F.col("size") - F.col("place"), F.size("shared") - F.col("at"))
     overlap = F.size(F.array_intersect("shared", "ranks"))
-    met = probing.join(F.broadcast(index), "rank", "left").withColumn(
-        "met",
-        F.coalesce(
-            (F.size("shared") >= F.col("needed")) & (left >= F.col("needed")) & (overlap >= F.col("needed")), F.lit(False)
-        ),
-    )
+    enough = F.least(F.size("shared"), left, overlap) >= F.col("needed")
+    met = probing.join(F.broadcast(index), "rank", "left").withColumn("met", F.coalesce(enough, F.lit(False)))
     length = F.size("words")
     offsets = F.filter(
         F.sequence(F.lit(0), F.least(F.lit(stride), F.size("block_words")) - 1),
         lambda at: F.slice("block_words", at + 1, length) == F.col("words"),
     )
-    places = F.when(F.col("met") & F.col("base"), F.transform(offsets, lambda at: (F.col("block") * stride + at).cast("long")))
+    starts = F.transform(offsets, lambda at: (F.col("block") * stride + at).cast("long"))
     return met.where(F.col("met") | (F.col("block") == -1)).select(
-        "doc_id", "key", "n_words", "block", "label", "base", (overlap / F.col("size")).alias("containment"), places.alias("places")
+        "doc_id", "key", "n_words", "block", "label", "base",
+        (overlap / F.col("size")).alias("containment"),
+        F.when(F.col("met") & F.col("base"), starts).alias("places"),
     )
 
 
@@ -155,7 +150,8 @@ def licenses(documents: DataFrame, chosen: tuple[Template, ...] = TEMPLATES) ->
     template that one block holds, 1 for a phrase.  Repeated rows each get the same result.
     """
     blocks = license_blocks(documents, chosen)
-    hit = F.when((F.col("block") >= 0) & (~F.col("base") | (F.size("places") > 0)), F.struct("block", "label", "base", "containment", "places"))
+    counts = (F.col("block") >= 0) & (~F.col("base") | (F.size("places") > 0))
+    hit = F.when(counts, F.struct("block", "label", "base", "containment", "places"))
     rows = blocks.groupBy("doc_id", "key").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.collect_set(hit).alias("hits"),

@@ -84,7 +84,8 @@ def signature(hashes: np.ndarray, borrow: np.ndarray) -> np.ndarray:
         empty = np.flatnonzero(~full)
         hits = full[borrow[empty]]
         # The nearest full bin stands in when no probe hits, which takes a set of very few shingles.
-        found = np.where(hits.any(axis=1), borrow[empty, hits.argmax(axis=1)], own[np.searchsorted(own, empty) % len(own)])
+        nearest = own[np.searchsorted(own, empty) % len(own)]
+        found = np.where(hits.any(axis=1), borrow[empty, hits.argmax(axis=1)], nearest)
         sketch[empty] = sketch[found]
     return sketch
 
@@ -155,8 +156,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(one) + len(two) - shared))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    named = lambda side: {"node": side, "set_key": f"key_{side}", "hashes": f"hashes_{side}"}
     left, right = (
-        sets.select(F.col("node").alias(side), F.col("set_key").alias(f"key_{side}"), F.col("hashes").alias(f"hashes_{side}"))
+        sets.select(*[F.col(name).alias(new) for name, new in named(side).items()])
         for side in "ab"
     )
     both = pairs.join(right, ["b", "key_b"]).join(left, ["a", "key_a"]).select("a", "b", "hashes_a", "hashes_b")
@@ -174,7 +176,7 @@ def _equal_bins(left: str, right: str) -> F.Column:
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, least_equal_bins: int) -> DataFrame:
     """The pairs that sizes allow and signatures do not rule out, with the names of their sets."""
     one, two = (
-        nodes.select(F.col("node").alias(side), *[F.col(name).alias(f"{name}_{side}") for name in ("set_key", "bins", "size")])
+        nodes.select(F.col("node").alias(side), *[F.col(n).alias(f"{n}_{side}") for n in ("set_key", "bins", "size")])
         for side in "ab"
     )
     known = pairs.join(one, "a").join(two, "b")
@@ -193,10 +195,9 @@ def _occurrences(members: DataFrame) -> DataFrame:
             sizes = np.array([len(each) for each in own], dtype=np.int64)
             repeat = np.repeat(np.arange(len(own)), sizes)
             shingle = np.concatenate(own) if own else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(repeat)), part.column(1).take(pa.array(repeat)), pa.array(sizes[repeat]), pa.array(shingle)],
-                ["node", "component", "size", "shingle"],
-            )
+            ends = [part.column(n).take(pa.array(repeat)) for n in (0, 1)]
+            columns = [*ends, pa.array(sizes[repeat]), pa.array(shingle)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "component", "size", "shingle"])
 
     chosen = members.select("node", "component", "hashes")
     return chosen.mapInArrow(rows, "node long, component long, size long, shingle long")
@@ -223,7 +224,7 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
     # ``left`` shingles remain from this one on; similar sets share at least percent / 100 of the smaller one.
     placed = stored(placed.where(100 * F.col("left") >= percent * F.col("size")).drop("often"))
     one, two = (
-        placed.select("shingle", "low", *[F.col(name).alias(f"{name}_{side}") for name in ("node", "component", "size", "left")])
+        placed.select("shingle", "low", *[F.col(n).alias(f"{n}_{side}") for n in ("node", "component", "size", "left")])
         for side in "ab"
     )
     # Every pair across components has an end outside a shingle's lowest one.
@@ -259,8 +260,8 @@ def near_duplicates(
         )
     )
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    stars = members.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(members.join(stars.drop("n"), ["band", "bucket"]))
+    buckets = members.groupBy("band", "bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
+    shared = stored(members.join(buckets.where("n > 1").drop("n"), ["band", "bucket"]))
     pairs = shared.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(_likely(pairs, nodes, percent, least_equal_bins))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -269,8 +270,9 @@ def near_duplicates(
 
     # Buckets that still hold several components: some pairs there have not been looked at.
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    undecided = placed.join(open_.select("band", "bucket"), ["band", "bucket"], "left_semi").select("node", "component").distinct()
+    spread = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    inside = placed.join(spread.where("low < high").select("band", "bucket"), ["band", "bucket"], "left_semi")
+    undecided = inside.select("node", "component").distinct()
     undecided = stored(undecided.join(nodes.select("node", "set_key"), "node"))
     if not undecided.isEmpty():
         sets = _sets(documents, undecided)

@@ -35,8 +35,12 @@ FEATURES = (
 
 _KINDS = np.zeros(256, dtype=np.int64)
 for _kind, _bytes in enumerate(
-    (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \n\t\r", b".,;:'\"-()", b"#$%&*+/<=>@[\\]^_`{}~", bytes(range(128, 256)), b"|", b"!?"), 1
-):
+    (
+        b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \n\t\r", b".,;:'\"-()",
+        b"#$%&*+/<=>@[\\]^_`{}~", bytes(range(128, 256)), b"|", b"!?",
+    ),
+    1,
+):
     _KINDS[list(_bytes)] = _kind
 _SIGNS = frozenset(b"#$%&*!|@^~")
 

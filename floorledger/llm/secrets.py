@@ -104,7 +104,8 @@ def secret_parts(documents: DataFrame, reach: int = REACH) -> DataFrame:
         F.struct(F.lit(TEXT).alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit(0).alias("value"))
     )
     none = F.filter(own, lambda step: F.lit(False))
-    found = F.concat(own, *[F.coalesce(_matches(F.col("text"), number, kind), none) for number, kind in enumerate(KINDS)])
+    matches = [_matches(F.col("text"), number, kind) for number, kind in enumerate(KINDS)]
+    found = F.concat(own, *[F.coalesce(steps, none) for steps in matches])
     texts = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
     steps = texts.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(found).alias("pos", "step"))
     steps = steps.select(*_ROW, "pos", "step.*").repartition(*_ROW)
@@ -146,20 +147,17 @@ def secret_parts(documents: DataFrame, reach: int = REACH) -> DataFrame:
         F.when(role == "identifier", kept_secret).when(role == "secret", identified).otherwise(identified & kept_secret)
     )
     strong = _of(lambda kind: kind.strong)
-    return swept.select(
-        *_ROW, "copies", "kind", "start", "end",
-        F.when(F.col("kind") == TEXT, False).when(strong, True).otherwise(complete & ~beside("strong", -1)).alias("reported"),
-    )
+    weak = complete & ~beside("strong", -1)  # what lies in a strong part is reported with it
+    reported = F.when(F.col("kind") == TEXT, False).when(strong, True).otherwise(weak)
+    return swept.select(*_ROW, "copies", "kind", "start", "end", reported.alias("reported"))
 
 
 def _listed(test: Column) -> Column:
     """kind:start:end of the parts that pass, by start, then kind."""
     parts = F.array_sort(F.collect_list(F.when(test, F.struct("start", "kind", "end"))))
     names = F.array(*[F.lit(kind.name) for kind in KINDS])
-    return F.array_join(
-        F.transform(parts, lambda part: F.concat_ws(":", F.element_at(names, part["kind"] + 1), part["start"], part["end"])),
-        ",",
-    )
+    named = lambda part: F.concat_ws(":", F.get(names, part["kind"]), part["start"], part["end"])
+    return F.array_join(F.transform(parts, named), ",")
 
 
 def secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
@@ -189,17 +187,17 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -
     """
     parts = secret_parts(documents, reach).where("reported").select(*_ROW, "start", "end").distinct()
     before = Window.partitionBy(*_ROW).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    islands = parts.withColumn("so_far", F.max("end").over(before)).withColumn(
-        "island", F.sum(F.when(F.col("start") <= F.col("so_far"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    so_far = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    apart = F.when(F.col("start") <= F.col("so_far"), 0).otherwise(1)
+    islands = parts.withColumn("so_far", F.max("end").over(before)).withColumn("island", F.sum(apart).over(so_far))
     spans = islands.groupBy(*_ROW, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     listed = stored(
         spans.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
     ).toDF("part_id", "part_key", "parts")
     # The row travels as one column, so that its columns may have any names.
-    rows = documents.select(
-        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")
-    ).withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    row_id, text = F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")
+    rows = documents.select(F.struct("*").alias("row"), row_id, text)
+    rows = rows.withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = rows.join(listed, F.expr("row_id <=> part_id and row_key = part_key"), "left")
     ends = F.concat(F.array(F.lit(0)), F.transform("parts", lambda part: part["end"].cast("int")))
     starts = F.concat(F.transform("parts", lambda part: part["start"].cast("int")), F.array(F.length("text")))
@@ -208,7 +206,8 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -
         lambda gap: F.substring(F.col("text"), gap["from"] + 1, gap["to"] - gap["from"]),
     )
     cleaned = F.when(F.col("parts").isNull(), F.col("text")).otherwise(F.array_join(between, mark))
+    kept = [name for name in documents.columns if name != "redactions"]
     return joined.select(
-        *[cleaned.alias(name) if name == "text" else F.col(f"row.`{name}`") for name in documents.columns if name != "redactions"],
+        *[cleaned.alias(name) if name == "text" else F.col(f"row.`{name}`") for name in kept],
         F.coalesce(F.size("parts"), F.lit(0)).alias("redactions"),
     )

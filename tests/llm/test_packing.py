@@ -17,9 +17,9 @@ def bins_of(runs):
         for n in range(count):
             bins.setdefault(first + n // each, []).append((offset + n % each * length, length))
     for pieces in bins.values():
-        assert [at for at, _ in sorted(pieces)] == [0, *itertools.accumulate(n for _, n in sorted(pieces)[:-1])] if len(
-            pieces
-        ) > 1 else [pieces[0][0]] == [0]
+        pieces.sort()
+        ends = [0, *itertools.accumulate(length for _, length in pieces)]
+        assert [at for at, _ in pieces] == ends[:-1]
     return bins
 
 
