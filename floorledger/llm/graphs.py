@@ -1,4 +1,4 @@
-"""Connected components of an undirected graph given as links, by large-star and small-star steps."""
+"""Connected components of an undirected graph given as links."""
 
 from __future__ import annotations
 
@@ -7,44 +7,30 @@ from pyspark.sql import functions as F
 
 from floorledger.llm.scratch import stored
 
-
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
-def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """Links the larger (or the smaller) neighbours of each node to the smallest one, itself included.
-
-    The smallest neighbour is an aggregate joined back, not a collected list, so a node with very many neighbours is
-    combined before the shuffle and its links can be split over tasks.
-    """
-    ways = _both_ways(links)
-    ways = ways if larger else ways.where("b < a")
-    smallest = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    kept = ways.where("b > a") if larger else ways
-    moved = kept.join(smallest, "a").select(F.col("low").alias("a"), "b")
-    if not larger:
-        moved = moved.unionByName(smallest.select(F.col("low").alias("a"), F.col("a").alias("b")))
-    return moved.where("a <> b").distinct()
-
-
-def _all_stars(links: DataFrame) -> bool:
-    """Whether every node is either a centre or linked to a single one."""
-    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("member")).unionByName(
-        links.select(F.col("b").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("member"))
-    )
-    roles = ends.groupBy("node").agg(F.max("centre").alias("centre"), F.sum("member").alias("member"))
-    return roles.where(F.col("centre") + F.col("member") > 1).isEmpty()
+# Rows of labels from which another task writes them.
+LABELS_PER_TASK = 250_000
+LEAST_TASKS = 8
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node on a link; the component is its smallest node.
 
-    ``links`` has the columns a and b.  Each round is written to the shared folder; it ends when all links are stars
-    around the smallest node, after about log(nodes) rounds.
+    ``links`` has the columns a and b.  A round gives each node the smallest label among itself and its neighbours,
+    then the label of that label, so that labels travel twice as far with each round; it ends when no label has
+    changed.  Smallest labels are aggregates, combined before the shuffle, so a node with very many neighbours is not
+    collected.  Each round is written to the shared folder.
     """
-    now = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    while not _all_stars(now):
-        now = stored(_star(_star(now, larger=True), larger=False))
-    found = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    ways = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = stored(ways.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
+    n, total = labels.agg(F.count(F.lit(1)), F.sum(F.col("component").cast("decimal(38,0)"))).first()
+    while n:
+        theirs = labels.select(F.col("node").alias("a"), "component")
+        heard = ways.join(theirs, "a").select(F.col("b").alias("node"), "component").unionByName(labels)
+        lowest = heard.groupBy("node").agg(F.min("component").alias("component"))
+        further = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        jumped = lowest.join(further, "component").select("node", F.least("component", "further").alias("component"))
+        labels = stored(jumped.coalesce(max(LEAST_TASKS, -(-n // LABELS_PER_TASK))))
+        before, total = total, labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            break
+    return labels

@@ -279,7 +279,8 @@ def near_duplicates(
         crossing = stored(_crossing(undecided.join(sets, ["node", "set_key"]), percent))
         more = stored(_confirmed(_likely(crossing, nodes, percent, least_equal_bins), sets, percent))
         if not more.isEmpty():
-            found = components(links.unionByName(more))
+            known = found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            found = components(known.unionByName(more))
 
     of_set = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
