@@ -46,3 +46,14 @@ def test_awkward_rows(spark):
 def test_features_are_shares():
     assert features(None) == features(" \n") == [0.0] * len(FEATURES)
     assert len(features("é A. b|c\nd")) == len(FEATURES)
+
+
+def test_compressibility_covers_the_middle_of_a_long_text():
+    chance = np.random.default_rng(3)
+    plain = " ".join(f"{n:x}" for n in chance.integers(0, 2**40, size=3000))
+    ends = plain[:4096], plain[-4096:]
+    packed = [features(ends[0] + middle + ends[1])[-1] for middle in (plain[4096:-4096], "spam " * 4000)]
+    assert packed[1] < 0.6 * packed[0]
+    below, above = features(plain[:8192])[-1], features(plain[:8193])[-1]
+    assert abs(below - above) < 0.001
+    assert abs(features(plain)[-1] - below) < 0.05
