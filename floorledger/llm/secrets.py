@@ -48,8 +48,8 @@ KINDS = (
     Kind("hex", HEX + "{%d,}" % LEAST_HEX, 0, LEAST_HEX, "secret", True),
     Kind("ident", r"""((?i:user|username|login|account|client_id|access_key_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
          2, 3, "identifier", False),
-    Kind("blob", r"[A-Za-z0-9+/=_-]{32,}", 0, 32, "secret", False,
-         (r"^[A-Za-z0-9+/]{32,64}={0,2}$", "[0-9]", "[A-Z]", "[a-z]")),
+    # An equals sign only ends a run, so that a name before it is not part of its value.
+    Kind("blob", r"[A-Za-z0-9+/_-]{32,}={0,2}", 0, 32, "secret", False, ("[0-9]", "[A-Z]", "[a-z]")),
     Kind("endpoint", r"""https?://[^\x00-\x20"'<>]+""", 0, 12, "endpoint", False),
 )
 STRONG = tuple(kind.name for kind in KINDS if kind.strong)
