@@ -8,6 +8,7 @@ bad labels reaches a threshold.  All of it runs on distinct paths and templates,
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ RULES = (
 
 @dataclass(frozen=True)
 class TreeSettings:
-    # Levels of the tree; deeper segments are one tail.
+    # Levels that the DuckDB statement writes out; the operator goes as deep as the paths do.
     levels: int = 4
     # A node's children vary when there are so many kinds, and so many kinds per path.
     least_kinds: int = 5
@@ -73,11 +74,9 @@ def rule_of(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _segments(path: Column, levels: int) -> Column:
-    """Named segments, a star written as %2A; those below the last level joined to one."""
-    named = F.filter(F.split(F.replace(path, F.lit("*"), F.lit("%2A")), "/"), lambda part: part != "")
-    tail = F.array_join(F.slice(named, levels, F.greatest(F.size(named), F.lit(1))), "\\")
-    return F.when(F.size(named) <= levels, named).otherwise(F.array_append(F.slice(named, 1, levels - 1), tail))
+def _segments(path: Column) -> Column:
+    """Named segments, a star written as %2A."""
+    return F.filter(F.split(F.replace(path, F.lit("*"), F.lit("%2A")), "/"), lambda part: part != "")
 
 
 def _wildcard(segment: Column) -> Column:
@@ -86,28 +85,49 @@ def _wildcard(segment: Column) -> Column:
 
 
 def _generalised(paths: DataFrame, level: int, settings: TreeSettings) -> DataFrame:
-    """Adds one level to each template: the segment, or a wildcard where the node's children vary."""
+    """Adds one level to each template: the segment, or a wildcard where the node's children vary.
+
+    All paths reach the level.  ``open`` tells those that have to go on: where fewer of them run through a child than
+    a varying node has kinds, nothing below varies, and the template gets all that is left of the path at once.
+    """
     node = ["host", "template"]
     here = paths.withColumn("segment", F.get("segments", F.lit(level)))
-    children = here.where(F.col("segment").isNotNull()).groupBy(*node, "segment").agg(F.sum("paths").alias("own"))
+    more = F.size("segments") > level + 1
+    children = here.groupBy(*node, "segment").agg(F.sum("paths").alias("own"), F.count(F.when(more, 1)).alias("below"))
     nodes = children.groupBy(*node).agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("kinds"))
     varying = nodes.where(
         (F.col("kinds") >= settings.least_kinds) & (F.col("kinds") >= settings.kinds_per_path * F.col("all"))
     )
+    star = F.coalesce(F.col("own") < F.greatest(F.lit(2.0), settings.own_share * F.col("all")), F.lit(False))
     # Written first: it is small, and beside a plain shuffle Spark can split the children of a hot node.
-    stars = (
-        children.join(stored(varying), node)
-        .where(F.col("own") < F.greatest(F.lit(2.0), settings.own_share * F.col("all")))
-        .select(*node, "segment", F.lit(True).alias("star"))
+    marks = (
+        children.join(stored(varying), node, "left")
+        .select(*node, "segment", F.when(F.col("all").isNotNull(), star).otherwise(False).alias("star"), "below")
+        .where(F.col("star") | (F.col("below") >= settings.least_kinds))
+        .drop("below")
     )
-    step = F.when(F.col("star"), _wildcard(F.col("segment"))).otherwise(F.col("segment"))
-    return here.join(stars, [*node, "segment"], "left").select(
-        "host", "path", "segments", "paths", "labelled", "bad",
-        F.when(F.col("segment").isNull(), F.col("template"))
-        .otherwise(F.concat("template", F.lit("/"), step)).alias("template"),
+    rest = F.array_join(F.slice("segments", level + 1, F.size("segments")), "/")
+    step = F.when(F.col("star"), _wildcard(F.col("segment"))).when(~F.col("star"), F.col("segment")).otherwise(rest)
+    return here.join(marks, [*node, "segment"], "left").select(
+        "host", "path", "segments", "paths", "labelled", "bad", F.concat("template", F.lit("/"), step).alias("template"),
+        (F.col("star").isNotNull() & more).alias("open"),
     )
 
 
+def _tree(paths: DataFrame, settings: TreeSettings) -> DataFrame:
+    """``host, path, labelled, bad, template`` of every path, level by level until no path has to go on."""
+    now = paths.select("*", _segments(F.col("path")).alias("segments"), F.lit("").alias("template"))
+    now = stored(now.withColumn("open", F.size("segments") > 0))
+    done, level = [], 0
+    while True:
+        done.append(now.where(~F.col("open")).select("host", "path", "labelled", "bad", "template"))
+        now = now.where("open")
+        if now.isEmpty():
+            return reduce(DataFrame.union, done)
+        now = stored(_generalised(now, level, settings))
+        level += 1
+
+
 def _merged(templates: DataFrame, level: int, settings: TreeSettings) -> DataFrame:
     """Renames branches at a level to a wildcard where their rate is that of their siblings, within error.
 
@@ -139,17 +159,28 @@ def _merged(templates: DataFrame, level: int, settings: TreeSettings) -> DataFra
     )
 
 
+def _branches(templates: DataFrame, settings: TreeSettings) -> DataFrame:
+    """Adds ``merged`` to each template: level by level from the deepest one where two templates of a host can agree.
+
+    Merging keeps the number of segments, so a level only takes the templates that reach it.
+    """
+    depth = F.size(F.split(F.substring("template", 2, 1_000_000_000), "/"))
+    templates = stored(templates.select("*", F.col("template").alias("merged"), depth.alias("depth")))
+    alike = templates.groupBy("host", "depth").count().where("count > 1")
+    deepest = alike.agg(F.max("depth")).first()[0] or 0
+    columns = ["host", "template", "labelled", "bad", "merged"]
+    merged = templates.where(F.col("depth") < 0).select(*columns)
+    for level in reversed(range(deepest)):
+        reached = templates.where(F.col("depth") == level + 1).select(*columns)
+        merged = stored(_merged(merged.union(reached), level, settings).select(*columns))
+    return merged.union(templates.where(F.col("depth") > deepest).select(*columns))
+
+
 def template_verdicts(paths: DataFrame, settings: TreeSettings = SETTINGS) -> DataFrame:
     """``host, path, template, purity, verdict`` from ``host, path, paths, labelled, bad``, one row per path."""
-    tree = paths.select(
-        "*", _segments(F.col("path"), settings.levels).alias("segments"), F.lit("").alias("template")
-    )
-    for level in range(settings.levels):
-        tree = stored(_generalised(tree, level, settings))
+    tree = _tree(paths, settings)
     templates = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    templates = templates.withColumn("merged", F.col("template"))
-    for level in reversed(range(settings.levels)):
-        templates = stored(_merged(templates, level, settings))
+    templates = _branches(templates, settings)
 
     whole = templates.agg(F.sum("labelled").alias("w_labelled"), F.sum("bad").alias("w_bad"))
     rate = F.coalesce(F.col("w_bad") / F.when(F.col("w_labelled") > 0, F.col("w_labelled")), F.lit(0.0))

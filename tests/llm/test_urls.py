@@ -53,3 +53,15 @@ def test_repeated_rows_stay_and_empty_tables_give_none(spark):
     marks = spark.createDataFrame([], LABELS)
     assert url_verdicts(pages(spark, rows), marks).count() == 3
     assert url_verdicts(pages(spark, []), marks, (Rule("block", "net", "/"),), TreeSettings(levels=2)).collect() == []
+
+
+def test_sections_that_part_below_the_fourth_segment_keep_their_own_verdict(spark):
+    for stem in ("/shop/a/b/c", "/shop/a/b/c/d/e"):
+        rows, labels = [(999, "http://h.test/" + "deep/" * 200)], []
+        for n in range(30):
+            rows += [(n, f"http://h.test{stem}/good/{n}"), (100 + n, f"http://h.test{stem}/spam/{n}")]
+            labels += [(n, False), (100 + n, True)] if n < 20 else []
+        found = judged(spark, rows, labels)
+        assert {(found[n].template, found[n].verdict) for n in range(30)} == {(f"{stem}/good/*", "allow")}
+        assert {(found[100 + n].template, found[100 + n].verdict) for n in range(30)} == {(f"{stem}/spam/*", "block")}
+        assert found[999].template == "/deep" * 200
