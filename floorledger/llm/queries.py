@@ -15,7 +15,9 @@ from floorledger.llm.licenses import licenses
 from floorledger.llm.neardup import near_duplicates
 from floorledger.llm.packing import pack_documents
 from floorledger.llm.quality import score_quality
+from floorledger.llm.ranking import ranked
 from floorledger.llm.secrets import secrets
+from floorledger.llm.shuffling import sharded
 from floorledger.llm.tables import corpus
 from floorledger.llm.urls import url_verdicts
 
@@ -79,6 +81,14 @@ def op10_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
     return score_quality(corpus(spark, directory, "documents"), corpus(spark, directory, "labels"))
 
 
+def op11_sharding(spark: SparkSession, directory: str) -> DataFrame:
+    return sharded(corpus(spark, directory, "documents"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, directory: str) -> DataFrame:
+    return ranked(corpus(spark, directory, "documents"), corpus(spark, directory, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -92,5 +102,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_near_dedup,
         op9_language_id,
         op10_quality_classifier,
+        op11_sharding,
+        op12_ranked_lexical_search,
     )
 }

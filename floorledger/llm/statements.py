@@ -5,7 +5,7 @@ Packing, language and quality have none: they search, or learn from data.
 
 from __future__ import annotations
 
-from floorledger.llm import secrets
+from floorledger.llm import ranking, secrets
 from floorledger.llm.licenses import TEMPLATES
 from floorledger.llm.urls import RULES, SETTINGS
 
@@ -286,6 +286,29 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, COALESCE(compone
 FROM sets s LEFT JOIN classes c ON c.shingles = list_sort(s.shingles) LEFT JOIN components USING (node)"""
 
 
+# ---- ranked search ------------------------------------------------------------------------------------------------
+
+_TERMS = f"regexp_extract_all({lowered("COALESCE(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+RANKED = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+totals AS (SELECT COUNT(*) FILTER (len(w) > 0) AS docs, SUM(len(w)) AS terms FROM d),
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+asked AS (
+    SELECT item_id, term, COUNT(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+weight AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * COUNT(*) + 1))) AS BIGINT) AS w
+    FROM tf, totals WHERE term IN (SELECT term FROM asked) GROUP BY term),
+measure AS (
+    SELECT doc_id, CAST({ranking.LENGTH_BASE - ranking.LENGTH_SHARE}
+        + ({ranking.LENGTH_SHARE} * CAST(len(w) AS HUGEINT) * docs) // terms AS BIGINT) AS m FROM d, totals WHERE len(w) > 0),
+scored AS (
+    SELECT item_id, doc_id, CAST(SUM(times * w * (({ranking.SCALE} * tf) // (1000 * tf + {ranking.SATURATION} * m))) AS BIGINT) AS score
+    FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN measure USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+WHERE place <= {ranking.TOP}"""
+
+
 LLM_STATEMENTS: dict[str, str] = {
     "op1_license_scans": LICENSES,
     "op3_url_filters": URLS,
@@ -294,4 +317,5 @@ LLM_STATEMENTS: dict[str, str] = {
     "op6_benchmark_decontamination": DECONTAMINATION,
     "op7_secret_scans": SECRETS,
     "op8_minhash_near_dedup": NEAR_DUPLICATES,
+    "op12_ranked_lexical_search": RANKED,
 }
