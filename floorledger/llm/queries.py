@@ -16,6 +16,7 @@ from floorledger.llm.neardup import near_duplicates
 from floorledger.llm.packing import pack_documents
 from floorledger.llm.quality import score_quality
 from floorledger.llm.ranking import ranked
+from floorledger.llm.resampling import resampled
 from floorledger.llm.secrets import secrets
 from floorledger.llm.shuffling import sharded
 from floorledger.llm.tables import corpus
@@ -89,6 +90,10 @@ def op12_ranked_lexical_search(spark: SparkSession, directory: str) -> DataFrame
     return ranked(corpus(spark, directory, "documents"), corpus(spark, directory, "benchmark"))
 
 
+def op13_importance_resampling(spark: SparkSession, directory: str) -> DataFrame:
+    return resampled(corpus(spark, directory, "documents"), corpus(spark, directory, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -104,5 +109,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_classifier,
         op11_sharding,
         op12_ranked_lexical_search,
+        op13_importance_resampling,
     )
 }

@@ -36,9 +36,9 @@ _CLASS = ["hash", "m", "terms", "counts"]
 _BAG = "doc_id long, n long, terms array<int>, counts array<int>"
 
 
-def term_list(text: str | None) -> list[bytes]:
-    """Terms of a whole text; blanks take the place of all else, and UTF-8 bytes beyond ASCII are kept as they are."""
-    return (text or "").encode("utf-8", "replace").translate(_TERMS_ONLY).split()
+def term_list(text: bytes | None) -> list[bytes]:
+    """Terms of a whole text in UTF-8: blanks take the place of all else, bytes beyond ASCII are kept as they are."""
+    return (text or b"").translate(_TERMS_ONLY).split()
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def bags(documents: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             lists = [pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32())) for values in (terms, counts)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), *lists], schema=schema)
 
-    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
     return texts.mapInArrow(counted, _BAG)
 
 
@@ -213,7 +213,7 @@ def ranked(documents: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     take part and come last among equal scores; rows that repeat are ranked each on its own, and so are items.
     """
     spark = documents.sparkSession
-    asked = items.select("item_id", F.col("text").cast("string").alias("text"))
+    asked = items.select("item_id", F.col("text").cast("string").cast("binary").alias("text"))
     asked = stored(asked.withColumn("number", F.monotonically_increasing_id()))
     found = None
     for block in item_blocks(asked):

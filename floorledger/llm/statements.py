@@ -5,7 +5,7 @@ Packing, language and quality have none: they search, or learn from data.
 
 from __future__ import annotations
 
-from floorledger.llm import ranking, secrets
+from floorledger.llm import ranking, resampling, secrets
 from floorledger.llm.licenses import TEMPLATES
 from floorledger.llm.urls import RULES, SETTINGS
 
@@ -309,6 +309,52 @@ SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
 WHERE place <= {ranking.TOP}"""
 
 
+# ---- resampling ---------------------------------------------------------------------------------------------------
+
+# CRC-32 by its table, which follows from the polynomial 0xEDB88320.
+_CRC_TABLE = """list_transform(range(0, 256), lambda n: list_reduce(range(0, 8),
+    lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n))"""
+_BYTES = "list_transform(range(0, octet_length(encode(feature))), lambda i: CAST('0x' || substr(hex(encode(feature)), 2 * i + 1, 2) AS BIGINT))"
+
+
+def _features(table: str, id_: str) -> str:
+    return f"""SELECT {id_}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature
+        FROM (SELECT {id_}, {words('text')} AS w FROM {table})"""
+
+
+_B, _K = resampling.BUCKETS, resampling.SEED
+RESAMPLED = f"""
+WITH own AS ({_features('documents', 'doc_id')}), wanted AS ({_features('benchmark', 'item_id')}),
+kinds AS (SELECT feature FROM own UNION SELECT feature FROM wanted),
+crc AS (SELECT {_CRC_TABLE} AS t),
+buckets AS (
+    SELECT feature, xor(list_reduce({_BYTES}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {_B} AS bucket
+    FROM kinds, crc),
+s AS (SELECT bucket, COUNT(*) AS s FROM own JOIN buckets USING (feature) GROUP BY bucket),
+t AS (SELECT bucket, COUNT(*) AS t FROM wanted JOIN buckets USING (feature) GROUP BY bucket),
+whole AS (SELECT (SELECT COUNT(*) FROM own) AS sum_s, (SELECT COUNT(*) FROM wanted) AS sum_t),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln(CAST((COALESCE(t, 0) + 1) * (sum_s + {_B}) AS DOUBLE)
+        / CAST((s + 1) * (sum_t + {_B}) AS DOUBLE))) AS BIGINT) AS gain
+    FROM s LEFT JOIN t USING (bucket), whole),
+weights AS (
+    SELECT doc_id, COUNT(*) AS n_features, CAST(SUM(gain) AS BIGINT) AS total
+    FROM own JOIN buckets USING (feature) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+    SELECT doc_id, len({words('text')}) AS n_words, COALESCE(n_features, 0) AS n_features,
+        COALESCE((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+        CAST('0x' || substr(sha256('{_K}:' || doc_id), 1, 8) AS BIGINT) AS h
+    FROM documents LEFT JOIN weights USING (doc_id)),
+rows AS (
+    SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score,
+        n_words >= {resampling.LEAST_WORDS} AS able FROM scored),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, COUNT(*) OVER (PARTITION BY able) AS n FROM rows)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score,
+       CASE WHEN able AND place <= n * {resampling.PERCENT} // 100 THEN place END AS rank
+FROM placed"""
+
+
 LLM_STATEMENTS: dict[str, str] = {
     "op1_license_scans": LICENSES,
     "op3_url_filters": URLS,
@@ -318,4 +364,5 @@ LLM_STATEMENTS: dict[str, str] = {
     "op7_secret_scans": SECRETS,
     "op8_minhash_near_dedup": NEAR_DUPLICATES,
     "op12_ranked_lexical_search": RANKED,
+    "op13_importance_resampling": RESAMPLED,
 }
