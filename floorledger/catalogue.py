@@ -20,8 +20,9 @@ from floorledger.operators.replace import batch_bounds, replace_range
 from floorledger.plans import audit, comps, control, marks, options, prizes, summary
 from floorledger.session import scratch_folder
 from floorledger.sinks.sections import json_rows, section_frame
-from floorledger.sinks.store import LedgerStore
+from floorledger.sinks.store import DuplicateKeys, LedgerStore
 from floorledger.sources import cleaning
+from floorledger.sources.feeds import FEEDS, read_feed
 from floorledger.sources.raw_star import raw_feed
 from floorledger.sources.star import StarFrames, star_ledgers, table
 
@@ -81,6 +82,46 @@ def _store_month(spark: SparkSession, directory: str) -> DataFrame:
     return comps.comps_by_player(Facts(store.ledgers(), YEAR, MONTH))
 
 
+def _store_load_log(spark: SparkSession, directory: str) -> DataFrame:
+    """The load log after a few loads, one of which was refused."""
+    store, ledgers = _stored(spark, directory, "play", "points"), star_ledgers(spark, directory)
+    store.replace_range("comps", ledgers.comps, "comps.csv", "in/comps.csv@1")
+    store.replace_range("comps", _voucher_batch(ledgers.comps), "again.csv", "in/again.csv@2")
+    try:
+        store.refresh("managers", ledgers.managers.unionByName(ledgers.managers), "managers.csv")
+    except DuplicateKeys:
+        store.refresh("managers", ledgers.managers, "managers.csv")
+    return store.load_log().drop("loaded_at")
+
+
+def _store_repeated_load(spark: SparkSession, directory: str) -> DataFrame:
+    """A delivery that two stores on one folder load, one of them twice: it counts once, undated rows too."""
+    store, ledgers = LedgerStore(spark, scratch_folder(spark)), star_ledgers(spark, directory)
+    other = LedgerStore(spark, store.root)
+    store.replace_range("comps", ledgers.comps, "comps.csv", "in/comps.csv@1")
+    for writer in (other, store, other):
+        writer.replace_range("comps", ledgers.comps, "comps.csv", "in/comps.csv@1")
+        writer.replace_range("comps", _voucher_batch(ledgers.comps))
+    return store.ledger("comps").drop(MONTH_COLUMN)
+
+
+def _store_control(spark: SparkSession, directory: str) -> DataFrame:
+    """The combined control on stored ledgers, whose play is read from rollups."""
+    store = _stored(spark, directory, "play", "points", "prizes", "comps", "managers", "tiers")
+    return control.control_all(Facts(store.ledgers()))
+
+
+def _clean_split_cells(spark: SparkSession, directory: str) -> DataFrame:
+    """The voucher feed as text in which some product names go on over the end of their line."""
+    feed, target = raw_feed(spark, directory, "comps"), scratch_folder(spark)
+    broken = F.replace(F.col("_c16"), F.lit("P"), F.lit("P\n"))
+    rows = feed.withColumn("_c16", F.when(F.col("_c19").rlike("^[0-9]*[05]00$"), broken).otherwise(F.col("_c16")))
+    titles = [F.lit(None).cast("string").alias(name) if name != "_c0" else F.lit("title").alias(name) for name in rows.columns]
+    landed = spark.range(FEEDS["comps"].skip).select(*titles).coalesce(1).unionByName(rows).coalesce(1)
+    landed.write.csv(f"{target}/comps.csv", emptyValue="", nullValue="")
+    return cleaning.CLEANERS["comps"](read_feed(spark, "comps", f"{target}/comps.csv"))
+
+
 def _play_period(anio: str = "", mes: str = "") -> Query:
     return _ledgers(lambda ledgers: period(ledgers.play, "gaming_date", anio, mes))
 
@@ -137,6 +178,7 @@ def _tier_label(ledgers: Ledgers) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # feeds and identifiers
     **{f"clean_{feed}": _clean(feed) for feed in cleaning.CLEANERS},
+    "clean_comps_split_cells": _clean_split_cells,
     "normalize_ids": _normalize_ids,
     "jornada_day": _jornada,
     "backfill_names": _ledgers(lambda ledgers: backfill_names(ledgers.comps, ledgers.play)),
@@ -144,6 +186,9 @@ QUERIES: dict[str, Query] = {
     "replace_range": _ledgers(_replace),
     "store_replace_range": _store_replace,
     "store_comps_by_player_month": _store_month,
+    "store_load_log": _store_load_log,
+    "store_repeated_load": _store_repeated_load,
+    "store_control_all": _store_control,
     "batch_bounds": _ledgers(_bounds),
     "table_counts": _ledgers(options.table_counts),
     # filters

@@ -66,13 +66,13 @@ def month_number(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def day_bits(day: Column) -> Column:
-    """Days of one month as a bit set.
+def day_bit(day: Column) -> Column:
+    """A day of its month as one bit of a long.
 
-    Grouped by client and month, this replaces a shuffle of every (client, day) pair by one long per
+    Put together by client and month, this replaces a shuffle of every (client, day) pair by one long per
     (client, month) that combines on the map side.
     """
-    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth(day)))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.dayofmonth(day))
 
 
 def bits_set(bits: Column) -> Column:

@@ -14,10 +14,6 @@ PRIZES = "gaming_date DATE, client_id STRING, amount DOUBLE, pay_type STRING"
 POINTS = "op_date DATE, client_id STRING, client_name STRING, points DOUBLE, coin_in_points DOUBLE"
 MANAGERS = "user_id STRING, name STRING, area STRING"
 TIERS = "category STRING, pct DOUBLE"
-# Kept beside slot play: what reports show for a client, over all of it.
-NAMES = "client_id STRING, slot_name STRING, player_level STRING"
-CLIENT_NAMES = "client_names"
-
 SCHEMAS = {
     "play": PLAY,
     "comps": COMPS,
@@ -41,17 +37,17 @@ UNDATED = "undated"
 class Ledgers:
     """The six frames by name, from a mapping or from a function that is asked once per name.
 
-    ``client_names`` gives stored names and levels of all clients, where there are any.
+    ``rollups`` gives what is kept per client and month of a stored ledger, or None; see ``operators.activity``.
     """
 
     def __init__(
         self,
         source: Mapping[str, DataFrame] | Callable[[str], DataFrame],
-        client_names: Callable[[], DataFrame] | None = None,
+        rollups: Callable[[str], DataFrame | None] = lambda name: None,
     ) -> None:
         self._source = source if callable(source) else source.__getitem__
         self._frames: dict[str, DataFrame] = {}
-        self.client_names = client_names
+        self.rollup = rollups
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -60,8 +56,8 @@ class Ledgers:
 
     def replaced(self, **frames: DataFrame) -> Ledgers:
         """The same ledgers with some frames exchanged."""
-        names = None if "play" in frames else self.client_names
-        return Ledgers(lambda name: frames[name] if name in frames else self[name], names)
+        rollups = lambda name: None if name in frames else self.rollup(name)
+        return Ledgers(lambda name: frames[name] if name in frames else self[name], rollups)
 
     play = property(lambda self: self["play"])
     comps = property(lambda self: self["comps"])

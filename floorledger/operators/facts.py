@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.functions.money import total
+from floorledger.functions.days import bits_set
+from floorledger.functions.money import joined, total
 from floorledger.ledgers import DAY_COLUMN, Ledgers
-from floorledger.operators.activity import client_activity
-from floorledger.operators.filters import authorised_by, period
+from floorledger.operators.activity import MONTH_NO, client_activity, contributions
+from floorledger.operators.filters import authorised_by, period, stored_period
 
 # Measures of one client that more than one export section reads.
 CLIENT_MEASURES = (
@@ -22,18 +22,22 @@ VOUCHER_KEYS = ("client_id", "client_name", "user_id")
 
 
 class Facts:
-    """Ledgers cut to a period.  Building frames runs nothing; ``shared`` is for many reports at once."""
+    """Ledgers cut to a period.  Building frames runs nothing."""
 
     def __init__(self, ledgers: Ledgers, anio: str | None = "", mes: str | None = "") -> None:
         self.ledgers = ledgers
         self.anio, self.mes = anio or "", mes or ""
-        self.rows = ledgers.replaced() if self.whole_history else Ledgers(self._cut)
+        self.rows = ledgers.replaced() if self.whole_history else Ledgers(self._cut, self._cut_rollup)
         self._clients: DataFrame | None = None
         self._vouchers: DataFrame | None = None
 
     def _cut(self, name: str) -> DataFrame:
         return period(self.ledgers[name], DAY_COLUMN[name], self.anio, self.mes)
 
+    def _cut_rollup(self, name: str) -> DataFrame | None:
+        kept = self.ledgers.rollup(name)
+        return None if kept is None else stored_period(kept, self.anio, self.mes)
+
     @property
     def whole_history(self) -> bool:
         return not self.anio and not self.mes
@@ -45,9 +49,7 @@ class Facts:
         return client_activity(self.rows, *want)
 
     def history(self, *want: str) -> DataFrame:
-        """Activity per client over all periods; names and levels are read from the store where it keeps them."""
-        if self.ledgers.client_names and set(want) <= {"slot_name", "player_level"}:
-            return self.ledgers.client_names().select("client_id", *want)
+        """Activity per client over all periods; a stored ledger gives it from its rollup."""
         if self.whole_history:
             return self.clients(*want)
         return client_activity(self.ledgers, *want)
@@ -69,46 +71,44 @@ class Facts:
             F.sum("comp_rows").alias("comp_rows"), F.sum("comp_amount").alias("comp_amount")
         )
 
+    def _parts(self, *ledgers: str) -> DataFrame:
+        """Coin-in of the named ledgers in its two parts, and their days as bits of a month."""
+        names = {
+            "play": ("coin_in_whole", "coin_in_millionths", MONTH_NO, "slot_day"),
+            "points": ("table_coin_whole", "table_coin_millionths", MONTH_NO, "table_day"),
+        }
+        parts = [contributions(self.rows, name, *names[name]).toDF("whole", "parts", MONTH_NO, "days") for name in ledgers]
+        return reduce(DataFrame.unionByName, parts)
+
     def coin_in_total(self, *ledgers: str) -> DataFrame:
         """One row: exact coin-in of the named ledgers."""
-        column = {"play": "coin_in", "points": "coin_in_points"}
-        parts = [self.rows[name].select(F.col(column[name]).alias("coin")) for name in ledgers]
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return rows.agg(F.coalesce(total("coin"), F.lit(0)).alias("period_coin_in"))
+        coin = joined(F.sum("whole"), F.sum("parts"))
+        return self._parts(*ledgers).agg(F.coalesce(coin, F.lit(0)).alias("period_coin_in"))
 
     def period_total(self, *ledgers: str) -> DataFrame:
         """One row: exact coin-in and distinct days of the named ledgers, in one scan of each."""
-        column = {"play": "coin_in", "points": "coin_in_points"}
-        parts = [
-            self.rows[name].select(F.col(column[name]).alias("coin"), F.col(DAY_COLUMN[name]).alias("day"))
-            for name in ledgers
-        ]
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        days = F.count_distinct("day")
-        return rows.agg(
-            F.coalesce(total("coin"), F.lit(0)).alias("period_coin_in"),
-            F.when(days == 0, F.lit(1).cast("long")).otherwise(days).alias("period_days"),
+        months = self._parts(*ledgers).groupBy(MONTH_NO).agg(
+            F.sum("whole").alias("whole"), F.sum("parts").alias("parts"), F.bit_or("days").alias("days")
         )
+        coin = joined(F.sum("whole"), F.sum("parts"))
+        return months.agg(F.coalesce(coin, F.lit(0)).alias("period_coin_in"), _distinct_days().alias("period_days"))
 
     def day_total(self, *ledgers: str) -> DataFrame:
         """One row: distinct days of the named ledgers, 1 if there are none."""
-        parts = [self.rows[name].select(F.col(DAY_COLUMN[name]).alias("day")) for name in ledgers]
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        days = F.count_distinct("day")
-        return rows.agg(F.when(days == 0, F.lit(1).cast("long")).otherwise(days).alias("period_days"))
-
-    @contextmanager
-    def shared(self) -> Iterator[Facts]:
-        """Facts whose per-client activity and voucher groups are computed once and kept while in use."""
-        sharing = Facts(self.ledgers, self.anio, self.mes)
-        clients = self.clients(*CLIENT_MEASURES).persist()
-        vouchers = self.vouchers(*VOUCHER_KEYS).persist()
-        sharing._clients, sharing._vouchers = clients, vouchers
-        try:
-            yield sharing
-        finally:
-            clients.unpersist()
-            vouchers.unpersist()
+        months = self._parts(*ledgers).groupBy(MONTH_NO).agg(F.bit_or("days").alias("days"))
+        return months.agg(_distinct_days().alias("period_days"))
+
+    def resting_on(self, clients: DataFrame, vouchers: DataFrame) -> Facts:
+        """The same facts, with the activity of ``CLIENT_MEASURES`` and the groups of ``VOUCHER_KEYS`` given."""
+        given = Facts(self.ledgers, self.anio, self.mes)
+        given._clients, given._vouchers = clients, vouchers
+        return given
+
+
+def _distinct_days() -> Column:
+    """Days of all months together, 1 if there are none."""
+    days = F.coalesce(F.sum(bits_set(F.col("days"))), F.lit(0)).cast("long")
+    return F.when(days == 0, F.lit(1).cast("long")).otherwise(days)
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:

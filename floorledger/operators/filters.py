@@ -4,10 +4,33 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from floorledger.ledgers import MONTH_COLUMN
+from floorledger.operators.lookup import semi_join
+
+
+def _is_period(anio: str, mes: str) -> bool:
+    """Whether the texts name a four-digit year and a two-digit month; either may be empty."""
+    return bool(re.fullmatch(r"((?!0000)\d{4})?", anio) and re.fullmatch(r"(0[1-9]|1[0-2])?", mes))
+
+
+def _in_months(anio: str, mes: str) -> Column:
+    """The period as a condition on the month partitions of a stored ledger."""
+    stored = F.col(MONTH_COLUMN)
+    if anio and mes:
+        return stored == f"{anio}-{mes}"
+    if anio:
+        return stored.between(f"{anio}-01", f"{anio}-12")
+    return F.substring(stored, 6, 2) == mes
+
+
+def stored_period(df: DataFrame, anio: str | None = "", mes: str | None = "") -> DataFrame:
+    """Months of a rollup in the period, by partition alone; all, undated rows too, without a period."""
+    if not anio and not mes:
+        return df
+    return df.where(_in_months(anio or "", mes or "") if _is_period(anio or "", mes or "") else F.lit(False))
 
 
 def period(df: DataFrame, day: str, anio: str | None = "", mes: str | None = "") -> DataFrame:
@@ -19,7 +42,7 @@ def period(df: DataFrame, day: str, anio: str | None = "", mes: str | None = "")
     """
     if not anio and not mes:
         return df
-    if (anio and not re.fullmatch(r"(?!0000)\d{4}", anio)) or (mes and not re.fullmatch(r"0[1-9]|1[0-2]", mes)):
+    if not _is_period(anio or "", mes or ""):
         return df.where(F.lit(False))
     if anio:
         first = f"{anio}-{mes or '01'}-01"
@@ -29,13 +52,7 @@ def period(df: DataFrame, day: str, anio: str | None = "", mes: str | None = "")
     else:
         wanted = F.month(day) == int(mes)
     if MONTH_COLUMN in df.columns:
-        stored = F.col(MONTH_COLUMN)
-        if anio and mes:
-            wanted = (stored == f"{anio}-{mes}") & wanted
-        elif anio:
-            wanted = stored.between(f"{anio}-01", f"{anio}-12") & wanted
-        else:
-            wanted = (F.substring(stored, 6, 2) == mes) & wanted
+        wanted = _in_months(anio or "", mes or "") & wanted
     return df.where(wanted)
 
 
@@ -46,11 +63,11 @@ def with_area(managers: DataFrame) -> DataFrame:
 def authorised_by(comps: DataFrame, managers: DataFrame, area: str | None = "", jefe: str | None = "") -> DataFrame:
     """Vouchers of one manager, else of the managers of an area, else all.
 
-    The join carries no broadcast hint: the planner compares the managers' size with
-    ``spark.sql.autoBroadcastJoinThreshold``, and beyond it shuffles and lets AQE split hot managers.
+    Managers are broadcast where the planner finds them small enough; beyond that, the vouchers of a manager
+    who granted very many are spread over tasks.
     """
     if jefe:
         return comps.where(F.col("user_id") == jefe)
     if area:
-        return comps.join(managers.where(F.col("area") == area), "user_id", "left_semi")
+        return semi_join(comps, managers.where(F.col("area") == area), ["user_id"])
     return comps

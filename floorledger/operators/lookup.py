@@ -19,6 +19,30 @@ def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(lambda df, key: df.where(F.col(key).isNotNull()), keys, hot).select(*keys)
 
 
+def estimated_bytes(frame: DataFrame) -> int:
+    """The planner's estimate of a frame's size; nothing runs for it."""
+    return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def is_broadcast(lookup: DataFrame) -> bool:
+    """Whether the planner broadcasts the lookup: its estimated size is within the session's bound."""
+    bound = lookup.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimated_bytes(lookup) <= bound
+
+
+def left_join(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join to at most one row per key: a broadcast where the lookup is small, else spread by ``lookup_join``."""
+    return rows.join(lookup, keys, "left") if is_broadcast(lookup) else lookup_join(rows, lookup, keys)
+
+
+def semi_join(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is in the lookup, once each: a broadcast where the lookup is small, else spread likewise."""
+    if is_broadcast(lookup):
+        return rows.join(lookup, keys, "left_semi").select(*rows.columns)
+    known = lookup.select(*keys).distinct().withColumn("_known", F.lit(True))
+    return lookup_join(rows, known, keys).where("_known").drop("_known")
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of raw rows to a lookup with at most one row per key.
 

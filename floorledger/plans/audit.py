@@ -9,7 +9,8 @@ from floorledger.functions.money import amount, or_zero, total
 from floorledger.functions.text import is_blank
 from floorledger.operators.facts import Facts
 from floorledger.operators.filters import authorised_by
-from floorledger.operators.lookup import lookup_join
+from floorledger.operators.keyfilter import filtered
+from floorledger.operators.lookup import left_join, lookup_join
 from floorledger.operators.names import filled_name
 from floorledger.operators.ordering import ordered
 from floorledger.plans.control import voucher_chart
@@ -17,25 +18,30 @@ from floorledger.plans.control import voucher_chart
 KEYS = ["client_id", "gaming_date"]
 
 
-def _active_days(facts: Facts) -> DataFrame:
-    """Each (client, day) with positive coin-in once, whatever its number of rows."""
+def _active_days(facts: Facts, vouchers: DataFrame | None = None) -> DataFrame:
+    """Each (client, day) with positive coin-in once, whatever its number of rows; if only days with vouchers are asked
+    for, not all others."""
     slot = facts.rows["play"].where(F.col("coin_in") > 0)
     table = facts.rows["points"].where((F.col("coin_in_points") > 0) & F.col("op_date").isNotNull())
     days = slot.select(F.col("player_id").alias("client_id"), "gaming_date").unionByName(
         table.select("client_id", F.col("op_date").alias("gaming_date"))
     )
-    return days.distinct()
+    return (days if vouchers is None else filtered(days, KEYS, vouchers)).distinct()
 
 
 def zero_play_vouchers(facts: Facts, area: str = "", jefe: str = "") -> DataFrame:
     """The voucher rows themselves; an undated voucher matches no play and is kept."""
     rows = authorised_by(facts.rows["comps"], facts.ledgers.managers, area, jefe)
-    active = _active_days(facts).withColumn("active", F.lit(True))
+    active = _active_days(facts, rows).withColumn("active", F.lit(True))
     return lookup_join(rows, active, KEYS).where(F.col("active").isNull()).drop("active")
 
 
-def _day_facts(facts: Facts) -> DataFrame:
-    """Coin-in, whether any of it was positive, and prizes per (client, day), in one shuffle."""
+def _day_facts(facts: Facts, vouchers: DataFrame) -> DataFrame:
+    """Coin-in, whether any of it was positive, and prizes per (client, day), in one shuffle.
+
+    Only days with vouchers are asked for.  Where play is large beside the vouchers, most others are left out by a
+    filter of fixed size before anything is shuffled.
+    """
     slot = facts.rows["play"].select(F.col("player_id").alias("client_id"), "gaming_date", "coin_in")
     table = facts.rows["points"].where(F.col("op_date").isNotNull())
     table = table.select(
@@ -45,7 +51,7 @@ def _day_facts(facts: Facts) -> DataFrame:
         *KEYS, F.lit(1).cast("long").alias("prize_rows"), F.col("amount").alias("prize_amount")
     )
     stacked = slot.unionByName(table).unionByName(prizes, allowMissingColumns=True)
-    return stacked.groupBy(*KEYS).agg(
+    return filtered(stacked, KEYS, vouchers).groupBy(*KEYS).agg(
         total("coin_in").alias("coin"),
         F.max(F.col("coin_in") > 0).alias("active"),
         F.sum("prize_rows").alias("prize_rows"),
@@ -57,8 +63,7 @@ def _zero_play(facts: Facts, keys: list[str], area: str = "", jefe: str = "") ->
     """Voucher groups of days without play, with coin-in, prizes and a shown name.
 
     Vouchers are first counted per day, client, shown name and manager, which needs no sort; only those groups
-    meet the managers and are sorted for the largest name.  A group whose manager granted very many is one row by
-    then; where a manager has a large part of the groups, the join is left to the planner's size check and AQE.
+    meet the managers and are sorted for the largest name.
     """
     own_name = F.when(~is_blank(F.col("client_name")), F.col("client_name"))
     vouchers = authorised_by(facts.rows["comps"], facts.ledgers.managers, jefe=jefe)
@@ -72,9 +77,9 @@ def _zero_play(facts: Facts, keys: list[str], area: str = "", jefe: str = "") ->
         F.sum("comp_rows").alias("comp_rows"),
         F.sum("comp_amount").alias("comp_amount"),
     )
-    idle = groups.join(_day_facts(facts), KEYS, "left").where(~F.coalesce("active", F.lit(False)))
+    idle = groups.join(_day_facts(facts, vouchers), KEYS, "left").where(~F.coalesce("active", F.lit(False)))
     managers = facts.ledgers.managers.select("user_id", "name", "area")
-    named = idle.join(managers, "user_id", "left").join(facts.history("slot_name"), "client_id", "left")
+    named = left_join(idle, managers, ["user_id"]).join(facts.history("slot_name"), "client_id", "left")
     return named.select(
         "gaming_date",
         "client_id",
@@ -124,7 +129,8 @@ def export_audit(facts: Facts) -> DataFrame:
 
 def audit_chart(facts: Facts, area: str = "") -> DataFrame:
     """Zero-play vouchers per area, or per manager of one area."""
-    groups = facts.rows["comps"].groupBy(*KEYS, "user_id").agg(F.count(F.lit(1)).alias("comp_rows"))
-    idle = groups.join(_active_days(facts), KEYS, "left_anti")
+    vouchers = facts.rows["comps"]
+    groups = vouchers.groupBy(*KEYS, "user_id").agg(F.count(F.lit(1)).alias("comp_rows"))
+    idle = groups.join(_active_days(facts, vouchers), KEYS, "left_anti")
     per_manager = idle.groupBy("user_id").agg(F.sum("comp_rows").alias("comp_rows"))
     return voucher_chart(per_manager, facts.ledgers.managers, area)

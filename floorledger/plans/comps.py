@@ -10,6 +10,7 @@ from floorledger.functions.money import amount, or_zero, pct_half_up, share_pct,
 from floorledger.operators.activity import coin_in_of
 from floorledger.operators.facts import Facts, with_scalar
 from floorledger.operators.filters import authorised_by
+from floorledger.operators.lookup import left_join
 from floorledger.operators.names import filled_name
 from floorledger.operators.ordering import ordered
 
@@ -105,17 +106,14 @@ def comps_by_product(facts: Facts) -> DataFrame:
     categories = products.groupBy(F.col("descripcion_cat").alias("cat")).agg(
         F.sum("monto").alias("todo"), F.sum("cantidad").alias("filas")
     )
-    return (
-        products.join(categories, F.col("descripcion_cat").eqNullSafe(F.col("cat")))
-        .select(
-            "descripcion_cat",
-            "descripcion_prod",
-            "cantidad",
-            amount("monto").alias("monto_total"),
-            share_pct(amount("monto"), amount("todo"), F.col("filas")).alias("pct_categoria"),
-        )
-        .orderBy("descripcion_cat", F.desc("monto_total"), "descripcion_prod")
+    rows = products.join(categories, F.col("descripcion_cat").eqNullSafe(F.col("cat"))).select(
+        "descripcion_cat",
+        "descripcion_prod",
+        "cantidad",
+        amount("monto").alias("monto_total"),
+        share_pct(amount("monto"), amount("todo"), F.col("filas")).alias("pct_categoria"),
     )
+    return ordered(rows, "descripcion_prod", "descripcion_cat", F.desc("monto_total"), "descripcion_prod")
 
 
 def comps_products_nested(facts: Facts) -> DataFrame:
@@ -193,7 +191,7 @@ def daily_play(facts: Facts) -> DataFrame:
 def comps_with_manager(facts: Facts, area: str = "", jefe: str = "") -> DataFrame:
     """Every voucher with the name and area of the manager who granted it, empty if unknown."""
     rows = authorised_by(facts.rows["comps"], facts.ledgers.managers, area, jefe)
-    return rows.join(facts.ledgers.managers, "user_id", "left").select(
+    return left_join(rows, facts.ledgers.managers, ["user_id"]).select(
         *facts.rows["comps"].columns,
         F.coalesce("name", F.lit("")).alias("jefe_nombre"),
         F.coalesce("area", F.lit("")).alias("jefe_area"),

@@ -7,24 +7,27 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from floorledger.functions.money import amount, or_zero, pct_half_even, pct_half_up, ratio_pct, total
-from floorledger.operators.activity import coin_in_of
+from floorledger.functions.money import amount, joined, or_zero, pct_half_even, pct_half_up, ratio_pct, total
+from floorledger.operators.activity import coin_in_of, contributions
 from floorledger.operators.facts import Facts, with_scalar
 from floorledger.operators.ordering import ordered
 
 
 def summary_kpis(facts: Facts) -> DataFrame:
     """One row of period totals."""
-    play = facts.rows["play"].agg(
-        or_zero(total("promo_in")).alias("promo"),
+    play = contributions(
+        facts.rows, "play", "client_id", "total_games", "promo_in_whole", "promo_in_millionths"
+    ).agg(
+        or_zero(joined(F.sum("promo_in_whole"), F.sum("promo_in_millionths"))).alias("promo"),
         or_zero(F.sum("total_games")).alias("total_games"),
-        F.count_distinct("player_id").alias("jugadores_srw"),
+        F.count_distinct("client_id").alias("jugadores_srw"),
     )
     comps = facts.rows["comps"].agg(
         or_zero(total("amount")).alias("comps"), F.count_distinct("client_id").alias("clientes_cortesias")
     )
-    prizes = facts.rows["prizes"].agg(
-        or_zero(total("amount")).alias("prizes"), F.count_distinct("client_id").alias("clientes_premios")
+    prizes = contributions(facts.rows, "prizes", "client_id", "prize_amount_whole", "prize_amount_millionths").agg(
+        or_zero(joined(F.sum("prize_amount_whole"), F.sum("prize_amount_millionths"))).alias("prizes"),
+        F.count_distinct("client_id").alias("clientes_premios"),
     )
     one = reduce(with_scalar, [facts.coin_in_total("play", "points"), play, comps, prizes])
     given = amount("comps") + amount("prizes")

@@ -428,6 +428,8 @@ REPLACE_RANGE = plain(f"""SELECT {COMP_COLUMNS} FROM comps WHERE gaming_date IS
 
 STATEMENTS: dict[str, str] = {
     **{f"clean_{feed}": clean(feed) for feed in CLEAN},
+    "clean_comps_split_cells": f"""SELECT * REPLACE (CASE WHEN amount > 0 AND CAST(amount AS BIGINT) % 500 = 0
+        THEN replace(product, 'P', 'P' || chr(10)) ELSE product END AS product) FROM ({clean('comps')})""",
     "normalize_ids": plain("""SELECT DISTINCT 'prizes' AS feed, client_id AS raw_id, TRIM(client_id, 'x') AS clean_id
         FROM prizes_raw UNION
         SELECT 'comps', user_id, REGEXP_REPLACE(user_id, '[.]0$', '') FROM comps_raw"""),
@@ -437,6 +439,11 @@ STATEMENTS: dict[str, str] = {
         FROM comps LEFT JOIN play_names ON player_id = client_id""",
     "replace_range": REPLACE_RANGE,
     "store_replace_range": REPLACE_RANGE,
+    "store_repeated_load": REPLACE_RANGE,
+    "store_load_log": plain(f"""SELECT 'play' AS table_name, '' AS file_name, COUNT(*) AS rows FROM play
+        UNION ALL SELECT 'points', '', COUNT(*) FROM points UNION ALL SELECT 'comps', 'comps.csv', COUNT(*) FROM comps
+        UNION ALL SELECT 'comps', 'again.csv', COUNT(*) FROM comps WHERE {BATCH_RANGE}
+        UNION ALL SELECT 'managers', 'managers.csv', COUNT(*) FROM managers"""),
     "batch_bounds": plain(f"""SELECT MIN(gaming_date) AS first_day, MAX(gaming_date) AS last_day
         FROM comps WHERE {BATCH_RANGE}"""),
     "table_counts": plain(" UNION ALL ".join(f"SELECT '{t}' AS tabla, COUNT(*) AS cnt FROM {t}" for t in LEDGER_DAYS)),
@@ -490,6 +497,7 @@ STATEMENTS: dict[str, str] = {
     "summary_players": summary(SUMMARY_PLAYERS),
     "summary_players_month": summary(SUMMARY_PLAYERS, YEAR, MONTH),
     "control_all": control("all", shown_control("pct_cat")),
+    "store_control_all": control("all", shown_control("pct_cat")),
     "control_all_month": control("all", shown_control("pct_cat"), YEAR, MONTH),
     "control_all_area": control("all", shown_control("pct_cat"), chosen=in_area(AREA)),
     "control_all_manager": control("all", shown_control("pct_cat"), chosen=by_manager(MANAGER)),

@@ -4,11 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorledger.operators.activity import client_activity
+from floorledger.operators.facts import Facts
 from floorledger.operators.filters import authorised_by, period
-from floorledger.operators.lookup import HOT_SHARE, hot_keys, lookup_join
+from floorledger.operators.keyfilter import FILTER_BITS, is_worth_filtering, key_words, possible_rows
+from floorledger.operators.lookup import HOT_SHARE, hot_keys, is_broadcast, left_join, lookup_join, semi_join
 from floorledger.operators.names import backfill_names
 from floorledger.operators.ordering import sort_report
 from floorledger.operators.replace import replace_range
+from floorledger.plans import audit
+from floorledger.sources.star import star_ledgers
 from tests.rows import day, dicts, ledgers
 
 DAYS = ["1996-12-31", "1997-01-01", "1997-03-15", "1997-12-31", "1998-03-01", None]
@@ -75,6 +79,74 @@ def test_lookup_join_keeps_hot_rows_without_a_match(spark):
     assert lookup_join(rows, lookup, ["k"]).where("x is null").count() == 100
 
 
+def largest_share(frame):
+    """Rows of the fullest task against the mean."""
+    counts = [r[0] for r in frame.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    return max(counts) / (sum(counts) / len(counts))
+
+
+def test_joins_to_a_large_lookup_spread_a_hot_key(spark):
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 9000).alias("k"))
+    lookup = spark.range(5000).select(F.col("id").alias("k"), F.hash("id").alias("x"))
+    small = semi_join(rows, lookup, ["k"])
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString() and is_broadcast(lookup)
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.skewJoin.enabled": "false",
+    }
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        assert not is_broadcast(lookup)
+        semi, left = semi_join(rows, lookup, ["k"]), left_join(rows, lookup, ["k"])
+        plain = rows.join(lookup, "k", "left_semi")
+        assert largest_share(plain) > 2 and largest_share(semi) < 2 and largest_share(left) < 2
+        assert semi.columns == rows.columns
+        assert sorted(map(tuple, semi.collect())) == sorted(map(tuple, plain.select("id", "k").collect()))
+        assert left.count() == 60_000 and left.where("x is not null").count() == semi.count()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_managers_beyond_a_broadcast(spark):
+    books = ledgers(
+        spark,
+        comps=[("1997-03-01", str(i), "A", i, u) for i, u in enumerate(["u1"] * 50 + ["u2", None] * 20)],
+        managers=[("u1", "N1", "MDA"), ("u2", "N2", "MDJ")],
+    )
+    small = sorted(map(tuple, authorised_by(books.comps, books.managers, area="MDA").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, authorised_by(books.comps, books.managers, area="MDA").collect())) == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(small) == 50
+
+
+def test_only_possible_keys_pass(spark):
+    rows = spark.range(50_000).select((F.col("id") % 700).cast("string").alias("c"), F.date_add(F.lit(date(1997, 1, 1)), (F.col("id") % 365).cast("int")).alias("d"), "id")
+    wanted = rows.where("id % 1000 = 3").select("c", "d").unionByName(spark.createDataFrame([(None, None)], "c STRING, d DATE"))
+    passed = possible_rows(rows, ["c", "d"], key_words(wanted, ["c", "d"]))
+    assert passed.columns == rows.columns
+    exact = rows.join(wanted.distinct(), ["c", "d"], "left_semi")
+    assert exact.join(passed, "id", "left_anti").count() == 0
+    assert exact.count() <= passed.count() <= exact.count() + 10
+    assert key_words(rows, ["c", "d"]).count() <= FILTER_BITS / 64
+    assert not is_worth_filtering(rows, wanted)
+
+
+def test_the_audit_is_the_same_with_filtered_play(spark, monkeypatch):
+    facts = Facts(star_ledgers(spark, "/root/testdata/sf0.001"))
+    plans = (audit.audit_zero_play, audit.zero_play_vouchers, audit.audit_chart, audit.export_audit)
+    rows = lambda: [sorted(map(str, plan(facts).collect())) for plan in plans]
+    days = lambda: audit._day_facts(facts, facts.rows["comps"]).count()
+    before, all_days = rows(), days()
+    monkeypatch.setattr("floorledger.plans.audit.filtered", lambda frame, keys, wanted: possible_rows(frame, keys, key_words(wanted, keys)))
+    assert rows() == before and days() < all_days
+
+
 def test_activity_counts_days_once(spark):
     books = ledgers(
         spark,

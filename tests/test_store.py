@@ -1,18 +1,21 @@
 import gzip
+import os
 import shutil
-from datetime import date
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from floorledger.operators.facts import Facts
-from floorledger.plans import comps, options
+from floorledger.plans import comps, control, options, summary
 from floorledger.operators.filters import period
 from floorledger.operators.replace import replace_range
 from floorledger.sinks.loading import FeedsRefused, load_feeds
-from floorledger.sinks.sections import SECTIONS, export_sections, period_name, section_frame
-from floorledger.sinks.store import DuplicateKeys, LedgerStore
-from floorledger.sources.feeds import read_feed
+from floorledger.sinks.sections import SECTIONS, Section, export_sections, exported, period_name, section_frame, stored_base
+from floorledger.sinks.files import Files
+from floorledger.sinks.store import KEPT_NUMBERS, RECENT_LOADS, DuplicateKeys, LedgerStore
+from floorledger.sources.feeds import FeedRefused, read_feed
 from floorledger.sources.star import star_ledgers
 from floorledger.streaming.landing import load_landing
 from tests.rows import ledgers
@@ -211,22 +214,46 @@ def test_refused_feeds_are_named_and_the_others_loaded(spark, tmp_path):
     write(tmp_path / "tiers.csv", 1, [{0: "GOLD", 1: "1"}], 3)  # a column too many
     write(tmp_path / "managers.csv", 1, [{0: "17"}], 2)  # one too few
     write(tmp_path / "play.pdf", 0, [], 1)
-    (tmp_path / "prizes.csv").write_text('a,"open\nquote"' + "," * 11 + "\n", encoding="utf-8")
-    names = {"points": "points.csv", "tiers": "tiers.csv", "managers": "managers.csv", "play": "play.pdf", "prizes": "none.csv"}
+    (tmp_path / "prizes.csv").write_text('a,"open\nquote' + "," * 11 + "\n", encoding="utf-8")
+    names = {"points": "points.csv", "tiers": "tiers.csv", "managers": "managers.csv", "play": "play.pdf", "prizes": "none.csv",
+             "comps": "prizes.csv"}
     with pytest.raises(FeedsRefused) as refused:
         load_feeds(store, {feed: f"{tmp_path}/{name}" for feed, name in names.items()})
     assert refused.value.loaded == {"points": 1}
-    assert set(refused.value.refused) == {"tiers", "managers", "play", "prizes"}
+    assert set(refused.value.refused) == {"tiers", "managers", "play", "prizes", "comps"}
+    assert "over the end of the file" in refused.value.refused["comps"]
     assert all(names[feed] in why for feed, why in refused.value.refused.items())
     assert clients(store) == ["1"] and store.load_log().count() == 1
     with pytest.raises(ValueError, match="no such feed"):
         load_feeds(store, {"poinst": f"{tmp_path}/points.csv"})
 
 
-def test_a_cell_over_two_lines_is_refused(spark, tmp_path):
-    (tmp_path / "tiers.csv").write_text('t,t\n"GO\nLD",1\n', encoding="utf-8")
-    with pytest.raises(Exception, match="end of the line"):
-        read_feed(spark, "tiers", f"{tmp_path}/tiers.csv").collect()
+def cells_of(rows):
+    """Delimited text of the rows, cells quoted where they need it."""
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in '",\n') else c
+    return "".join(",".join(map(quoted, row)) + "\n" for row in rows)
+
+
+@pytest.mark.parametrize("split_bytes", [40, 200, 1_000_000])
+def test_cells_over_several_lines(spark, tmp_path, split_bytes):
+    rows = [("ti\ntle", ""), ("GO\nLD", "1"), ("plain", "2"), ('say ""\n\n x, "hi"', "3"), ("\n" * 30 + "deep", "4")]
+    rows += [(f"n{i}" if i % 5 else f"a\nb{i}\n", str(i)) for i in range(200)]
+    (tmp_path / "a.csv").write_text(cells_of(rows), encoding="utf-8")
+    (tmp_path / "b.csv").write_text("t,t\n" + "".join(f"even{i},{i}\n" for i in range(50)), encoding="utf-8")
+    (tmp_path / "c.csv").write_bytes(b't,t\r\n"one\r\ntwo",7\r\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+    try:
+        found = sorted(tuple(r) for r in read_feed(spark, "tiers", str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted([*rows[1:], *[(f"even{i}", str(i)) for i in range(50)], ("one\ntwo", "7")])
+
+
+def test_a_quote_that_is_never_closed_is_refused(spark, tmp_path):
+    (tmp_path / "tiers.csv").write_text('t,t\n"GO\nLD,1\n', encoding="utf-8")
+    with pytest.raises(FeedRefused, match="over the end of the file"):
+        read_feed(spark, "tiers", f"{tmp_path}/tiers.csv")
 
 
 def test_lines_of_a_feed_are_not_shuffled(spark, tmp_path):
@@ -258,16 +285,148 @@ def test_a_mistyped_year_still_replaces(spark, tmp_path, stored):
     assert period(store.ledger("points"), "op_date", "0024", "02").count() == 1
 
 
-def test_a_read_opens_one_log_file_after_many_loads(spark, tmp_path):
+def test_a_read_lists_and_opens_few_files_after_many_loads(spark, tmp_path):
     store = LedgerStore(spark, f"{tmp_path}/s")
-    store.replace_range("points", points(spark, [("1997-03-05", "a"), (None, "a")]))
-    entry = spark.read.parquet(f"{store.root}/loads/number=1")
-    for number in range(2, 201):
-        shutil.copytree(f"{store.root}/loads/number=1", f"{store.root}/loads/number={number}")
-    assert entry.count() == 3 and store._newest() == 200
-    assert len(store.spark.read.parquet(f"{store.root}/loads/number=200").inputFiles()) == 1
+    store.replace_range("points", points(spark, [("1997-03-05", "a"), (None, "a")]), "first", "source 1")
+    for number in range(2, 231):
+        store._publish("points", f"file {number}", f"source {number}", 1, f"id{number}", lambda live: live)
+    assert store._newest() == 230
+    assert len([p for p in (tmp_path / "s" / "log").iterdir() if not p.name.startswith(".")]) <= KEPT_NUMBERS
     assert pairs(store.ledger("points")) == [("1997-03-05", "a"), ("None", "a")]
     assert len(store._pieces()["points"]) == 2
+    log = store.load_log()
+    assert len(log.inputFiles()) == 1 and len(store._state().recent) <= RECENT_LOADS
+    assert [r.file_name for r in log.collect()] == [f"file {n}" for n in range(230, 1, -1)] + ["first"]
+    for number in (1, 2, 120, 230):
+        assert store.has_loaded("points", f"source {number}")
+    assert not store.has_loaded("points", "source 231") and not store.has_loaded("play", "source 1")
+    # What the log has moved from one folder to the next can go.
+    assert store.superseded().count() == 0 and store.superseded(timedelta(0)).count() == 1
+
+
+def meanwhile(store, action):
+    """Lets another writer publish between the reading of the state and the first try to publish."""
+    create = store._files.create_new
+
+    def late(path, text):
+        store._files.create_new = create
+        action()
+        return create(path, text)
+
+    store._files.create_new = late
+
+
+def test_two_writers_neither_double_nor_lose_rows(spark, tmp_path):
+    one, other = LedgerStore(spark, f"{tmp_path}/s"), LedgerStore(spark, f"{tmp_path}/s")
+    one.replace_range("points", points(spark, [("1997-03-01", "a"), ("1997-03-20", "a"), ("1997-04-02", "a")]))
+    meanwhile(one, lambda: other.replace_range("points", points(spark, [("1997-03-05", "b"), ("1997-03-10", "b"), (None, "b")])))
+    one.replace_range("points", points(spark, [("1997-03-08", "c"), ("1997-03-12", "c")]))
+    expected = [("1997-03-01", "a"), ("1997-03-05", "b"), ("1997-03-08", "c"), ("1997-03-12", "c"), ("1997-03-20", "a"),
+                ("1997-04-02", "a"), ("None", "b")]
+    assert pairs(one.ledger("points")) == pairs(other.ledger("points")) == expected
+    meanwhile(one, lambda: other.refresh("managers", ledgers(spark, managers=[("1", "A", "MDA")]).managers))
+    one.replace_range("points", points(spark, [("1997-03-08", "d"), ("1997-03-12", "d")]))
+    assert [name for _, name in pairs(other.ledger("points"))] == list("abddaab")
+    assert other.dimension("managers").count() == 1 and other.load_log().count() == 5
+    # The rollup of every piece follows.
+    assert one.rollup("points").agg(F.sum("table_rows")).first()[0] == 7
+
+
+def test_a_delivery_that_two_landings_load_counts_once(spark, tmp_path):
+    one, other = LedgerStore(spark, f"{tmp_path}/s"), LedgerStore(spark, f"{tmp_path}/s")
+    batch = points(spark, [("1997-03-05", "a"), (None, "a")])
+    meanwhile(one, lambda: other.replace_range("points", batch, "f", "in/f@1"))
+    assert one.replace_range("points", batch, "f", "in/f@1") == 0
+    assert pairs(one.ledger("points")) == [("1997-03-05", "a"), ("None", "a")] and one.load_log().count() == 1
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    days = [f"1997-03-{day:02d}" for day in range(1, 9)]
+
+    def write(day):
+        LedgerStore(spark, f"{tmp_path}/s").replace_range("points", points(spark, [(day, "a"), (day, "b")]))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, days))
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    assert pairs(store.ledger("points")) == sorted((day, tag) for day in days for tag in "ab")
+    assert store._newest() == 8 and store.load_log().count() == 8
+
+
+def test_a_file_can_be_created_once(spark, tmp_path):
+    files = Files(spark)
+    assert files.create_new(f"{tmp_path}/log/1", "é one") and not files.create_new(f"{tmp_path}/log/1", "two")
+    assert files.read(f"{tmp_path}/log/1") == "é one" and [e.name for e in files.entries(f"{tmp_path}/log")] == ["1"]
+    assert files.entries(f"{tmp_path}/none") == [] and not files.delete(f"{tmp_path}/none")
+
+
+def test_a_file_is_created_once_by_renaming_too(spark, tmp_path):
+    # A view of the same folder under another scheme, which takes the way of shared file systems.
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    files = Files(spark)
+    (tmp_path / "log").mkdir()
+    assert files.create_new("viewfs://store/in/log/1", "one") and not files.create_new("viewfs://store/in/log/1", "two")
+    assert files.read("viewfs://store/in/log/1") == "one" and [e.name for e in files.entries(f"{tmp_path}/log")] == ["1"]
+
+
+def test_what_failed_loads_left_is_swept(spark, tmp_path, monkeypatch):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    store.replace_range("points", points(spark, [("1997-03-05", "a")]))
+    store.refresh("managers", ledgers(spark, managers=[("1", "A", "MDA")]).managers)
+    with pytest.raises(DuplicateKeys):
+        store.refresh("managers", ledgers(spark, managers=[("2", "A", ""), ("2", "B", "")]).managers)
+    assert [e.name for e in store._files.entries(f"{store.root}/managers")] == [f"load={store._pieces()['managers'][0][0]}"]
+    # A job that dies before it publishes leaves rows and their rollup.
+    monkeypatch.setattr(store, "_publish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.replace_range("points", points(spark, [("1997-03-05", "x")]))
+    monkeypatch.undo()
+    assert store.clean_up() == 0 and len(store._files.entries(f"{store.root}/points")) == 2  # it may still be running
+    assert store.clean_up(abandoned=timedelta(0)) == 1
+    for table in ("points", "points_rollup"):
+        assert len(store._files.entries(f"{store.root}/{table}")) == 1
+    assert pairs(store.ledger("points")) == [("1997-03-05", "a")] and store.dimension("managers").count() == 1
+
+
+def test_reports_on_a_store_read_rollups_instead_of_play(spark, tmp_path):
+    source = star_ledgers(spark, "/root/testdata/sf0.001")
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    for name in ("play", "points", "prizes", "comps"):
+        store.replace_range(name, source[name])
+    for name in ("managers", "tiers"):
+        store.refresh(name, source[name])
+    half = source.play.where("gaming_date < '1995-06-15'")
+    store.replace_range("play", half)  # a month in two pieces
+    raw = [f"/s/{name}/" for name in ("play", "points", "prizes")]
+    reports = (control.control_all, control.control_slots, control.control_kpis, control.control_tables,
+               summary.summary_players, summary.summary_kpis, comps.comps_by_player)
+    for period in (("", ""), ("1995", ""), ("1995", "06"), ("", "06")):
+        on_store, on_views = Facts(store.ledgers(), *period), Facts(source, *period)
+        for report in reports:
+            found = report(on_store)
+            assert sorted(map(str, found.collect())) == sorted(map(str, report(on_views).collect())), (report, period)
+            files = found.inputFiles()
+            assert any("_rollup/" in f for f in files) and not any(place in f for f in files for place in raw)
+
+
+def test_a_load_of_one_month_reads_no_other(spark, tmp_path):
+    store = LedgerStore(spark, f"{tmp_path}/s")
+    books = ledgers(spark, play=[(f"1997-{m:02d}-05", "1", f"N{m}", f"L{m}", 10) for m in range(1, 13)])
+    store.replace_range("play", books.play)
+    before = {month: load for load, month in store._pieces()["play"]}
+    # Nothing but the month that is loaded is left to read.
+    for table in ("play", "play_rollup"):
+        for month in before:
+            if month != "1997-03":
+                shutil.move(f"{store.root}/{table}/load={before[month]}/ledger_month={month}", f"{tmp_path}/{table}{month}")
+    store.replace_range("play", ledgers(spark, play=[("1997-03-09", "1", "Z", "L", 1)]).play)
+    for table in ("play", "play_rollup"):
+        for month in before:
+            if month != "1997-03":
+                shutil.move(f"{tmp_path}/{table}{month}", f"{store.root}/{table}/load={before[month]}/ledger_month={month}")
+    facts = Facts(store.ledgers())
+    assert [r.slot_name for r in facts.history("slot_name").collect()] == ["Z"]
+    assert facts.clients("slot_days", "coin_in").first()[1:] == (13, 121)
 
 
 def test_undated_pieces_are_put_together(spark, tmp_path, monkeypatch):
@@ -300,8 +459,9 @@ def test_a_month_report_on_a_store_reads_that_month_of_play(spark, tmp_path):
     report = comps.comps_by_player(Facts(store.ledgers(), "1997", "03"))
     assert [(r.nombre_cliente, r.player_level, r.total_coin_in) for r in report.collect()] == [("N9", "L3", 1010.0)]
     plan = report._jdf.queryExecution().sparkPlan().toString().splitlines()
-    play = [line for line in plan if "FileScan" in line and "player_id" in line]
-    assert play and all("ledger_month" in line and "= 1997-03" in line for line in play)
+    assert not any("gaming_date" in line and "player_id" in line for line in plan if "FileScan" in line)
+    measured = [line for line in plan if "FileScan" in line and "coin_in_whole" in line]
+    assert measured and all("ledger_month" in line and "= 1997-03" in line for line in measured)
     months = options.filter_months(store.ledgers())
     assert [r.mes for r in months.collect()] == [f"{m:02d}" for m in range(1, 13)]
     scans = [line for line in months._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in line]
@@ -313,7 +473,8 @@ def test_sections_from_an_iterator_and_no_stale_rows(spark, tmp_path):
     assert export_sections(facts, iter(["premios", "cortesias"]), str(tmp_path)) == ["cortesias", "premios"]
     empty = Facts(facts.ledgers.replaced(comps=facts.ledgers.comps.limit(0)), "1997", "03")
     assert export_sections(empty, ["cortesias"], str(tmp_path)) == []
-    assert spark.read.parquet(f"{tmp_path}/period=1997-Marzo/section=cortesias").count() == 0
+    assert list(exported(spark, str(tmp_path), "1997", "03")) == ["premios"]
+    assert exported(spark, str(tmp_path), "1998", "03") == {}
     with pytest.raises(ValueError, match="cortesia"):
         export_sections(facts, ["cortesia"], str(tmp_path))
 
@@ -323,13 +484,47 @@ def test_export(spark, tmp_path):
     written = export_sections(facts, list(SECTIONS), str(tmp_path))
     assert written == [name for name in SECTIONS if section_frame(facts, name).count() > 0]
     assert "cortesias" in written and "invitaciones_mdj" not in written
-    for name in written:
-        stored = spark.read.parquet(f"{tmp_path}/period=1997-Marzo/section={name}")
+    assert list(exported(spark, str(tmp_path), "1997", "03")) == written
+    for name, stored in exported(spark, str(tmp_path), "1997", "03").items():
         expected = section_frame(facts, name)
         assert stored.columns == expected.columns
         assert sorted(map(str, stored.collect())) == sorted(map(str, expected.collect()))
 
 
+def test_an_export_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    facts = Facts(star_ledgers(spark, "/root/testdata/sf0.001"), "1997", "03")
+    names = ["cortesias", "premios", "resumen"]
+    export_sections(facts, names, str(tmp_path))
+    rows = lambda: {name: sorted(map(str, f.collect())) for name, f in exported(spark, str(tmp_path), "1997", "03").items()}
+    before = rows()
+    doubled = Facts(facts.ledgers.replaced(comps=facts.ledgers.comps.unionByName(facts.ledgers.comps)), "1997", "03")
+    with monkeypatch.context() as patch:
+        failing = Section(lambda facts: SECTIONS["premios"].plan(facts).where(F.raise_error(F.lit("disk"))), SECTIONS["resumen"].order)
+        patch.setitem(SECTIONS, "resumen", failing)
+        with pytest.raises(Exception, match="disk"):
+            export_sections(doubled, names, str(tmp_path))
+    assert rows() == before
+    for _ in range(3):
+        export_sections(doubled, names, str(tmp_path))
+    assert rows()["cortesias"] != before["cortesias"] and rows()["premios"] == before["premios"]
+    # Numbers and sections before the last two are removed.
+    folder = tmp_path / "period=1997-Marzo"
+    assert len([p for p in (folder / "current").iterdir() if p.name.isdigit()]) == 2
+    assert len(list(folder.glob("export=*/section=cortesias"))) == 3  # the failed one was never named
+
+
+def test_sections_read_a_stored_base_that_is_gone_afterwards(spark):
+    facts = Facts(star_ledgers(spark, "/root/testdata/sf0.001"))
+    with stored_base(facts) as base:
+        for name in ("cortesias", "resumen", "control_invitaciones"):
+            files = section_frame(base, name).inputFiles()
+            assert any("/clients/" in f for f in files) and any("/vouchers/" in f for f in files)
+            assert not any("lineitem" in f for f in files)
+        folder = next(f for f in files if "/clients/" in f).removeprefix("file://").split("/clients/")[0]
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
 def test_period_name():
     assert period_name("1997", "03") == "1997-Marzo"
     assert period_name("", None) == "Todos-Todos"
