@@ -34,12 +34,12 @@ def key_words(wanted: DataFrame, keys: list[str]) -> DataFrame:
     return placed.groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
 
 
-def possible_rows(rows: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
-    """Rows whose key may be a wanted one."""
+def possible_rows(rows: DataFrame, keys: list[str], words: DataFrame, other: bool = False) -> DataFrame:
+    """Rows whose key may be a wanted one, or with ``other`` all others."""
     placed = rows.withColumn("_bit", _bit(keys)).withColumn("_word", F.shiftright("_bit", 6))
-    found = placed.join(F.broadcast(words), "_word")
+    found = placed.join(F.broadcast(words), "_word", "left" if other else "inner")
     is_set = F.call_function("shiftrightunsigned", F.col("_bits"), (F.col("_bit") % 64).cast("int")).bitwiseAND(1) == 1
-    return found.where(is_set).select(*rows.columns)
+    return found.where(~F.coalesce(is_set, F.lit(False)) if other else is_set).select(*rows.columns)
 
 
 def filtered(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
