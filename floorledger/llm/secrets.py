@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from floorledger.llm.joins import free_name, text_key, with_listed
 from floorledger.llm.scratch import stored
 
 REACH = 200
@@ -107,7 +108,7 @@ def secret_parts(documents: DataFrame, reach: int = REACH) -> DataFrame:
     matches = [_matches(F.col("text"), number, kind) for number, kind in enumerate(KINDS)]
     found = F.concat(own, *[F.coalesce(steps, none) for steps in matches])
     texts = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
-    steps = texts.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(found).alias("pos", "step"))
+    steps = texts.select("doc_id", text_key(F.col("text")).alias("key"), F.posexplode(found).alias("pos", "step"))
     steps = steps.select(*_ROW, "pos", "step.*").repartition(*_ROW)
     steps = steps.groupBy(*_ROW, "pos", "kind", "gap", "size", "value").agg(F.count(F.lit(1)).alias("copies"))
 
@@ -147,8 +148,9 @@ def secret_parts(documents: DataFrame, reach: int = REACH) -> DataFrame:
         F.when(role == "identifier", kept_secret).when(role == "secret", identified).otherwise(identified & kept_secret)
     )
     strong = _of(lambda kind: kind.strong)
-    weak = complete & ~beside("strong", -1)  # what lies in a strong part is reported with it
-    reported = F.when(F.col("kind") == TEXT, False).when(strong, True).otherwise(weak)
+    # What lies wholly in a strong part is reported with it; what sticks out of one is reported itself.
+    inside = F.coalesce(F.col("strong_before") >= F.col("end"), F.lit(False))
+    reported = F.when(F.col("kind") == TEXT, False).when(strong, True).otherwise(complete & ~inside)
     return swept.select(*_ROW, "copies", "kind", "start", "end", reported.alias("reported"))
 
 
@@ -179,11 +181,13 @@ def secrets(documents: DataFrame, reach: int = REACH) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)
 
 
-def redacted(documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataFrame:
-    """All rows and columns, every reported part of ``text`` replaced by ``mark``, and the column ``redactions``.
+def redacted(
+    documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH, count: str = "redactions"
+) -> DataFrame:
+    """All rows and columns, every reported part of ``text`` replaced by ``mark``, and how many were, in a last column.
 
-    Parts that overlap or touch are replaced as one.  Only texts with parts are joined; the list of parts is written
-    first, so Spark knows its size when it chooses how to join it.
+    That column is named ``count``, with as many underscores after it as make it a new name.  Parts that overlap or touch
+    are replaced as one.  Only texts with parts are joined; see ``joins`` for how.  Null text stays null.
     """
     parts = secret_parts(documents, reach).where("reported").select(*_ROW, "start", "end").distinct()
     before = Window.partitionBy(*_ROW).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -193,21 +197,17 @@ def redacted(documents: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -
     spans = islands.groupBy(*_ROW, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     listed = stored(
         spans.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
-    ).toDF("part_id", "part_key", "parts")
-    # The row travels as one column, so that its columns may have any names.
-    row_id, text = F.col("doc_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")
-    rows = documents.select(F.struct("*").alias("row"), row_id, text)
-    rows = rows.withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(listed, F.expr("row_id <=> part_id and row_key = part_key"), "left")
-    ends = F.concat(F.array(F.lit(0)), F.transform("parts", lambda part: part["end"].cast("int")))
-    starts = F.concat(F.transform("parts", lambda part: part["start"].cast("int")), F.array(F.length("text")))
+    )
+    joined = with_listed(documents, listed.select(F.col("doc_id"), "key", "parts"))
+    text, parts_ = F.col("row.text").cast("string"), F.col("listed.parts")
+    ends = F.concat(F.array(F.lit(0)), F.transform(parts_, lambda part: part["end"].cast("int")))
+    starts = F.concat(F.transform(parts_, lambda part: part["start"].cast("int")), F.array(F.length(text)))
     between = F.transform(
         F.arrays_zip(ends.alias("from"), starts.alias("to")),
-        lambda gap: F.substring(F.col("text"), gap["from"] + 1, gap["to"] - gap["from"]),
+        lambda gap: F.substring(text, gap["from"] + 1, gap["to"] - gap["from"]),
     )
-    cleaned = F.when(F.col("parts").isNull(), F.col("text")).otherwise(F.array_join(between, mark))
-    kept = [name for name in documents.columns if name != "redactions"]
+    cleaned = F.when(parts_.isNull(), text).otherwise(F.array_join(between, mark))
     return joined.select(
-        *[cleaned.alias(name) if name == "text" else F.col(f"row.`{name}`") for name in kept],
-        F.coalesce(F.size("parts"), F.lit(0)).alias("redactions"),
+        *[cleaned.alias(name) if name == "text" else F.col(f"row.`{name}`") for name in documents.columns],
+        F.coalesce(F.size(parts_), F.lit(0)).alias(free_name(documents.columns, count)),
     )
