@@ -6,7 +6,7 @@ Packing, language and quality have none: they search, or learn from data.
 from __future__ import annotations
 
 from floorledger.llm import ranking, resampling, secrets
-from floorledger.llm.licenses import TEMPLATES
+from floorledger.llm.licenses import TEMPLATES, rivals, wider
 from floorledger.llm.urls import RULES, SETTINGS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,31 +32,42 @@ def texts(values) -> str:
 # ---- licenses -----------------------------------------------------------------------------------------------------
 
 _STRIDE = max(len(template.words) for template in TEMPLATES)
+_NUMBERS = lambda values: f"CAST([{', '.join(map(str, values))}] AS INTEGER[])"
 _TEMPLATES = ", ".join(
-    f"({text(t.label)}, {str(t.base).upper()}, {t.needed}, {texts(t.words)}, {texts(sorted(t.tokens))})" for t in TEMPLATES
+    f"({n}, {text(t.label)}, {str(t.base).upper()}, {t.needed}, {texts(t.words)}, {texts(sorted(t.tokens))}, "
+    f"{texts(sorted(t.runs))}, {t.run_words}, {t.needed_runs}, {_NUMBERS(near)}, {_NUMBERS(beyond)})"
+    for n, (t, near, beyond) in enumerate(zip(TEMPLATES, rivals(TEMPLATES), wider(TEMPLATES), strict=True))
 )
 LICENSES = f"""
-WITH d AS (SELECT doc_id, {words('text')} AS w FROM documents),
-t(label, base, needed, phrase, tokens) AS (VALUES {_TEMPLATES}),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {words('text')} AS w FROM documents),
+t(template, label, base, needed, phrase, tokens, runs, run_words, needed_runs, rivals, wider) AS (VALUES {_TEMPLATES}),
 b AS (
-    SELECT doc_id, unnest(range(0, len(w), {_STRIDE})) AS pos,
+    SELECT row, unnest(range(0, len(w), {_STRIDE})) AS pos,
            unnest(list_transform(range(0, len(w), {_STRIDE}), lambda i: w[i + 1:i + {2 * _STRIDE}])) AS block FROM d),
-met AS (
-    SELECT doc_id, pos, label, base, phrase, block, len(list_intersect(tokens, block)) / CAST(len(tokens) AS DOUBLE) AS share
+likely AS MATERIALIZED (
+    SELECT row, pos, t.*, block, len(list_intersect(tokens, block)) / CAST(len(tokens) AS DOUBLE) AS share
     FROM b JOIN t ON len(list_intersect(tokens, block)) >= needed),
+met AS (
+    SELECT *, len(list_intersect(runs, list_transform(range(0, greatest(len(block) - run_words, 0) + 1),
+        lambda i: array_to_string(block[i + 1:i + run_words], ' ')))) AS held FROM likely),
 placed AS (
-    SELECT *, CASE WHEN base THEN list_transform(list_filter(range(0, least({_STRIDE}, len(block))),
-        lambda i: block[i + 1:i + len(phrase)] = phrase), lambda i: pos + i) END AS places FROM met),
-hits AS (SELECT * FROM placed WHERE NOT base OR len(places) > 0),
+    SELECT *, held / CAST(len(runs) AS DOUBLE) AS run_share,
+        CASE WHEN base THEN list_transform(list_filter(range(0, least({_STRIDE}, len(block))),
+        lambda i: block[i + 1:i + len(phrase)] = phrase), lambda i: pos + i) END AS places FROM met WHERE held >= needed_runs),
+hits AS (
+    SELECT * FROM placed AS one WHERE (NOT base OR len(places) > 0) AND NOT EXISTS (
+        SELECT 1 FROM placed AS other WHERE other.row = one.row AND abs(other.pos - one.pos) <= {_STRIDE}
+            AND list_contains(one.rivals, other.template) AND (list_contains(one.wider, other.template)
+                OR other.run_share > one.run_share AND NOT list_contains(other.wider, one.template)))),
 found AS (
-    SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    SELECT row, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
            string_agg(DISTINCT label, ',' ORDER BY label) AS labels, MAX(share) AS score,
            flatten(list(places) FILTER (base)) AS places
-    FROM hits GROUP BY doc_id)
+    FROM hits GROUP BY row)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(len(places), 0) AS BIGINT) AS n_base,
        CAST(list_min(places) AS BIGINT) AS first_word, CAST(list_max(places) AS BIGINT) AS last_word,
        COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels, COALESCE(score, 0.0::DOUBLE) AS score
-FROM d LEFT JOIN found USING (doc_id)"""
+FROM d LEFT JOIN found USING (row)"""
 
 
 # ---- URLs ---------------------------------------------------------------------------------------------------------
@@ -251,7 +262,7 @@ swept AS (
         before AS (PARTITION BY doc_id ORDER BY start, kind, finish ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         after AS (PARTITION BY doc_id ORDER BY start, kind, finish ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 judged AS (
-    SELECT *, kind IN ({_STRONG}) OR (NOT {_beside('strong', -1)} AND CASE
+    SELECT *, kind IN ({_STRONG}) OR (NOT COALESCE(strong_before >= finish, FALSE) AND CASE
         WHEN kind IN ({_numbers(lambda kind: kind.role == 'identifier')}) THEN {_beside('secret', _REACH)}
         WHEN kind IN ({_numbers(lambda kind: kind.role == 'secret')}) THEN {_beside('identifier', _REACH)}
         ELSE {_beside('secret', _REACH)} AND {_beside('identifier', _REACH)} END) AS reported
