@@ -1,9 +1,11 @@
 """Language identification with n-gram filters whose answers are bit masks of languages.
 
-Training counts the letter trigrams of each language over all its documents; those that make up a share of the
-language's trigrams go into its Bloom filter.  The filters of all languages are stored bit-sliced: one word of bits per
-slot, a bit per language, so that two reads and an AND give all languages that contain an n-gram.  A text's language is
-the one that holds most of its trigrams, after the hits that its filter gives by chance are taken off.
+Training counts the letter trigrams of each language over all its documents.  Every trigram goes into the Bloom filters of
+the languages that contain it; only what another language uses many times as often is taken there for a stray (a line of
+English in a German text), so a trigram that one language has alone is in its filter however rare.  The filters of
+all languages are stored bit-sliced: one word of bits per slot, a bit per language, so that two reads and an AND give all
+languages that contain an n-gram.  A text's language is the one that holds most of its trigrams, after the hits that
+its filter gives by chance are taken off.
 """
 
 from __future__ import annotations
@@ -13,14 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorledger.llm.scratch import stored
 
-SLOT_BITS = 20
-# A trigram belongs to a language when it makes up this share of the language's trigrams.
-LEAST_SHARE = 2e-5
+# A trigram is a stray in a language where another one uses it so many times as often.
+STRAY_RATIO = 20.0
+# Slots per trigram of the language that has most: one lookup in 64 finds what is not there.  Beyond 2**24 slots (128 MB
+# for 64 languages), which is a million different trigrams, it is more; what that adds to the counts is taken off.
+SLOTS_PER_TRIGRAM, LEAST_SLOT_BITS, MOST_SLOT_BITS = 16, 16, 24
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -41,8 +45,8 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(code).isalpha() for code in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def trigram_slots(texts: list[str | None], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number and two slots of each trigram of the lower-cased letters; any run of other characters is a blank.
+def trigrams(texts: list[str | None], is_letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each trigram of the lower-cased letters; any run of other characters is a blank.
 
     Words begin and end with a blank; trigrams that have it in the middle do not count.
     """
@@ -55,8 +59,13 @@ def trigram_slots(texts: list[str | None], is_letter: np.ndarray) -> tuple[np.nd
     mixed ^= mixed >> np.uint64(29)
     mixed *= _STEPS[0]
     mixed ^= mixed >> np.uint64(32)
-    slots = np.uint64((1 << SLOT_BITS) - 1)
-    return owner[middle], (mixed & slots).astype(np.int64), (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return owner[middle], mixed
+
+
+def slots(hashes: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of each hash: its lowest and its highest bits."""
+    last = np.uint64((1 << slot_bits) - 1)
+    return (hashes & last).astype(np.int64), (hashes >> np.uint64(64 - slot_bits)).astype(np.int64)
 
 
 @dataclass
@@ -64,74 +73,81 @@ class LanguageFilters:
     """``masks``: for each slot, 64 languages to a word.  ``chance``: of a trigram that a language lacks being found."""
 
     languages: list[str]
+    slot_bits: int
     masks: np.ndarray
     chance: np.ndarray
     default: str
 
 
-def _slot_counts(training: DataFrame) -> DataFrame:
-    """``lang, slot, hits`` over all training texts; slot -1 has the number of trigrams."""
+def _trigram_counts(training: DataFrame) -> DataFrame:
+    """``lang, trigram, hits`` over all training texts."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_letter, names, totals = letters(), {}, {}
-        keys, hits = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        width = (1 << SLOT_BITS) + 1
+        is_letter = letters()
+        known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for part in parts:
+            langs = part.column(0).to_pylist()
+            owner, hashes = trigrams(part.column(1).to_pylist(), is_letter)
+            names = sorted(set(langs))
+            of_text = np.array([names.index(lang) for lang in langs], dtype=np.int64)
+            for number, lang in enumerate(names):
+                new, n = np.unique(hashes[of_text[owner] == number], return_counts=True)
+                before = known.get(lang, (new[:0], n[:0]))
+                found, at = np.unique(np.concatenate([before[0], new]), return_inverse=True)
+                known[lang] = found, np.bincount(at, weights=np.concatenate([before[1], n])).astype(np.int64)
+        for lang, (found, hits) in known.items():
+            columns = [pa.array([lang] * len(found), pa.string()), pa.array(found.view(np.int64)), pa.array(hits)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "trigram", "hits"])
+
+    rows = training.select("lang", "text").mapInArrow(count, "lang string, trigram long, hits long")
+    return rows.groupBy("lang", "trigram").agg(F.sum("hits").alias("hits"))
+
+
+def contained_trigrams(training: DataFrame, stray_ratio: float = STRAY_RATIO) -> tuple[DataFrame, dict[str, int]]:
+    """``lang, trigram`` of all that a language contains, strays apart, and the number of trigrams of each language."""
+    counts = stored(_trigram_counts(training.where(F.col("lang").isNotNull())))
+    totals = counts.groupBy("lang").agg(F.sum("hits").alias("all"))
+    sizes = {row["lang"]: row["all"] for row in totals.collect()}
+    rates = counts.join(totals, "lang").withColumn("rate", F.col("hits") / F.col("all"))
+    most = F.max("rate").over(Window.partitionBy("trigram"))
+    return rates.withColumn("most", most).where(F.col("rate") * stray_ratio >= F.col("most")).select("lang", "trigram"), sizes
 
-        def fold(new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found, at = np.unique(new, return_inverse=True)
-            return found, np.bincount(at, weights=n).astype(np.int64)
 
-        for part in parts:
-            langs = np.array([names.setdefault(lang, len(names)) for lang in part.column(0).to_pylist()], dtype=np.int64)
-            owner, one, two = trigram_slots(part.column(1).to_pylist(), is_letter)
-            if not len(owner):
-                continue
-            lang = langs[owner] * width
-            both = np.concatenate([lang + one, lang + two, lang + width - 1])
-            new, n = fold(both, np.ones(len(both)))
-            keys, hits = fold(np.concatenate([keys, new]), np.concatenate([hits, n]))
-        spelled = np.array(list(names), dtype=object)
-        slot = keys % width
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(spelled[keys // width] if len(keys) else [], pa.string()),
-                pa.array(np.where(slot == width - 1, -1, slot), pa.int32()),
-                pa.array(hits, pa.int64()),
-            ],
-            ["lang", "slot", "hits"],
-        )
-
-    rows = training.select("lang", "text").mapInArrow(count, "lang string, slot int, hits long")
-    return rows.groupBy("lang", "slot").agg(F.sum("hits").alias("hits"))
-
-
-def learn_languages(training: DataFrame, least_share: float = LEAST_SHARE) -> LanguageFilters:
+def learn_languages(training: DataFrame, stray_ratio: float = STRAY_RATIO) -> LanguageFilters:
     """From ``lang, text``; rows without a language do not count.
 
     All texts are counted where they lie.  What comes to the driver is bounded by the filter's size: the slots that
-    hold a language, once per language.
+    are set, once per 64 languages.
     """
-    counts = stored(_slot_counts(training.where(F.col("lang").isNotNull())))
-    totals = counts.where("slot = -1").select("lang", F.col("hits").alias("all"))
-    sizes = {row["lang"]: row["all"] for row in totals.collect()}
+    contained, sizes = contained_trigrams(training, stray_ratio)
+    contained = stored(contained)
     languages = sorted(sizes)
-    # Two slots are counted per trigram, so a slot's hits are at least those of each of its trigrams.
-    held = counts.where("slot >= 0").join(totals, "lang").where(F.col("hits") >= least_share * F.col("all"))
-    chosen = held.select("lang", "slot").toArrow()
-    number = {lang: at for at, lang in enumerate(languages)}
-    words = max(1, -(-len(languages) // 64))
-    masks = np.zeros((1 << SLOT_BITS, words), dtype=np.uint64)
-    at = np.array([number[lang] for lang in chosen.column("lang").to_pylist()], dtype=np.int64)
-    slots = chosen.column("slot").to_numpy().astype(np.int64)
-    np.bitwise_or.at(masks, (slots, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
-    full = np.bincount(at, minlength=len(languages)) / (1 << SLOT_BITS)
+    widest = max((row["count"] for row in contained.groupBy("lang").count().collect()), default=1)
+    slot_bits = min(max((SLOTS_PER_TRIGRAM * widest - 1).bit_length(), LEAST_SLOT_BITS), MOST_SLOT_BITS)
+
+    numbers = contained.sparkSession.createDataFrame(list(enumerate(languages)), "number int, lang string")
+    ends = F.array(
+        F.col("trigram").bitwiseAND((1 << slot_bits) - 1), F.shiftrightunsigned("trigram", 64 - slot_bits)
+    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % 64)
+    numbered = contained.join(F.broadcast(numbers), "lang")  # a row per language
+    placed = numbered.select(F.explode(ends).alias("slot"), F.floor(F.col("number") / 64).alias("word"), bit.alias("bit"))
+    found = placed.groupBy("slot", "word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    slot, word, bits = (found.column(name).to_numpy() for name in ("slot", "word", "bits"))
+    masks = np.zeros((1 << slot_bits, max(1, -(-len(languages) // 64))), dtype=np.uint64)
+    masks[slot, word] = bits.astype(np.int64).view(np.uint64)
+    full = [
+        np.count_nonzero(masks[:, at // 64] >> np.uint64(at % 64) & np.uint64(1)) / (1 << slot_bits)
+        for at in range(len(languages))
+    ]
     default = max(languages, key=lambda lang: (sizes[lang], lang), default=UNKNOWN)
-    return LanguageFilters(languages, masks, full**2, default)
+    return LanguageFilters(languages, slot_bits, masks, np.array(full) ** 2, default)
 
 
 def judge(texts: list[str | None], filters: LanguageFilters, is_letter: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and score of each text: the share of the best language in all corrected hits."""
-    owner, one, two = trigram_slots(texts, is_letter)
+    owner, hashes = trigrams(texts, is_letter)
+    one, two = slots(hashes, filters.slot_bits)
     total = np.bincount(owner, minlength=len(texts))
     found = filters.masks[one] & filters.masks[two]
     hits = np.zeros((len(texts), max(1, len(filters.languages))))
@@ -152,12 +168,14 @@ def judge(texts: list[str | None], filters: LanguageFilters, is_letter: np.ndarr
 
 def predict_languages(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(filters)  # of the filter's fixed size
+    # Of the filter's bounded size.  Plain values, for workers need not have this library.
+    plain = (filters.languages, filters.slot_bits, filters.masks, filters.chance, filters.default)
+    shared = documents.sparkSession.sparkContext.broadcast(plain)
 
     def predict(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_letter = letters()
+        is_letter, own = letters(), LanguageFilters(*shared.value)
         for part in parts:
-            names, score = judge(part.column(2).to_pylist(), shared.value, is_letter)
+            names, score = judge(part.column(2).to_pylist(), own, is_letter)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(score)],
                 ["doc_id", "held_out", "lang_pred", "score"],
