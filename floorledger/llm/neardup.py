@@ -223,14 +223,20 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
     placed = shared.withColumn("left", F.count(F.lit(1)).over(own) - place)
     # ``left`` shingles remain from this one on; similar sets share at least percent / 100 of the smaller one.
     placed = stored(placed.where(100 * F.col("left") >= percent * F.col("size")).drop("often"))
-    one, two = (
-        placed.select("shingle", "low", *[F.col(n).alias(f"{n}_{side}") for n in ("node", "component", "size", "left")])
-        for side in "ab"
-    )
-    # Every pair across components has an end outside a shingle's lowest one.
-    met = one.where("component_a <> low").drop("low").join(two.drop("low"), "shingle")
+    # What decides whether two rows of a shingle can be a pair is the same for all rows with its size and rest: such
+    # groups are matched first, and rows meet only where their groups do.
+    kind = ["shingle", "size", "left"]
+    groups = placed.groupBy(*kind).agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    named = lambda frame, side: frame.toDF(*[n if n == "shingle" else f"{n}_{side}" for n in frame.columns])
     enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("size_a") + F.col("size_b"))
-    met = met.where((F.col("component_a") != F.col("component_b")) & enough)
+    apart = F.greatest("last_a", "last_b") > F.least("first_a", "first_b")
+    matched = named(groups, "a").join(named(groups, "b"), "shingle").where(enough & apart)
+    matched = stored(matched.select("shingle", "size_a", "left_a", "size_b", "left_b"))
+    rows = placed.select(*kind, "node", "component", "low")
+    # Every pair across components has an end outside a shingle's lowest one.
+    one = named(rows.where("component <> low").drop("low"), "a").join(matched, ["shingle", "size_a", "left_a"])
+    met = one.join(named(rows.drop("low"), "b"), ["shingle", "size_b", "left_b"])
+    met = met.where(F.col("component_a") != F.col("component_b"))
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 

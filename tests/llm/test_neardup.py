@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from floorledger.llm.graphs import components as connected
-from floorledger.llm.neardup import near_duplicates, shingles
+from floorledger.llm.neardup import _crossing, near_duplicates, shingles
 from tests.llm.plain import components, documents, shingle_set
 
 
@@ -32,6 +34,18 @@ def test_components_agree_with_all_pairs(spark):
     assert len(found) == len(texts)
 
 
+def test_pages_of_one_template_are_not_paired(spark):
+    page = "this page shows the public profile of one member with the number u{0} v{0}"
+    texts = [(n, page.format(n)) for n in range(3000)] + [(5000 + n, page.format(n) + " today") for n in range(3)]
+    found = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, texts)).collect()}
+    assert all(found[n] == n for n in range(3, 3000))
+    assert {n: found[n] for n in (0, 5000, 5001)} == {n: components([(i, t) for i, t in texts if i < 3 or i >= 5000])[n] for n in (0, 5000, 5001)}
+    sets = {n: [hash(("page", k)) for k in range(8)] + [hash((n, k)) for k in range(2)] for n in range(3000)}
+    rows = [(n, n, np.array(own, dtype=np.int64).tobytes()) for n, own in sets.items()]
+    members = spark.createDataFrame(rows, "node long, component long, hashes binary")
+    assert _crossing(members, 75).count() == 0
+
+
 def test_null_and_repeated_ids(spark):
     text = " ".join(map(str, range(30)))
     rows = near_duplicates(documents(spark, [(None, text), (1, text), (1, text), (2, text), (1, "else")])).collect()
