@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from floorledger.llm.joins import text_key
 from floorledger.llm.scratch import stored
 from floorledger.llm.words import words
 
 WINDOW_WORDS = 10
+# Places that a word may be off in a proximity match.
+NEAR_SLACK = 1
 # Stands for a null doc_id inside the index.
 NO_ID = -(2**63)
 # The end mark: no word is empty.
@@ -57,7 +60,7 @@ def positional_index(documents: DataFrame, benchmark: DataFrame, words_each: int
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
     marked = F.concat(words(text), F.array(F.lit(END_MARK)))
     places = documents.select(
-        F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("key"), marked.alias("words")
+        F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), text_key(text).alias("key"), marked.alias("words")
     ).select("doc", "key", F.posexplode("words").alias("pos", "word"))
     # The vocabulary is joined by its size on disk: broadcast where that is small, else shuffled.
     postings = stored(places.join(vocabulary, "word").select("doc", "key", "pos", "term"))
@@ -70,8 +73,8 @@ def positional_index(documents: DataFrame, benchmark: DataFrame, words_each: int
 
 
 def matches(index: PositionalIndex, slack: int = 0) -> DataFrame:
-    """``doc, key, window, size, start``: exact phrases, or with a slack those whose words stand up to ``slack``
-    places off where the rarest word puts them."""
+    """``doc, key, window, size, start, exact``: phrases whose words stand up to ``slack`` places off where the rarest
+    word puts them, and whether none is off."""
     off = F.sequence(F.lit(-slack), F.lit(slack))
     anchors = index.plan.where("order < 2").select(
         "window", "size", "term", "order",
@@ -83,8 +86,9 @@ def matches(index: PositionalIndex, slack: int = 0) -> DataFrame:
         *_DOC, "window", "size", (F.col("pos") - F.col("offset")).alias("start"), (F.col("order") + 1).alias("which")
     )
     needed = F.when(F.col("size") > 1, 3).otherwise(1)
+    # With a slack, a phrase at the head of a text may be put to start before it.
     candidates = stored(
-        lists.where("start >= 0")
+        lists.where(F.col("start") >= -slack)
         .groupBy(*_DOC, "window", "size", "start")
         .agg(F.bit_or("which").alias("found"))
         .where(F.col("found") == needed)
@@ -92,30 +96,36 @@ def matches(index: PositionalIndex, slack: int = 0) -> DataFrame:
     )
     # What each candidate expects where, against the lists of the candidates' documents.
     expected = candidates.join(index.plan.select("window", "offset", "term"), "window").select(
-        *_DOC, "window", "size", "start", "offset", "term",
-        F.explode(F.transform(off, lambda d: F.col("start") + F.col("offset") + d)).alias("pos"),
+        *_DOC, "window", "size", "start", "offset", "term", F.explode(off).alias("off"),
     )
+    expected = expected.withColumn("pos", F.col("start") + F.col("offset") + F.col("off"))
     touched = stored(candidates.select(*_DOC).distinct())
     nearby = index.postings.join(touched, _DOC, "left_semi")
     present = expected.join(nearby, [*_DOC, "pos", "term"], "left_semi")
-    if slack:
-        present = present.select(*_DOC, "window", "size", "start", "offset").distinct()
-    return (
-        present.groupBy(*_DOC, "window", "size", "start")
-        .agg(F.count(F.lit(1)).alias("found"))
-        .where("found = size")
-        .drop("found")
+    # Words found, as bits by their place in the phrase: near by, and just there.
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("offset").cast("int"))
+    counted = present.groupBy(*_DOC, "window", "size", "start").agg(
+        F.bit_or(bit).alias("near"), F.bit_or(F.when(F.col("off") == 0, bit)).alias("there")
+    )
+    return counted.where(F.bit_count("near") == F.col("size")).select(
+        *_DOC, "window", "size", "start",
+        F.coalesce(F.bit_count("there") == F.col("size"), F.lit(False)).alias("exact"),
     )
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, words_each: int = WINDOW_WORDS) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row.
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, key`` for every row.
 
-    A null text has no words.  An item without words or without an id takes no part; items that repeat an id are one.
-    An item of fewer words than a window is one window.  Repeated rows each get the same result.
+    The first ones are about exact phrases; ``n_near`` counts proximity matches besides: places where a window's words
+    stand up to ``NEAR_SLACK`` off.  A null text has no words.  An item without words or without an id takes no part; items
+    that repeat an id are one.  An item of fewer words than a window is one window; a window has 62 words at most.
+    Repeated rows each get the same result; ``key`` tells texts of one doc_id apart.
     """
+    if not 0 < words_each < 63:
+        raise ValueError(f"{words_each} words in a window")
     index = positional_index(documents, benchmark, words_each)
-    found = stored(matches(index))
+    near = stored(matches(index, NEAR_SLACK))
+    found = near.where("exact")
     hit = (
         found.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos"))
         .distinct()
@@ -126,8 +136,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, words_each: int =
     listed = named.groupBy(*_DOC).agg(
         F.count(F.lit(1)).alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items")
     )
+    off = near.groupBy(*_DOC).agg(F.count(F.when(~F.col("exact"), 1)).alias("n_near"))
     documents_ = index.postings.where(F.col("term") == END_TERM)
-    rows = documents_.join(hit.join(listed, _DOC), _DOC, "left")
+    rows = documents_.join(off.join(hit.join(listed, _DOC), _DOC, "left"), _DOC, "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"),
@@ -136,4 +147,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, words_each: int =
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        "key",
     )

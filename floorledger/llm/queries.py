@@ -63,7 +63,7 @@ def op5_exact_top_k(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
-    return contamination(corpus(spark, directory, "documents"), corpus(spark, directory, "benchmark"))
+    return contamination(corpus(spark, directory, "documents"), corpus(spark, directory, "benchmark")).drop("key")
 
 
 def op7_secret_scans(spark: SparkSession, directory: str) -> DataFrame:

@@ -6,6 +6,7 @@ Packing, language and quality have none: they search, or learn from data.
 from __future__ import annotations
 
 from floorledger.llm import ranking, resampling, secrets
+from floorledger.llm.decontamination import NEAR_SLACK as SLACK
 from floorledger.llm.licenses import TEMPLATES, rivals, wider
 from floorledger.llm.urls import RULES, SETTINGS
 
@@ -212,11 +213,24 @@ places AS (
 met AS (SELECT doc_id, pos, n, item FROM places JOIN windows USING (n, terms)),
 hit AS (SELECT doc_id, COUNT(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM met) GROUP BY doc_id),
 named AS (
-    SELECT doc_id, COUNT(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM met GROUP BY doc_id)
+    SELECT doc_id, COUNT(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM met GROUP BY doc_id),
+tokens AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+often AS (SELECT word, COUNT(*) AS places FROM tokens GROUP BY word),
+kinds AS (SELECT DISTINCT terms, string_split(terms, ' ') AS phrase FROM windows),
+rarest AS (
+    SELECT * FROM (SELECT phrase, unnest(phrase) AS word, unnest(range(len(phrase))) AS off FROM kinds) LEFT JOIN often USING (word)
+    QUALIFY row_number() OVER (PARTITION BY phrase ORDER BY COALESCE(places, 0), off) = 1),
+near AS (
+    SELECT doc_id, COUNT(*) AS n_near FROM (
+        SELECT doc_id, phrase, pos - off AS start FROM rarest JOIN tokens USING (word) WHERE pos - off >= -{SLACK}) JOIN d USING (doc_id)
+    WHERE len(list_filter(range(len(phrase)), lambda i: list_contains(
+            w[greatest(start + i + 1 - {SLACK}, 1):start + i + 1 + {SLACK}], phrase[i + 1]))) = len(phrase)
+        AND NOT (start >= 0 AND w[greatest(start, 0) + 1:greatest(start, 0) + len(phrase)] = phrase)
+    GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items, sha256(COALESCE(listed, '')) AS items_sha256,
-       COALESCE(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+       COALESCE(n_hit, 0) > 0 AS contaminated, CAST(COALESCE(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 
 # ---- secrets ------------------------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
 import hashlib
+from collections import Counter
 
 from floorledger.llm.decontamination import contamination, matches, positional_index
-from tests.llm.plain import documents, hits
+from tests.llm.plain import documents, hits, words
 
 PASSAGE = "The quick brown fox jumps over the lazy dog while seven wizards watch from a distant hill."
 ITEMS = [(1, PASSAGE), (2, "Tiny item"), (3, None), (4, "..."), (2, "other words under one id"), (None, "no id"), (5, "the the the the the the the the the the the")]
@@ -24,7 +25,7 @@ def test_contamination_agrees_with_all_windows(spark):
         n, hit, found = hits(t, known)
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         wanted.append((i, n, hit, len(found), digest, hit > 0))
-    got = contamination(documents(spark, texts), items(spark, ITEMS)).collect()
+    got = contamination(documents(spark, texts), items(spark, ITEMS)).drop("n_near", "key").collect()
     assert sorted(map(tuple, got), key=str) == sorted(wanted, key=str)
 
 
@@ -37,6 +38,42 @@ def test_proximity_allows_a_slack(spark):
     assert len([1 for doc, _ in near if doc == 1]) == len([1 for doc, _ in exact if doc == 2])
 
 
+def near_places(texts, passages, slack):
+    """Places by text number where a window's words stand up to ``slack`` off, but not all just there."""
+    own = [words(t) for _, t in texts]
+    often = Counter(w for each in own for w in each)
+    windows = {tuple(p[at : at + 10]) for p in map(words, passages) for at in range(max(1, len(p) - 9)) if p}
+    found = Counter()
+    for window in windows:
+        rarest = min(range(len(window)), key=lambda at: (often[window[at]], at))
+        for number, each in enumerate(own):
+            for start in (pos - rarest for pos, w in enumerate(each) if w == window[rarest]):
+                near = lambda at: window[at] in each[max(0, start + at - slack) : max(0, start + at + slack + 1)]
+                if all(map(near, range(len(window)))) and (start < 0 or tuple(each[start : start + len(window)]) != window):
+                    found[number] += 1
+    return found
+
+
+def test_proximity_matches_agree_with_a_plain_search(spark):
+    swapped = PASSAGE.lower().replace("brown fox", "fox brown")
+    texts = [(0, PASSAGE), (1, swapped), (2, PASSAGE.replace("quick brown", "quick little brown")), (3, None), (4, "the fox"),
+             (5, "w0 w2 w1 w3 w4 w5 w6 w7 w8 w9"), (6, "w1 w0 w3 w2 w4 w5 w6 w7 w8 w9 w1"), (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9"),
+             (8, "w3 w4 item tiny " * 50)]
+    passages = [PASSAGE, " ".join(f"w{n}" for n in range(10)), "tiny item"]
+    rows = contamination(documents(spark, texts), items(spark, list(enumerate(passages)))).collect()
+    wanted = near_places(texts, passages, 1)
+    assert {r.doc_id: r.n_near for r in rows} == {i: wanted[i] for i, _ in texts}
+    assert wanted[1] and wanted[2] and wanted[5] and wanted[8]
+
+
+def test_proximity_at_the_head_of_a_text(spark):
+    texts = [(n, f"w3 {n}") for n in range(2)] + [(10, "w0 w1 w3 w2 w4 w5 w6 w7 w8 w9")]
+    texts += [(20 + n, "w0 w1 w2 w4 w5 w6 w7 w8 w9 pad " * 3) for n in range(3)]
+    index = positional_index(documents(spark, texts), items(spark, [(1, " ".join(f"w{n}" for n in range(10)))]))
+    found = [(r.doc, r.start, r.exact) for r in matches(index, slack=2).collect()]
+    assert found == [(10, -1, False)]
+
+
 def test_empty_tables(spark):
     assert contamination(documents(spark, []), items(spark, ITEMS)).collect() == []
     row = contamination(documents(spark, [(1, "a b")]), items(spark, [])).first()
