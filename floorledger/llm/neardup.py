@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from floorledger.llm.graphs import components
+from floorledger.llm.joins import text_key
 from floorledger.llm.scratch import stored
 
 SHINGLE_WORDS = 5
@@ -36,7 +37,7 @@ LEAST_EQUAL_BINS = 64
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-_CLASSES = "doc_id long, n_shingles long, set_key string, bands array<long>, bins binary"
+_CLASSES = "doc_id long, key long, n_shingles long, set_key string, bands array<long>, bins binary"
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -91,7 +92,7 @@ def signature(hashes: np.ndarray, borrow: np.ndarray) -> np.ndarray:
 
 
 def classes(documents: DataFrame, bands: int = BANDS, band_bins: int = BAND_BINS) -> DataFrame:
-    """Per row: the size and key of its shingle set, its band hashes, and one byte of each bin."""
+    """Per row: a key of its text, the size and key of its shingle set, its band hashes, and one byte of each bin."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borrow = probes(bands * band_bins)
@@ -114,15 +115,17 @@ def classes(documents: DataFrame, bands: int = BANDS, band_bins: int = BAND_BINS
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(2),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.string()),
                     pa.array(hashes, pa.list_(pa.int64())),
                     pa.array(bins, pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_key", "bands", "bins"],
+                ["doc_id", "key", "n_shingles", "set_key", "bands", "bins"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, _CLASSES)
+    text = F.col("text").cast("string")
+    return documents.select(F.col("doc_id").cast("long"), text, text_key(text).alias("key")).mapInArrow(rows, _CLASSES)
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -247,7 +250,7 @@ def near_duplicates(
     band_bins: int = BAND_BINS,
     least_equal_bins: int = LEAST_EQUAL_BINS,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row.
+    """``doc_id, n_shingles, component_id, kept, key`` for every row; ``key`` tells texts of one doc_id apart.
 
     ``component_id`` is the smallest doc_id reachable over links, ``kept`` whether it is the row's own.  A text
     without words is linked with nothing.  A null doc_id is linked with nothing: component null, kept.  Rows that
@@ -289,9 +292,9 @@ def near_duplicates(
             found = components(known.unionByName(more))
 
     of_set = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    joined = rows.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    joined = rows.select("doc_id", "key", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select(
         "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "key",
     )

@@ -71,7 +71,7 @@ def op7_secret_scans(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    return near_duplicates(corpus(spark, directory, "documents"))
+    return near_duplicates(corpus(spark, directory, "documents")).drop("key")
 
 
 def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op9_language_id(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
-    return score_quality(corpus(spark, directory, "documents"), corpus(spark, directory, "labels"))
+    return score_quality(corpus(spark, directory, "documents"), corpus(spark, directory, "labels")).drop("key")
 
 
 def op11_sharding(spark: SparkSession, directory: str) -> DataFrame:

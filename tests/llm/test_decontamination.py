@@ -58,7 +58,7 @@ def test_proximity_matches_agree_with_a_plain_search(spark):
     swapped = PASSAGE.lower().replace("brown fox", "fox brown")
     texts = [(0, PASSAGE), (1, swapped), (2, PASSAGE.replace("quick brown", "quick little brown")), (3, None), (4, "the fox"),
              (5, "w0 w2 w1 w3 w4 w5 w6 w7 w8 w9"), (6, "w1 w0 w3 w2 w4 w5 w6 w7 w8 w9 w1"), (7, "w1 w2 w3 w4 w5 w6 w7 w8 w9"),
-             (8, "w3 w4 item tiny " * 50)]
+             (8, "w3 w4 tiny little item " * 50)]
     passages = [PASSAGE, " ".join(f"w{n}" for n in range(10)), "tiny item"]
     rows = contamination(documents(spark, texts), items(spark, list(enumerate(passages)))).collect()
     wanted = near_places(texts, passages, 1)

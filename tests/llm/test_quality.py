@@ -1,6 +1,11 @@
+import math
+
 import numpy as np
 
-from floorledger.llm.quality import FEATURES, estimated_prior, features, fit, score_quality
+from floorledger.llm.quality import (
+    CUTS, FEATURES, QualityModel, bounded_prior, estimated_prior, features, fit, ranks_of, risk_and_slope, score_quality,
+    whole_edges, whole_prior,
+)
 from floorledger.llm.tables import corpus
 from tests.llm.plain import documents, is_held_out
 
@@ -34,6 +39,46 @@ def test_prior_is_found_and_negatives_are_rejected():
     assert estimated_prior(p, u, len(model.weights)) > 0.9
 
 
+def plain_risk(p, u, prior, weights):
+    """The risk row by row, as it is defined."""
+    loss = lambda x: math.log1p(math.exp(-x))
+    score = lambda row: sum(weights[at] for at in row)
+    positive = prior * sum(loss(score(row)) for row in p) / len(p)
+    negative = sum(loss(-score(row)) for row in u) / len(u) - prior * sum(loss(-score(row)) for row in p) / len(p)
+    return positive, negative
+
+
+def test_the_risk_and_its_slope_agree_with_a_plain_sum():
+    chance = np.random.default_rng(4)
+    p, u = (np.stack([chance.integers(0, 3, n), chance.integers(3, 7, n), np.full(n, 7)], axis=1) for n in (20, 30))
+    seen = set()
+    cases = [(chance.normal(scale=2, size=8), float(chance.uniform(0.1, 0.9))) for _ in range(10)]
+    cases += [(np.array([3, 3, 3, -3, -3, -3, -3, 0]) + chance.normal(size=8), 0.9)]  # negatives told apart too well
+    for weights, prior in cases:
+        positive, negative, slope = risk_and_slope(p, u, prior, weights)
+        assert np.allclose((positive, negative), plain_risk(p, u, prior, weights))
+        followed = lambda w: sum(plain_risk(p, u, prior, w)) if negative >= 0 else -plain_risk(p, u, prior, w)[1]
+        steps = [(followed(weights + 1e-6 * e) - followed(weights - 1e-6 * e)) / 2e-6 for e in np.eye(8)]
+        assert np.allclose(slope, steps, atol=1e-5)
+        seen.add(negative >= 0)
+    assert seen == {True, False}
+
+
+def test_edges_and_prior_come_from_all_rows(spark):
+    chance = np.random.default_rng(6)
+    values = chance.normal(size=(3000, len(FEATURES))) ** 2
+    table = spark.createDataFrame([(n, list(map(float, row))) for n, row in enumerate(values)], "doc_id long, features array<double>").repartition(5)
+    edges = whole_edges(table)
+    for at, own in enumerate(edges):
+        assert np.allclose(own, np.quantile(values[:, at], CUTS), rtol=0.02)
+    model = QualityModel(edges, np.zeros(0))
+    model.weights = chance.normal(size=model.size)
+    of_all = model.weights[model.ranges(values)].sum(axis=1)
+    of_p = np.sort(of_all[:700])
+    above = np.array([(of_all >= rank).mean() for rank in ranks_of(of_p)])
+    assert whole_prior(table, model, of_p) == bounded_prior(of_p, above, 3000)
+
+
 def test_awkward_rows(spark):
     rows = documents(spark, [(1, None), (2, ""), (3, "x" * 100_000), (None, "text"), (4, "a b"), (4, "a b"), (5, "\n\n")])
     marks = spark.createDataFrame([(4, 1, 0, "f"), (4, 1, 0, "f"), (3, None, None, "f"), (None, 1, 0, "f"), (99, 1, 0, "f")], LABELS)
