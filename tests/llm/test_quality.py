@@ -50,10 +50,12 @@ def plain_risk(p, u, prior, weights):
 
 def test_the_risk_and_its_slope_agree_with_a_plain_sum():
     chance = np.random.default_rng(4)
-    p, u = (np.stack([chance.integers(0, 3, n), chance.integers(3, 7, n), np.full(n, 7)], axis=1) for n in (20, 30))
+    p, u = (
+        np.stack([chance.integers(low, low + 2, n), chance.integers(3, 7, n), np.full(n, 7)], axis=1) for low, n in ((0, 20), (1, 30))
+    )
     seen = set()
     cases = [(chance.normal(scale=2, size=8), float(chance.uniform(0.1, 0.9))) for _ in range(10)]
-    cases += [(np.array([3, 3, 3, -3, -3, -3, -3, 0]) + chance.normal(size=8), 0.9)]  # negatives told apart too well
+    cases += [(np.array([6, -6, -6, 0, 0, 0, 0, 0]) + chance.normal(size=8), 0.9)]  # negatives told apart too well
     for weights, prior in cases:
         positive, negative, slope = risk_and_slope(p, u, prior, weights)
         assert np.allclose((positive, negative), plain_risk(p, u, prior, weights))
