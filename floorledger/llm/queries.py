@@ -50,7 +50,7 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op3_url_filters(spark: SparkSession, directory: str) -> DataFrame:
     pages = corpus(spark, directory, "pages")
     judged = url_verdicts(pages, page_labels(pages, corpus(spark, directory, "labels")))
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op4_warc_archives(spark: SparkSession, directory: str) -> DataFrame:

@@ -160,7 +160,7 @@ paths AS (
 {_tree()}
 SELECT page_id, p.host, p.path, {_rule('rule').replace('host', 'p.host').replace('path,', 'p.path,')} AS rule,
        COALESCE({_rule('verdict').replace('host', 'p.host').replace('path,', 'p.path,')},
-                CASE WHEN purity >= {SETTINGS.reject}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, m.merged AS template
+                CASE WHEN purity >= {SETTINGS.reject}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict, m.merged AS template, purity
 FROM parsed p JOIN tree{SETTINGS.levels} t ON t.host = p.host AND t.path = p.path
 JOIN merge0 m ON m.host = t.host AND m.template = t.template
 JOIN judged j ON j.host = m.host AND j.merged = m.merged"""

@@ -41,6 +41,8 @@ RULES = (
 class TreeSettings:
     # Levels that the DuckDB statement writes out; the operator goes as deep as the paths do.
     levels: int = 4
+    # Level from which levels without varying children are looked for, to be passed over.
+    jump_from: int = 8
     # A node's children vary when there are so many kinds, and so many kinds per path.
     least_kinds: int = 5
     kinds_per_path: float = 0.3
@@ -114,8 +116,39 @@ def _generalised(paths: DataFrame, level: int, settings: TreeSettings) -> DataFr
     )
 
 
+def _next_varying(paths: DataFrame, level: int, settings: TreeSettings) -> int | None:
+    """The next level, from the given one on, at which the children of any node vary."""
+    levels = F.sequence(F.lit(level), F.size("segments") - 1)
+    nodes = F.transform(
+        levels,
+        lambda at: F.struct(
+            at.alias("level"),
+            F.xxhash64("host", "template", F.slice("segments", level + 1, at - level)).alias("node"),
+            F.get("segments", at).alias("segment"),
+        ),
+    )
+    each = paths.select("paths", F.explode(nodes).alias("at")).select("paths", "at.*")
+    children = each.groupBy("level", "node", "segment").agg(F.sum("paths").alias("own"))
+    kinds = children.groupBy("level", "node").agg(F.sum("own").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    varying = kinds.where(
+        (F.col("kinds") >= settings.least_kinds) & (F.col("kinds") >= settings.kinds_per_path * F.col("all"))
+    )
+    return varying.agg(F.min("level")).first()[0]
+
+
+def _advanced(paths: DataFrame, level: int, to: int | None) -> DataFrame:
+    """Paths moved on to a level before which nothing varies; those that end before it are finished."""
+    more = F.size("segments") > to if to is not None else F.lit(False)
+    upto = F.when(more, F.lit(to or 0)).otherwise(F.size("segments"))
+    passed = F.array_join(F.slice("segments", F.lit(level + 1), upto - level), "/")
+    return paths.withColumn("template", F.concat("template", F.lit("/"), passed)).withColumn("open", more)
+
+
 def _tree(paths: DataFrame, settings: TreeSettings) -> DataFrame:
-    """``host, path, labelled, bad, template`` of every path, level by level until no path has to go on."""
+    """``host, path, labelled, bad, template`` of every path, level by level until no path has to go on.
+
+    Few paths go deep; from ``settings.jump_from`` on, levels at which nothing varies are passed over at once.
+    """
     now = paths.select("*", _segments(F.col("path")).alias("segments"), F.lit("").alias("template"))
     now = stored(now.withColumn("open", F.size("segments") > 0))
     done, level = [], 0
@@ -124,6 +157,14 @@ def _tree(paths: DataFrame, settings: TreeSettings) -> DataFrame:
         now = now.where("open")
         if now.isEmpty():
             return reduce(DataFrame.union, done)
+        if level >= settings.jump_from:
+            to = _next_varying(now, level, settings)
+            if to != level:
+                now = stored(_advanced(now, level, to))
+                if to is None:
+                    continue
+                done.append(now.where(~F.col("open")).select("host", "path", "labelled", "bad", "template"))
+                now, level = now.where("open"), to
         now = stored(_generalised(now, level, settings))
         level += 1
 
@@ -159,21 +200,31 @@ def _merged(templates: DataFrame, level: int, settings: TreeSettings) -> DataFra
     )
 
 
-def _branches(templates: DataFrame, settings: TreeSettings) -> DataFrame:
-    """Adds ``merged`` to each template: level by level from the deepest one where two templates of a host can agree.
+def _next_alike(templates: DataFrame, below: int | None) -> int | None:
+    """The deepest level, below the given one, at which two branches of a host differ there and nowhere else."""
+    parts = F.split(F.substring("merged", 2, 1_000_000_000), "/")
+    own = F.transform(parts, lambda part, at: F.xxhash64(at, part))
+    starred = F.transform(parts, lambda part, at: F.xxhash64(at, F.when(part.startswith("*"), part).otherwise("*")))
+    # A branch's hash is that of its segments together, from which one can be exchanged.
+    whole = F.aggregate(own, F.lit(0).cast("long"), lambda one, other: one.bitwiseXOR(other))
+    branches = templates.select("host", "merged").distinct().select(
+        "host", F.size(parts).alias("depth"), whole.alias("whole"),
+        F.posexplode(F.arrays_zip(own.alias("own"), starred.alias("starred"))).alias("level", "segment"),
+    )
+    rest = F.col("whole").bitwiseXOR(F.col("segment.own")).bitwiseXOR(F.col("segment.starred"))
+    reached = branches if below is None else branches.where(F.col("level") < below)
+    alike = reached.groupBy("host", "depth", "level", rest.alias("rest")).count().where("count > 1")
+    return alike.agg(F.max("level")).first()[0]
 
-    Merging keeps the number of segments, so a level only takes the templates that reach it.
-    """
-    depth = F.size(F.split(F.substring("template", 2, 1_000_000_000), "/"))
-    templates = stored(templates.select("*", F.col("template").alias("merged"), depth.alias("depth")))
-    alike = templates.groupBy("host", "depth").count().where("count > 1")
-    deepest = alike.agg(F.max("depth")).first()[0] or 0
-    columns = ["host", "template", "labelled", "bad", "merged"]
-    merged = templates.where(F.col("depth") < 0).select(*columns)
-    for level in reversed(range(deepest)):
-        reached = templates.where(F.col("depth") == level + 1).select(*columns)
-        merged = stored(_merged(merged.union(reached), level, settings).select(*columns))
-    return merged.union(templates.where(F.col("depth") > deepest).select(*columns))
+
+def _branches(templates: DataFrame, settings: TreeSettings) -> DataFrame:
+    """Adds ``merged`` to each template: from the deepest level up, at those levels where branches can agree."""
+    merged = stored(templates.select("*", F.col("template").alias("merged")))
+    level = _next_alike(merged, None)
+    while level is not None:
+        merged = stored(_merged(merged, level, settings))
+        level = _next_alike(merged, level)
+    return merged
 
 
 def template_verdicts(paths: DataFrame, settings: TreeSettings = SETTINGS) -> DataFrame:
@@ -204,10 +255,10 @@ def template_verdicts(paths: DataFrame, settings: TreeSettings = SETTINGS) -> Da
 def url_verdicts(
     pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, settings: TreeSettings = SETTINGS
 ) -> DataFrame:
-    """``page_id, host, path, rule, verdict, template`` for every row of ``pages`` (page_id, url).
+    """``page_id, host, path, rule, verdict, template, purity`` for every row of ``pages`` (page_id, url).
 
     ``labels`` has page_id and bad (boolean); pages with several labels count several times, null ones not at all.
-    The longest fitting rule decides; else the page's template.  A null url has host and path empty, so rows without
+    The longest fitting rule decides; else the page's template, whose smoothed share of bad labels is ``purity``.  A null url has host and path empty, so rows without
     a host form one group.  Repeated rows each get the same verdict.
     """
     host, path = url_parts(F.col("url").cast("string"))
@@ -225,5 +276,5 @@ def url_verdicts(
     name, verdict = rule_of(rules)
     return parsed.join(judged, ["host", "path"], "left").select(
         "page_id", "host", "path", name.alias("rule"),
-        F.coalesce(verdict, F.col("verdict")).alias("verdict"), "template",
+        F.coalesce(verdict, F.col("verdict")).alias("verdict"), "template", "purity",
     )

@@ -1,3 +1,4 @@
+from floorledger.llm import urls
 from floorledger.llm.urls import Rule, TreeSettings, url_verdicts
 
 PAGES = "page_id long, url string, html string, host string, bad int, template string"
@@ -65,3 +66,42 @@ def test_sections_that_part_below_the_fourth_segment_keep_their_own_verdict(spar
         assert {(found[n].template, found[n].verdict) for n in range(30)} == {(f"{stem}/good/*", "allow")}
         assert {(found[100 + n].template, found[100 + n].verdict) for n in range(30)} == {(f"{stem}/spam/*", "block")}
         assert found[999].template == "/deep" * 200
+
+
+def rounds(monkeypatch, work):
+    """How many tables a piece of work stores."""
+    count = []
+    stored = urls.stored
+    monkeypatch.setattr(urls, "stored", lambda frame: (count.append(1), stored(frame))[1])
+    result = work()
+    monkeypatch.undo()
+    return len(count), result
+
+
+def test_deep_paths_cost_no_more_rounds_than_shallow_ones(spark, monkeypatch):
+    def of(depth):
+        stem = "".join(f"/s{n}" for n in range(depth))
+        rows = [(n, f"http://h.test{stem}/{kind}/{n}") for n in range(20) for kind in ("good", "spam")]
+        rows += [(100 + n, "http://trap.test" + "".join(f"/{n}x{k}" for k in range(depth * 5))) for n in range(2)]
+        rows += [(200 + n, f"http://h.test{stem}/good/deeper{stem}/{n}") for n in range(6)]
+        return rounds(monkeypatch, lambda: judged(spark, rows)), stem
+
+    (shallow, _), _ = of(10)
+    (deep, found), stem = of(60)
+    assert deep <= shallow
+    assert found[0].template in (f"{stem}/good/*", f"{stem}/*/*") and found[200].template.endswith(f"/deeper{stem}/*")
+    assert found[101].template == "".join(f"/1x{k}" for k in range(300))
+
+
+def test_passing_levels_over_changes_nothing(spark):
+    rows, labels = [], []
+    for n in range(60):
+        for stem in ("/a/b", "/a/c/d/e", "/x/y/z/u/v/w", f"/t{n % 7}/k/{n % 3}", f"/q/{n % 9}/r/{n}"):
+            rows.append((len(rows), f"http://h{n % 2}.test{stem}/{'id' if n % 4 else 'no'}{n}/p{n % 5}.html"))
+            labels.append((len(labels), (n * 7 + len(stem)) % 5 == 0))
+    results = [
+        {i: (r.template, r.purity, r.verdict) for i, r in judged(spark, rows, labels, settings=TreeSettings(jump_from=at)).items()}
+        for at in (0, 2, 100)
+    ]
+    assert results[0] == results[1] == results[2]
+    assert len({template for template, _, _ in results[0].values()}) > 5
