@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,13 @@ def local_session(
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, under ``spark.checkpoint.dir``.
 
-    Only where the session names no such folder, as in tests on one machine, a local temporary one is set.
+    Only where the session names no such folder and runs on one machine, as in tests, a local temporary one is set.
     """
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="floorledger-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/floorledger-{uuid.uuid4().hex}"

@@ -1,10 +1,13 @@
 from datetime import date
+from types import SimpleNamespace
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from floorledger.functions import days, money, rounding, text
+from floorledger.session import scratch_folder
 
 
 def column(spark, values, type_, expression):
@@ -87,3 +90,18 @@ def test_total_is_exact(spark, cents):
 
 def test_total_of_nothing_is_null(spark):
     assert spark.createDataFrame([], "v DOUBLE").agg(money.total("v")).first()[0] is None
+
+
+@pytest.mark.parametrize(("master", "folder", "fits"), [
+    ("local[8]", None, True), ("local", None, True), ("local-cluster[2,1,1024]", None, False), ("spark://host:1", None, False),
+    ("yarn", "hdfs:///scratch", True),
+])
+def test_scratch_on_a_cluster_is_a_shared_folder(master, folder, fits):
+    made = []
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: folder))
+    if fits:
+        assert scratch_folder(session).startswith(folder or made[0])
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_folder(session)
