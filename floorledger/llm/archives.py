@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from floorledger.llm.scratch import stored
+from floorledger.operators.keyfilter import key_words, possible_rows
+from floorledger.operators.lookup import is_broadcast
 from floorledger.session import scratch_folder
 
 # The skippable frame of a dictionary, the other skippable frames, a raw dictionary, a Zstandard frame.
@@ -114,7 +116,11 @@ class ArchiveWriter:
 
 
 def _originals(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """Pages with the smallest page_id of equal payloads; only payloads that occur twice are joined."""
+    """Pages with the smallest page_id of equal payloads.
+
+    Only payloads that occur twice are joined: by a broadcast of their digests, or where that is too large after a filter
+    of fixed size, so that payloads that occur once are not shuffled but for its few false positives.
+    """
     keyed = pages.withColumn("sha", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     twice = (
         keyed.where(F.col("bytes") >= least_bytes)
@@ -123,8 +129,14 @@ def _originals(pages: DataFrame, least_bytes: int) -> DataFrame:
         .where("times > 1")
         .drop("times")
     )
+    twice, keys = stored(twice), ["sha", "bytes"]
+    if is_broadcast(twice):
+        found = keyed.join(twice, keys, "left")
+    else:
+        words = key_words(twice, keys)
+        single = possible_rows(keyed, keys, words, other=True).withColumn("original", F.lit(None).cast("long"))
+        found = possible_rows(keyed, keys, words).join(twice, keys, "left").unionByName(single)
     refers_to = F.when(F.col("original") != F.coalesce("page_id", F.col("original") - 1), F.col("original"))
-    found = keyed.join(stored(twice), ["sha", "bytes"], "left")
     return found.select("page_id", "url", "payload", refers_to.alias("refers_to"))
 
 

@@ -16,6 +16,15 @@ def pages(spark, rows):
     return spark.createDataFrame([(*row, "s", 1, "p") for row in rows], PAGES).repartition(3)
 
 
+def test_round_trip_beyond_a_broadcast(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test_round_trip(spark, tmp_path)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(n, f"http://a.test/{n}", f"<p>{n % 50} é😀</p>" * (n % 7 + 1)) for n in range(400)]
     rows += [(900, None, None), (901, "a\r\nb é", ""), (None, "u", "only"), (None, "u", "<p>0 é😀</p>"), (3, "twice", rows[3][2])]
