@@ -7,6 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from floorledger.ledgers import DAY_COLUMN
 from floorledger.operators.facts import Facts
 from floorledger.plans import comps, control, options, summary
 from floorledger.operators.filters import period
@@ -288,18 +289,18 @@ def test_a_mistyped_year_still_replaces(spark, tmp_path, stored):
 def test_a_read_lists_and_opens_few_files_after_many_loads(spark, tmp_path):
     store = LedgerStore(spark, f"{tmp_path}/s")
     store.replace_range("points", points(spark, [("1997-03-05", "a"), (None, "a")]), "first", "source 1")
-    for number in range(2, 231):
+    for number in range(2, 206):
         store._publish("points", f"file {number}", f"source {number}", 1, f"id{number}", lambda live: live)
-    assert store._newest() == 230
+    assert store._newest() == 205
     assert len([p for p in (tmp_path / "s" / "log").iterdir() if not p.name.startswith(".")]) <= KEPT_NUMBERS
     assert pairs(store.ledger("points")) == [("1997-03-05", "a"), ("None", "a")]
     assert len(store._pieces()["points"]) == 2
     log = store.load_log()
     assert len(log.inputFiles()) == 1 and len(store._state().recent) <= RECENT_LOADS
-    assert [r.file_name for r in log.collect()] == [f"file {n}" for n in range(230, 1, -1)] + ["first"]
-    for number in (1, 2, 120, 230):
+    assert [r.file_name for r in log.collect()] == [f"file {n}" for n in range(205, 1, -1)] + ["first"]
+    for number in (1, 2, 120, 205):
         assert store.has_loaded("points", f"source {number}")
-    assert not store.has_loaded("points", "source 231") and not store.has_loaded("play", "source 1")
+    assert not store.has_loaded("points", "source 206") and not store.has_loaded("play", "source 1")
     # What the log has moved from one folder to the next can go.
     assert store.superseded().count() == 0 and store.superseded(timedelta(0)).count() == 1
 
@@ -389,7 +390,9 @@ def test_what_failed_loads_left_is_swept(spark, tmp_path, monkeypatch):
 
 
 def test_reports_on_a_store_read_rollups_instead_of_play(spark, tmp_path):
-    source = star_ledgers(spark, "/root/testdata/sf0.001")
+    star = star_ledgers(spark, "/root/testdata/sf0.001")
+    days = {name: F.col(day).between("1995-05-10", "1995-07-20") | F.col(day).isNull() for name, day in DAY_COLUMN.items()}
+    source = star.replaced(**{name: star[name].where(some) for name, some in days.items()})
     store = LedgerStore(spark, f"{tmp_path}/s")
     for name in ("play", "points", "prizes", "comps"):
         store.replace_range(name, source[name])
@@ -398,9 +401,8 @@ def test_reports_on_a_store_read_rollups_instead_of_play(spark, tmp_path):
     half = source.play.where("gaming_date < '1995-06-15'")
     store.replace_range("play", half)  # a month in two pieces
     raw = [f"/s/{name}/" for name in ("play", "points", "prizes")]
-    reports = (control.control_all, control.control_slots, control.control_kpis, control.control_tables,
-               summary.summary_players, summary.summary_kpis, comps.comps_by_player)
-    for period in (("", ""), ("1995", ""), ("1995", "06"), ("", "06")):
+    reports = (control.control_all, control.control_kpis, control.control_tables, summary.summary_players, summary.summary_kpis)
+    for period in (("", ""), ("1995", "06")):
         on_store, on_views = Facts(store.ledgers(), *period), Facts(source, *period)
         for report in reports:
             found = report(on_store)
