@@ -113,18 +113,20 @@ def matches(index: PositionalIndex, slack: int = 0) -> DataFrame:
     )
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, words_each: int = WINDOW_WORDS) -> DataFrame:
+def contamination(
+    documents: DataFrame, benchmark: DataFrame, words_each: int = WINDOW_WORDS, slack: int = NEAR_SLACK
+) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, key`` for every row.
 
     The first ones are about exact phrases; ``n_near`` counts proximity matches besides: places where a window's words
-    stand up to ``NEAR_SLACK`` off.  A null text has no words.  An item without words or without an id takes no part; items
+    stand up to ``slack`` off.  A null text has no words.  An item without words or without an id takes no part; items
     that repeat an id are one.  An item of fewer words than a window is one window; a window has 62 words at most.
     Repeated rows each get the same result; ``key`` tells texts of one doc_id apart.
     """
     if not 0 < words_each < 63:
         raise ValueError(f"{words_each} words in a window")
     index = positional_index(documents, benchmark, words_each)
-    near = stored(matches(index, NEAR_SLACK))
+    near = stored(matches(index, slack))
     found = near.where("exact")
     hit = (
         found.select(*_DOC, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos"))
