@@ -53,7 +53,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark; rows without an id and repeated rows as in the first stage."""
-    return without_listed(docs, _names(contamination(docs, corpus(spark, sf_dir, "benchmark")).where("contaminated")))
+    found = contamination(docs, corpus(spark, sf_dir, "benchmark"), slack=0)  # phrases only: near ones decide nothing
+    return without_listed(docs, _names(found.where("contaminated")))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
