@@ -49,8 +49,9 @@ def _parted(rows: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame |
 def without_listed(documents: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows that a stored list (doc_id, key) does not name."""
     possible, others = _parted(_keyed(documents), listed)
-    names = listed.select(F.col("doc_id").alias("listed_doc"), F.col("key").alias("listed_key"))
-    left = possible.join(names, F.expr(_SAME), "left_anti")
+    names = listed.select(F.col("doc_id").alias("listed_doc"), F.col("key").alias("listed_key"), F.lit(True).alias("on_list"))
+    # Not an anti join: Spark would move that below the filter, and shuffle all texts for it.
+    left = possible.join(names, F.expr(_SAME), "left").where("on_list is null").select(*possible.columns)
     rows = left if others is None else left.unionByName(others)
     return rows.select("row.*")
 
