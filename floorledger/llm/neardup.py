@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from floorledger.llm.graphs import components
 from floorledger.llm.joins import text_key
 from floorledger.llm.scratch import stored
+from floorledger.operators.keyfilter import key_words, possible_rows
+from floorledger.operators.lookup import is_broadcast
 
 SHINGLE_WORDS = 5
 # Linked when 100 * shared >= 75 * all shingles of the two.
@@ -128,10 +130,23 @@ def classes(documents: DataFrame, bands: int = BANDS, band_bins: int = BAND_BINS
     return documents.select(F.col("doc_id").cast("long"), text, text_key(text).alias("key")).mapInArrow(rows, _CLASSES)
 
 
+def _texts(documents: DataFrame, listed: DataFrame) -> DataFrame:
+    """``node, text`` of all rows whose id is on a stored list of distinct nodes.
+
+    Where the list is too large to broadcast, a filter of fixed size finds the rows that can be on it, and only their texts
+    are shuffled.
+    """
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
+    if not is_broadcast(listed):
+        texts = possible_rows(texts, ["node"], key_words(listed, ["node"]))
+    # Not a semi join: Spark would move that below the filter, and shuffle all texts for it.
+    return texts.join(listed, "node")
+
+
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node, set_key, hashes`` of all texts of the wanted nodes: their shingle sets, taken from the text again.
 
-    The list of nodes is written first, so that one short enough for Spark to broadcast saves the shuffle of the texts.
+    The list of nodes is written first, so that Spark knows its size when it joins the texts.
     """
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +156,7 @@ def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             hashes = pa.array([own.tobytes() for own in found], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), keys, hashes], ["node", "set_key", "hashes"])
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string"))
-    chosen = texts.join(stored(wanted.select("node").distinct()), "node", "left_semi")
+    chosen = _texts(documents, stored(wanted.select("node").distinct()))
     found = chosen.mapInArrow(rows, "node long, set_key string, hashes binary")
     return stored(found.dropDuplicates(["node", "set_key"]))
 

@@ -3,7 +3,8 @@ import random
 import numpy as np
 
 from floorledger.llm.graphs import components as connected
-from floorledger.llm.neardup import _crossing, near_duplicates, shingles
+from floorledger.llm.neardup import _crossing, _texts, near_duplicates, shingles
+from floorledger.llm.scratch import stored
 from tests.llm.plain import components, documents, shingle_set
 
 
@@ -46,6 +47,25 @@ def test_pages_of_one_template_are_not_paired(spark):
     assert _crossing(members, 75).count() == 0
 
 
+def test_lists_beyond_the_broadcast_bound(spark):
+    texts = [(1, None), (2, ""), (3, "one two")] + [(100 + n, text) for n, text in enumerate(variants(60))]
+    bound = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, "-1")
+    try:
+        rows = documents(spark, [*texts, (None, "no id"), (103, "another text")])
+        chosen = _texts(rows, stored(spark.createDataFrame([(2,), (103,), (900,)], "node long")))
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        # The filter lies below the join that shuffles texts.
+        assert 0 <= plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")
+        wanted = dict(texts)
+        assert sorted(map(tuple, chosen.collect())) == sorted([(2, ""), (103, wanted[103]), (103, "another text")])
+        found = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, texts)).collect()}
+    finally:
+        spark.conf.set(bound, before)
+    assert found == components(texts)
+
+
 def test_null_and_repeated_ids(spark):
     text = " ".join(map(str, range(30)))
     rows = near_duplicates(documents(spark, [(None, text), (1, text), (1, text), (2, text), (1, "else")])).collect()
