@@ -221,8 +221,11 @@ class LedgerStore:
     def replace_range(self, table: str, batch: DataFrame, file_name: str = "", source: str | None = None) -> int:
         """Replace the stored days that a cleaned batch spans by the batch; returns its row count.
 
-        A batch of a ``source`` that has been loaded meanwhile is left out, and counts 0.
+        A batch of a ``source`` that has been loaded is left out, and counts 0: before anything is written, or, where
+        another writer loads it meanwhile, before it is published.
         """
+        if source is not None and self.has_loaded(table, source):
+            return 0
         day, load = DAY_COLUMN[table], uuid.uuid4().hex
         self._write_pieces(table, batch, load)
 

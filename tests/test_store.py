@@ -341,6 +341,19 @@ def test_a_delivery_that_two_landings_load_counts_once(spark, tmp_path):
     assert pairs(one.ledger("points")) == [("1997-03-05", "a"), ("None", "a")] and one.load_log().count() == 1
 
 
+def test_a_repeated_delivery_writes_nothing(spark, tmp_path):
+    one, other = LedgerStore(spark, f"{tmp_path}/s"), LedgerStore(spark, f"{tmp_path}/s")
+    batch = points(spark, [("1997-03-05", "a"), (None, "a")])
+    assert one.replace_range("points", batch, "f", "in/f@1") == 2
+    folders = sorted(os.listdir(f"{tmp_path}/s/points"))
+    for writer in (other, one):
+        assert writer.replace_range("points", batch, "f", "in/f@1") == 0
+    assert sorted(os.listdir(f"{tmp_path}/s/points")) == folders and one.load_log().count() == 1
+    # Without a name, or under another, the rows are a delivery of their own.
+    assert other.replace_range("points", batch) == one.replace_range("points", batch, "g", "in/g@1") == 2
+    assert pairs(one.ledger("points")) == [("1997-03-05", "a"), *[("None", "a")] * 3]
+
+
 def test_writers_at_the_same_time(spark, tmp_path):
     days = [f"1997-03-{day:02d}" for day in range(1, 9)]
 
