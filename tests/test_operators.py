@@ -1,8 +1,10 @@
+import re
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
+from floorledger.catalogue import QUERIES
 from floorledger.operators.activity import client_activity
 from floorledger.operators.facts import Facts
 from floorledger.operators.filters import authorised_by, period
@@ -12,6 +14,7 @@ from floorledger.operators.names import backfill_names
 from floorledger.operators.ordering import sort_report
 from floorledger.operators.replace import replace_range
 from floorledger.plans import audit
+from floorledger.sources import star
 from floorledger.sources.star import star_ledgers
 from tests.rows import day, dicts, ledgers
 
@@ -221,3 +224,41 @@ def test_sort_report(spark):
     names = spark.createDataFrame([("Oa", 1), ("Ñu", 10), ("ábaco", 9), ("Nz", 2)], "nombre STRING, n INT")
     assert [r.nombre for r in sort_report(names, "nombre").collect()] == ["ábaco", "Nz", "Ñu", "Oa"]
     assert [r.n for r in sort_report(names, "n", ascending=False).collect()] == [10, 9, 2, 1]
+
+
+def test_ids_come_from_joins_dealt_by_size(spark, tmp_path, monkeypatch):
+    orders = [(n, n % 12 if n else None) for n in range(40)]
+    lines = [(n % 45 if n % 50 else None, n % 7 if n % 11 else None, n % 9 if n % 13 else None) for n in range(200)]
+    rows = {
+        "customer": ([(n, f"name {n}") for n in (*range(11), None)], "c_custkey BIGINT, c_name STRING"),
+        "part": ([(n, "t", "b") for n in (*range(6), None)], "p_partkey BIGINT, p_type STRING, p_brand STRING"),
+        "orders": ([(*row, day("1997-03-01")) for row in orders], "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate DATE"),
+        "lineitem": (
+            [(*row, n % 3, 1.0, 1.0, "R", "O", day("1997-03-02")) for n, row in enumerate(lines)],
+            """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,
+               l_extendedprice DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate DATE""",
+        ),
+    }
+    for name, (own, schema) in rows.items():
+        frame = spark.createDataFrame(own, schema)
+        for column in ("o_orderdate", "l_shipdate"):
+            frame = frame.withColumn(column, F.col(column).cast("timestamp")) if column in frame.columns else frame
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    joined = [(owner, part, supplier) for key, part, supplier in lines for order, owner in orders if key == order and key is not None]
+    expected = {("prizes", owner is not None and f"x{owner}x" or None) for owner, _, _ in joined} | {
+        ("comps", supplier is not None and f"{supplier}.0" or None)
+        for owner, part, supplier in joined
+        if owner is not None and owner < 11 and owner % 5 and part is not None and part < 6
+    }
+    monkeypatch.setattr(star, "DEALT_BYTES", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ids = QUERIES["normalize_ids"](spark, str(tmp_path))
+        found = [(row.feed, row.raw_id) for row in ids.collect()]
+        plan = ids._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(found) == expected and len(found) == len(expected)
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#[0-9]+L, ([0-9]+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and min(dealt) > int(spark.conf.get("spark.sql.shuffle.partitions"))
