@@ -8,10 +8,12 @@ pieces within their length and looking the ranks up in the runs are distributed.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,18 @@ def byte_letters() -> dict[int, str]:
     return {byte: chr(byte) for byte in printable} | {byte: chr(256 + n) for n, byte in enumerate(others)}
 
 
+@lru_cache(maxsize=1)
+def loaded_tokenizer(path: str):
+    """The tokenizer of a file, read once per worker rather than once per task."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds(dict):
     """Encoded ids (little-endian unsigned 32-bit) of each blank-delimited word, kept from its first use on.
 
@@ -49,24 +63,21 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = loaded_tokenizer(path)
         self.letters = byte_letters()
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > WORDS_KEPT:
             self.clear()
         if word[-1:] in (".", ",") and word[:-1].isalpha():
-            ids = self[word[:-1]] + self.encode(word[-1])
+            ids = self[word[:-1]] + self[word[-1]]
         elif word.isalpha():
             spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            tokens = self.tokenizer.model.tokenize(spelled)
-            ids = np.array([token.id for token in tokens], dtype="<u4").tobytes()
+            ids = packed_ids([token.id for token in self.tokenizer.model.tokenize(spelled)])
         else:
             ids = self.encode(word)
         self[word] = ids

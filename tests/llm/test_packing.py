@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from floorledger.llm.packing import CAPACITY, Runs, pack_documents, pack_histogram, reduce_instance
+from floorledger.llm.packing import CAPACITY, Runs, WordIds, pack_documents, pack_histogram, reduce_instance
 from floorledger.llm.queries import vocabulary
 from tests.llm.plain import documents
 
@@ -99,3 +99,14 @@ def test_pieces_are_the_tokenizers_and_lie_gapless(spark, texts):
 
 def test_no_documents_no_sequences(spark):
     assert pack_documents(documents(spark, []), vocabulary()).collect() == []
+
+
+def test_marks_after_words_are_encoded_once_and_the_file_read_once():
+    words, calls = WordIds(vocabulary()), []
+    encode = words.encode
+    words.encode = lambda text: calls.append(text) or encode(text)
+    text = "One, two, trois, élan. Quatre. five."
+    ids = words.of_text(text)
+    assert sorted(calls) == [",", "."]
+    assert list(np.frombuffer(ids, dtype="<u4")) == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert WordIds(vocabulary()).tokenizer is words.tokenizer
