@@ -228,7 +228,7 @@ def whole_edges(table: DataFrame) -> list[np.ndarray]:
     for at in range(len(FEATURES)):
         order = np.argsort(value[feature == at])
         own, n = value[feature == at][order], rows[feature == at][order]
-        places = np.searchsorted(np.cumsum(n), np.array(CUTS) * n.sum(), side="left") if len(own) else []
+        places = np.searchsorted(np.cumsum(n), np.rint(np.array(CUTS) * (n.sum() - 1)), side="right") if len(own) else []
         edges.append(np.unique(own[places]) if len(own) else np.empty(0))
     return edges
 
